@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_codec
+from . import chat_format, decontaminate, sentencepiece_codec
 
-QUERIES = {"op1_sentencepiece": sentencepiece_codec.query}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.query,
+    "op7_chat_format": chat_format.query,
+    "op9_decontaminate": decontaminate.query,
+}
+ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
