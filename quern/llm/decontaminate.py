@@ -55,13 +55,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     counted = windows.groupBy("len").agg(F.count("*").alias("c")).collect()  # n rows at most
     lengths = sorted(r["len"] for r in counted)
     known = F.broadcast(windows) if sum(r["c"] for r in counted) <= MAX_BROADCAST_WINDOWS else windows
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
     out = None
     for length in lengths or [n]:
         rows = base.select("doc_id", "text_key", "w", F.posexplode(_hash_windows(F.col("w"), length)).alias("at", "hash"))
         part = known.where(F.col("len") == length).select("hash", "window", "items") if not lengths == [length] else known.select("hash", "window", "items")
         part = F.broadcast(part) if known is not windows else part
-        same = _window_text(F.col("w"), F.col("at"), F.lit(length)) == F.col("window")
+        # two inequalities: as an equality it would be a join key, built for every window
+        text = _window_text(F.col("w"), F.col("at"), F.lit(length))
+        same = (text >= F.col("window")) & (text <= F.col("window"))
         got = rows.join(part, "hash").where(same).select("doc_id", "text_key", "at", F.lit(length).alias("len"), "items")
         out = got if out is None else out.unionByName(got)
     return out

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, sentencepiece_codec
+from . import chat_format, decontaminate, quality_rules, sentencepiece_codec, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
+    "op2_url_filter": url_filter.query,
     "op7_chat_format": chat_format.query,
+    "op8_quality_rules": quality_rules.query,
     "op9_decontaminate": decontaminate.query,
 }
 ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
