@@ -83,30 +83,55 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, is_word: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+class WordHasher:
     """Hashes of the maximal runs of word bytes in a byte array.
 
-    Returns (hash of each run, start of each run). A run's hash is the sum of
-    its bytes times powers of an odd base, taken relative to the run's start,
-    then mixed with the run's length: equal runs hash alike wherever they lie.
+    A run's hash is the sum of its byte values times powers of an odd base
+    relative to the run's start, mixed with the run's length: equal runs hash
+    alike wherever they lie. Powers are taken at global positions and divided
+    out again (odd numbers have inverses modulo 2**64), so the work is three
+    passes over the bytes. Make one per task; it keeps its tables.
     """
-    edge = np.diff(is_word.astype(np.int8), prepend=0, append=0)
-    starts = np.flatnonzero(edge == 1)
-    ends = np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.empty(0, np.uint64), starts
-    lens = ends - starts
-    longest = int(lens.max())
-    weights = powers(0x100000001B3 + 2 * seed, longest)
-    # position of every byte inside its run, without a Python loop
-    at = np.arange(len(data), dtype=np.int64)
-    at[: starts[0]] = 0
-    base = np.zeros(len(data), np.int64)
-    base[starts] = np.diff(starts, prepend=0)
-    inside = at - np.cumsum(base)
-    inside[~is_word] = 0
-    np.clip(inside, 0, longest - 1, out=inside)
-    terms = (data.astype(np.uint64) + np.uint64(1)) * weights[inside]
-    terms[~is_word] = 0
-    sums = np.add.reduceat(terms, starts)
-    return mix(sums + lens.astype(np.uint64) * MIX_1 + np.uint64(seed)), starts
+
+    BLOCK = 1 << 20
+
+    def __init__(self, values: np.ndarray, seed: int = 1):
+        """values: for each byte 0 if it separates words, else its value."""
+        self.values, self.seed = values.astype(np.uint64), np.uint64(seed)
+        self.base = 0x100000001B3 + 2 * seed
+        self.up = powers(self.base, self.BLOCK)
+        self.down = powers(pow(self.base, -1, 1 << 64), self.BLOCK)
+
+    def __call__(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each run, start of each run)."""
+        coded = self.values[data]
+        edge = np.diff((coded != 0).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(starts):
+            return np.empty(0, np.uint64), starts
+        sums = np.empty(len(starts), np.uint64)
+        i = 0
+        while i < len(starts):
+            at = starts[i]
+            j = max(i + 1, int(np.searchsorted(ends, at + self.BLOCK, side="right")))
+            part = coded[at : ends[j - 1]]
+            if len(part) <= self.BLOCK:
+                here = starts[i:j] - at
+                sums[i:j] = np.add.reduceat(part * self.up[: len(part)], here) * self.down[here]
+            else:  # one run longer than a block
+                total, step = 0, pow(self.base, self.BLOCK, 1 << 64)
+                for b in range((len(part) - 1) // self.BLOCK, -1, -1):
+                    piece = part[b * self.BLOCK : (b + 1) * self.BLOCK]
+                    total = (total * step + int(np.add.reduce(piece * self.up[: len(piece)]))) % (1 << 64)
+                sums[i] = total
+            i = j
+        return mix(sums + (ends - starts).astype(np.uint64) * MIX_1 + self.seed), starts
+
+
+def byte_values(separators, lower: bool = False) -> np.ndarray:
+    """Value table of a WordHasher: separators 0, the rest byte + 1, A-Z as a-z on demand."""
+    out = np.arange(1, 257, dtype=np.uint64)
+    if lower:
+        out[65:91] += 32
+    out[list(separators)] = 0
+    return out

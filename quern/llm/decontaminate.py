@@ -19,34 +19,42 @@ from pyspark.sql.window import Window
 
 from .common import ascii_lower
 
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: What separates words, before A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Beyond this many benchmark windows the join is shuffled instead of broadcast.
 MAX_BROADCAST_WINDOWS = 500_000
 
 
-def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), NOT_WORD + "+"), "")
+def raw_words(text: Column) -> Column:
+    """The words as they stand; letters A-Z not yet lower-cased."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP + "+"), "")
 
 
 def _window_text(words: Column, start: Column, length) -> Column:
-    return F.array_join(F.slice(words, start + 1, length), " ")
+    return ascii_lower(F.array_join(F.slice(words, start + 1, length), " "))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     """(len, hash, window, items): every distinct window and the items it is in."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), raw_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(n))
     starts = items.select("item", "w", size.alias("len"), F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("at"))
     seen = starts.select("item", "len", _window_text(F.col("w"), F.col("at"), F.col("len")).alias("window"))
-    return seen.groupBy("len", "window").agg(F.collect_set("item").alias("items")).withColumn("hash", F.expr("xxhash64(split(window, ' '))"))
+    return seen.groupBy("len", "window").agg(F.collect_set("item").alias("items")).withColumn("hash", F.xxhash64(_word_hashes(F.split("window", " "))))
+
+
+def _word_hashes(words: Column) -> Column:
+    """Case is folded for all letters here: faster, and equal under A-Z alone implies equal."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
 def _hash_windows(words: Column, length: int) -> Column:
     """Hash of each window of so many words; empty where the text is shorter."""
     n = F.size(words)
     starts = F.when(n >= length, F.sequence(F.lit(1), n - (length - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, length)))
+    # an array of one element binds the word hashes, so they are made once per text
+    return F.transform(F.array(_word_hashes(words)), lambda h: F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, length))))[0]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -55,7 +63,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     counted = windows.groupBy("len").agg(F.count("*").alias("c")).collect()  # n rows at most
     lengths = sorted(r["len"] for r in counted)
     known = F.broadcast(windows) if sum(r["c"] for r in counted) <= MAX_BROADCAST_WINDOWS else windows
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw_words(F.col("text")).alias("w"))
     out = None
     for length in lengths or [n]:
         rows = base.select("doc_id", "text_key", "w", F.posexplode(_hash_windows(F.col("w"), length)).alias("at", "hash"))
@@ -85,7 +93,7 @@ def covered(found: DataFrame) -> DataFrame:
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, contaminated for every row."""
     per_doc = covered(hits(docs, benchmark, n)).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "n_hit", "items")
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(raw_words(F.col("text"))).cast("long").alias("n_words"))
     joined = base.join(per_doc, base["doc_id"].eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -107,8 +115,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
         raise ValueError("mode is 'document' or 'span'")
     spots = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.explode(F.sequence("at", F.expr("at + len - 1"))).alias("p"))
     spots = spots.groupBy("_d", "_k").agg(F.collect_set("p").alias("_p"))
-    lead = F.regexp_extract("text", f"^{NOT_WORD}*", 0)
-    tokens = F.expr(f"regexp_extract_all(text, r'{WORD}+{NOT_WORD}*', 0)")
+    lead = F.regexp_extract("text", f"^{GAP}*", 0)
+    tokens = F.expr(f"regexp_extract_all(text, r'{WORD}+{GAP}*', 0)")
     kept = F.concat(lead, F.array_join(F.filter(tokens, lambda t, i: ~F.array_contains("_p", i)), ""))
     text = F.when(F.col("_p").isNull(), F.col("text")).otherwise(kept)
     joined = keyed.join(spots, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")

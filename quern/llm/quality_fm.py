@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, held_out, word_hashes
+from .common import SPACE_BYTES, WordHasher, byte_values, held_out
 
 #: Labelled documents to learn from, at most about so many.
 TRAIN_DOCS = 4_000
@@ -49,7 +49,15 @@ def _byte_class(values: bytes) -> np.ndarray:
     return table
 
 
-def extract(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Hashers:
+    """Word and line hashing, made once per task."""
+
+    def __init__(self):
+        self.words = WordHasher(byte_values(SPACE_BYTES), seed=11)
+        self.lines = WordHasher(byte_values([10]), seed=13)
+
+
+def extract(texts: list[str | None], hashers: Hashers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse features (row, index, value), rows ascending."""
     blobs = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     n = len(blobs)
@@ -57,7 +65,7 @@ def extract(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     sizes = np.array([len(b) for b in blobs])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     space = _byte_class(CLASS_BYTES["space"])[data]
-    hashes, at = word_hashes(data, ~space, seed=11)
+    hashes, at = hashers.words(data)
     row = np.searchsorted(starts, at, side="right") - 1
     n_words = np.bincount(row, minlength=n)
 
@@ -73,7 +81,7 @@ def extract(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     distinct, count = np.unique(key, return_counts=True)
     word_row = (distinct >> np.uint64(WORD_BITS)).astype(np.int64)
     n_distinct = np.bincount(word_row, minlength=n)
-    lines, line_at = word_hashes(data, data != 10, seed=13)
+    lines, line_at = hashers.lines(data)
     line_row = np.searchsorted(starts, line_at, side="right") - 1
     n_lines = np.bincount(line_row, minlength=n)
     line_key = np.unique(np.stack([line_row.astype(np.uint64), lines]), axis=1) if len(lines) else np.empty((2, 0), np.uint64)
@@ -107,8 +115,8 @@ class Machine:
         linear = np.add.reduceat(self.linear[at] * values, first)
         return self.bias + linear + 0.5 * (total * total - squares).sum(axis=1)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        z = np.clip(self.logits(*extract(texts), len(texts)), -30, 30)
+    def score(self, texts: list[str | None], hashers: Hashers) -> np.ndarray:
+        z = np.clip(self.logits(*extract(texts, hashers), len(texts)), -30, 30)
         return 1 / (1 + np.exp(-z))
 
 
@@ -170,10 +178,11 @@ FEATURE_SCHEMA = "label int, at binary, value binary"
 
 
 def _feature_rows(batches):
+    hashers = Hashers()
     for batch in batches:
         labels, texts = batch.column(0), batch.column(1).to_pylist()
         for a, b in _chunks(texts):
-            rows, at, values = extract(texts[a:b])
+            rows, at, values = extract(texts[a:b], hashers)
             edges = np.searchsorted(rows, np.arange(b - a + 1))
             parts = list(zip(edges[:-1], edges[1:]))
             yield pa.RecordBatch.from_arrays(
@@ -209,10 +218,11 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
+        hashers = Hashers()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _chunks(texts):
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(shared.value.score(texts[a:b]).astype(np.float64))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(shared.value.score(texts[a:b], hashers).astype(np.float64))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
