@@ -135,3 +135,11 @@ def byte_values(separators, lower: bool = False) -> np.ndarray:
         out[65:91] += 32
     out[list(separators)] = 0
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of steps whose results are stored."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, langid, quality_fm, quality_rules, sentencepiece_codec, url_filter
+from . import chat_format, decontaminate, langid, line_dedup, ngram_join, quality_fm, quality_rules, sentencepiece_codec, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
     "op2_url_filter": url_filter.query,
     "op4_language_id": langid.query,
+    "op5_line_dedup": line_dedup.query,
+    "op6_ngram_join": ngram_join.query,
     "op7_chat_format": chat_format.query,
     "op8_quality_rules": quality_rules.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_fm": quality_fm.query,
 }
-ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
