@@ -1,10 +1,62 @@
-"""A corpus pipeline in stages; each stage's rows are written and read again."""
+"""A corpus pipeline in stages; each stage's rows are written and read again.
+
+Stages work on all rows their predecessor kept. All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import decontaminate, langid, line_dedup, ngram_join, sentencepiece_codec
+from quern.llm.common import stored
+
+#: Below this score two languages fit a document about equally.
+MIN_LANGUAGE_SCORE = 0.55
+NEAR = ngram_join.Rule(k=5, num=80, den=100)
+MODEL = "piece_bpe_32k.model"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a clear language go."""
+    return langid.keep_known(docs, langid.learn(langid.train_set(docs)), MIN_LANGUAGE_SCORE)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated and nearly repeated lines go; n_chars follows the text."""
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-equal documents the one with the smallest id stays."""
+    return ngram_join.one_of_each(docs, NEAR)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), mode="document")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with digests of ids and of the decoded text."""
+    return sentencepiece_codec.encode(docs, public_tokenizers.path(MODEL))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", dedup_documents),
+    ("decontaminate", drop_benchmark),
+    ("sentencepiece", tokens),
+]
+#: Languages and tokens cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        rows = stored(stage(spark, rows, sf_dir), name)
+    return STAGES[-1][1](spark, rows, sf_dir)

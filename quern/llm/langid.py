@@ -200,6 +200,36 @@ def predict(docs: DataFrame, languages: Languages) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, languages: Languages, min_score: float) -> DataFrame:
+    """The rows whose language is determined with at least that score, all columns kept.
+
+    Where no language was learned, only texts without letters go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(languages)
+    column = docs.columns.index("text")
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            texts = batch.column(column).to_pylist()
+            start = 0
+            while start < len(texts):
+                stop, size = start, 0
+                while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= CHUNK_CHARS):
+                    size += len(texts[stop] or "")
+                    stop += 1
+                part = texts[start:stop]
+                if model.names:
+                    names, score = model.predict(part)
+                    keep = [n != UNDETERMINED and s >= min_score for n, s in zip(names, score)]
+                else:
+                    keep = [any(c.isalpha() for c in t or "") for t in part]
+                yield batch.slice(start, stop - start).filter(pa.array(keep, pa.bool_()))
+                start = stop
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_set(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id")))
 

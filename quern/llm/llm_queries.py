@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, langid, line_dedup, ngram_join, quality_fm, quality_rules, sentencepiece_codec, url_filter
+from . import chat_format, decontaminate, langid, line_dedup, ngram_join, quality_fm, quality_rules, sentencepiece_codec, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
     "op2_url_filter": url_filter.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_language_id": langid.query,
     "op5_line_dedup": line_dedup.query,
     "op6_ngram_join": ngram_join.query,

@@ -336,6 +336,16 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The documents without those that link, directly or over others, with one
+    of a smaller id; all columns kept. Rows equal in id and text count once;
+    rows without an id stay."""
+    keep = near_groups(docs.select("doc_id", "text"), rule).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
+    known = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_d"), "left_semi")
+    known = known.withColumn("_k", F.xxhash64("text")).dropDuplicates(["doc_id", "_k"]).drop("_k")
+    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_groups(docs, Rule(k=3, num=90, den=100))

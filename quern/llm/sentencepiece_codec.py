@@ -302,7 +302,7 @@ def model_tables(path: str) -> PieceTables:
         return PieceTables(f.read())
 
 
-def encode(docs: DataFrame, model_path: str, keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of every text.
 
     The model is read where the plan is made; its tables (a fixed few MB) are
@@ -310,7 +310,7 @@ def encode(docs: DataFrame, model_path: str, keep_ids: bool = True) -> DataFrame
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model_tables(model_path))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_decoded else "")
 
     def run(batches):
         codec = Codec(shared.value)
@@ -323,7 +323,7 @@ def encode(docs: DataFrame, model_path: str, keep_ids: bool = True) -> DataFrame
                     h, whole = hashlib.sha256(), []
                     for part in codec.decode_slices(ids):
                         h.update(part)
-                        if keep_ids:
+                        if keep_decoded:
                             whole.append(part)
                     digests.append(h.hexdigest())
                     decoded.append(b"".join(whole).decode("utf-8", errors="replace"))
@@ -337,8 +337,11 @@ def encode(docs: DataFrame, model_path: str, keep_ids: bool = True) -> DataFrame
                 if keep_ids:
                     lens = np.array([len(x) for x in made])
                     offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
-                    cols += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(made), pa.int32())), pa.array(decoded, pa.string())]
-                    names += ["ids", "decoded"]
+                    cols += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(made), pa.int32()))]
+                    names += ["ids"]
+                if keep_decoded:
+                    cols += [pa.array(decoded, pa.string())]
+                    names += ["decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)

@@ -341,8 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
             mask = np.unpackbits(np.frombuffer(pa.Codec("zstd").decompress(mask, decompressed_size=(2 * size + 7) // 8), np.uint8), count=2 * size).reshape(2, size).astype(bool) if mask else np.zeros((2, size), bool)
             spots, outside = np.flatnonzero(mask[0]), np.flatnonzero(mask[1])
             names, first, index = suffixes(block, spots)
-            later = np.ones(len(names), bool)
-            later[:] = False
+            later = np.zeros(len(names), bool)
             dealt = np.unique(index[mask[1][spots]]) if len(outside) else np.empty(0, np.int64)
             later[dealt] = _bits_of([r for r in rows if r["bucket"] >= 0], names[dealt], buckets)
             repeat = later[index] | (spots != first[index])
