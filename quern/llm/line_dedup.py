@@ -79,7 +79,8 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     tagged = F.transform("k", lambda key, i: F.struct(key.alias("key"), (F.col("n") - (i > 1).cast("int")).alias("m"), (i % 2).alias("c")))
     one = _with_company(first.select(*KEYS, F.explode(tagged).alias("x")).select(*KEYS, "x.key", "x.m", "x.c"), "key")
     per_line = one.groupBy(*KEYS).agg(F.collect_set(F.struct("m", "c")).alias("blocks"))
-    per_doc = per_line.groupBy("d", "t").agg(F.collect_list(F.struct("l", "blocks")).alias("wanted"))
+    per_doc = stored(per_line.groupBy("d", "t").agg(F.collect_list(F.struct("l", "blocks")).alias("wanted")), "wanted")
+    release(docs.sparkSession)
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     found = texts.join(per_doc, _same(texts, per_doc)).select(texts["d"], texts["t"], F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     found = found.select("d", "t", "w.l", F.col("lines")[F.col("w.l")].alias("line"), "w.blocks").dropDuplicates(list(KEYS))
@@ -124,7 +125,9 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     for a, name in (("", "mine"), ("o.", "theirs")):
         part = texts_of.withColumnRenamed("line", name)
         hits = hits.join(part, F.col(f"{a}d").eqNullSafe(F.col("_d")) & (F.col(f"{a}t") == F.col("_t")) & (F.col(f"{a}l") == F.col("_l"))).drop("_d", "_t", "_l")
-    return hits.where(F.levenshtein("mine", "theirs", 1) >= 0).select(*KEYS).distinct()
+    near = stored(hits.where(F.levenshtein("mine", "theirs", 1) >= 0).select(*KEYS).distinct(), "near-lines")
+    release(docs.sparkSession)
+    return near
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -141,7 +144,9 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # lines that occur once and have no near line are no concern
     concern = judged.where("c > 1 OR near").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.struct(*KEYS).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     hit = lines.join(concern, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(F.col("near") | ~place.eqNullSafe(F.col("first")))
-    return hit.groupBy("d", "t").agg(F.collect_set("l").alias("gone"))
+    gone = stored(hit.groupBy("d", "t").agg(F.collect_set("l").alias("gone")), "gone-lines")
+    release(docs.sparkSession)
+    return gone
 
 
 def _joined(docs: DataFrame, min_chars: int) -> DataFrame:
