@@ -45,7 +45,7 @@ from .common import mix, release, stored
 LENGTH = 100
 #: A perfect difference set: every residue modulo COVER_MOD is a difference.
 COVER, COVER_MOD = (0, 1, 3, 13, 32, 36, 43, 52), 57
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Text bytes per bucket.
 BUCKET_BYTES = 8 << 20
 MAX_BUCKETS = 1 << 16
@@ -57,25 +57,30 @@ SUB = 1 << 17
 assert {(a - b) % COVER_MOD for a in COVER for b in COVER} == set(range(COVER_MOD))
 
 
-def gram_names(data: np.ndarray, n: int) -> np.ndarray:
-    """64-bit names of all n-grams of a byte array, by doubling."""
+def gram_names(data: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """64-bit names of the n-grams that start at the given ascending places, by doubling.
+
+    The bytes are named in small pieces, which stay in the processor's cache;
+    only the names asked for are kept.
+    """
+    out = np.empty(len(at), np.uint64)
     m = len(data) - n + 1
-    if m <= 0:
-        return np.empty(0, np.uint64)
-    out = np.empty(m, np.uint64)
-    for a in range(0, m, SUB):  # small pieces stay in the processor's cache
+    for a in range(0, max(m, 0), SUB):
         b = min(m, a + SUB)
+        lo, hi = np.searchsorted(at, (a, b))
+        if lo == hi:
+            continue
         x = data[a : b + n - 1].astype(np.uint64) + np.uint64(1)
-        total, at, width = np.zeros(b - a, np.uint64), 0, 1
+        total, offset, width = np.zeros(b - a, np.uint64), 0, 1
         while True:
             if n & width:
-                total += x[at : at + b - a] * np.uint64(pow(BASE, at, 1 << 64))
-                at += width
+                total += x[offset : offset + b - a] * np.uint64(pow(BASE, offset, 1 << 64))
+                offset += width
             if width * 2 > n:
                 break
             x = x[:-width] + x[width:] * np.uint64(pow(BASE, width, 1 << 64))
             width *= 2
-        out[a:b] = mix(total)
+        out[lo:hi] = mix(total[at[lo:hi] - a])
     return out
 
 
@@ -90,18 +95,17 @@ class Block:
         raw = pa.Codec("zstd").decompress(row["data"], decompressed_size=size) if size else b""
         self.data = np.frombuffer(raw, np.uint8)
         self.starts = np.cumsum(self.lens) - self.lens
-        self.pos = np.arange(size, dtype=np.int64) - np.repeat(self.starts, self.lens)
-        self.left = np.repeat(self.lens, self.lens) - self.pos
+        small = np.int32 if size < 1 << 31 else np.int64
+        self.pos = np.arange(size, dtype=small) - np.repeat(self.starts.astype(small), self.lens)
+        self.left = np.repeat(self.lens.astype(small), self.lens) - self.pos
 
     def samples(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the cover samples and their k-gram names."""
         k = length - COVER_MOD + 1
-        names = gram_names(self.data, k)
         of_cover = np.zeros(COVER_MOD, bool)
         of_cover[list(COVER)] = True
-        m = len(names)
-        at = np.flatnonzero(of_cover[self.pos[:m] % COVER_MOD] & (self.left[:m] >= k))
-        return at, names[at]
+        at = np.flatnonzero(of_cover[self.pos % COVER_MOD] & (self.left >= k))
+        return at, gram_names(self.data, k, at)
 
     def candidates(self, length: int, at: np.ndarray, repeated: np.ndarray) -> np.ndarray:
         """Starts of L-grams with a repeated sample in reach, as a bit per byte."""
@@ -294,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
 
     def suffixes(block: Block, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct names, their first start, and the name index of every spot."""
-        names = gram_names(block.data, length)[spots]
+        names = gram_names(block.data, length, spots)
         order = np.argsort(names, kind="stable")
         s = names[order]
         new = np.ones(len(s), bool)
