@@ -66,10 +66,14 @@ def is_safe(text: Column, rules=PII) -> Column:
 
 def scrub(text: Column, rules=PII) -> Column:
     """Each match becomes [NAME_hash8]; equal values get equal marks."""
+
+    def mark(name: str):
+        return lambda t, m: F.replace(t, m, F.concat(F.lit(f"[{name}_"), F.substring(F.sha2(m, 256), 1, 8), F.lit("]")))
+
     for name, pattern in rules:
         found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
         longest = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
-        text = F.aggregate(longest, text, lambda t, m, name=name: F.replace(t, m, F.concat(F.lit(f"[{name}_"), F.substring(F.sha2(m, 256), 1, 8), F.lit("]"))))
+        text = F.aggregate(longest, text, mark(name))
     return text
 
 

@@ -1 +1,194 @@
-"""Queries."""
+"""Retrieval, fusion and ranking measures. Queries are benchmark items against documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import retrieval as S
+from .registry import query
+
+R = lambda c, n=6: F.round(c, n)
+W = r"list_filter(string_split_regex(trim(lower(coalesce(text, ''))), '\s+'), lambda x: x <> '')"
+BM = f"""d AS (SELECT doc_id AS id, {W} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM d),
+q AS (SELECT query, term, count(*) AS qf FROM (SELECT item_id AS query, unnest({W}) AS term FROM benchmark WHERE item_id < 8) GROUP BY 1, 2),
+tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+bm AS (SELECT query, id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY 1, 2)"""
+VEC = """v AS (SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20),
+dn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM v QUALIFY rank <= 20),
+l2 AS (SELECT a.vec_id AS query, b.vec_id AS id, 1 / (1 + list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20),
+sp AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM l2 QUALIFY rank <= 20)"""
+
+
+def words(c):
+    return T.words(F.lower(c))
+
+
+def few(t):
+    return t.benchmark.where("item_id < 8").select(F.col("item_id").alias("query"), "text")
+
+
+def lexical(t):
+    return S.bm25(t.documents.select("doc_id", "text"), few(t), words)
+
+
+def dense(t):
+    return S.nearest(t.embeddings, t.embeddings.where("vec_id < 20"), "vec_id", "embedding", 20, exclude_self=True)
+
+
+def other(t):
+    return S.nearest(t.embeddings, t.embeddings.where("vec_id < 20"), "vec_id", "embedding", 20, exclude_self=True, metric="l2")
+
+
+@query("bm25_topk", f"WITH {BM} SELECT query, id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM bm) WHERE rank <= 10")
+def bm25_topk(t):
+    # rounded first: the order of float sums would else decide ties
+    return S.top(lexical(t).withColumn("score", R(F.col("score"))), 10).withColumn("score", R(F.col("score"), 5))
+
+
+@query("ret_bm25_okapi", f"WITH {BM.replace('tf * 2.5 / (tf + 1.5 *', 'tf * 2.2 / (tf + 1.2 *')} SELECT query, id, round(score, 5) AS score FROM bm WHERE score > 0")
+def ret_okapi(t):
+    return S.bm25(t.documents.select("doc_id", "text"), few(t), words, k1=1.2).where("score > 0").withColumn("score", R(F.col("score"), 5))
+
+
+@query("ret_token_jaccard", f"WITH d AS (SELECT doc_id AS id, list_distinct({W}) AS w FROM documents), q AS (SELECT item_id AS query, list_distinct({W}) AS w FROM benchmark WHERE item_id < 8) SELECT query, id, round(len(list_intersect(d.w, q.w)) / len(list_distinct(list_concat(d.w, q.w))), 6) AS score FROM d, q WHERE list_has_any(d.w, q.w)")
+def ret_jaccard(t):
+    return S.token_jaccard(t.documents.where("text IS NOT NULL"), few(t), words).withColumn("score", R(F.col("score")))
+
+
+@query("ret_dense", f"WITH {VEC} SELECT query, id, round(score, 5) AS score, rank FROM dn WHERE rank <= 10")
+def ret_dense(t):
+    return dense(t).where("rank <= 10").withColumn("score", R(F.col("score"), 5))
+
+
+@query("ret_dense_l2", f"WITH {VEC} SELECT query, id, round(score, 5) AS score, rank FROM sp WHERE rank <= 10")
+def ret_l2(t):
+    return other(t).where("rank <= 10").withColumn("score", R(F.col("score"), 5))
+
+
+@query("ret_dense_threshold", f"WITH {VEC} SELECT query, id, round(score, 5) AS score FROM dn WHERE score >= 0.3")
+def ret_threshold(t):
+    return S.nearest(t.embeddings, t.embeddings.where("vec_id < 20"), "vec_id", "embedding", 20, exclude_self=True, least=0.3).select("query", "id", R(F.col("score"), 5).alias("score"))
+
+
+@query("ret_ivf_recall")
+def ret_ivf(t):
+    """Share of the exact ten nearest that four of sixteen cells find, per query."""
+    model, indexed = S.ivf(t.embeddings, "vec_id", "embedding", 16)
+    q = t.embeddings.where("vec_id < 50")
+    got = S.search_ivf(model, indexed, q, "vec_id", "embedding", 10, 4)
+    exact = S.nearest(t.embeddings, q, "vec_id", "embedding", 10)
+    hit = exact.join(got.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return hit.groupBy("query").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+@query("fus_rrf", f"WITH {VEC} SELECT query, id, round(sum(1 / (60 + rank)), 8) AS score FROM (FROM dn UNION ALL FROM sp) GROUP BY 1, 2")
+def fus_rrf(t):
+    return S.rrf([dense(t), other(t)]).withColumn("score", R(F.col("score"), 8))
+
+
+@query("fus_rrf_normalized", f"WITH {VEC}, r AS (SELECT query, id, sum(1 / (60 + rank)) AS s FROM (FROM dn UNION ALL FROM sp) GROUP BY 1, 2) SELECT query, id, round(s / max(s) OVER (PARTITION BY query), 4) AS score FROM r")
+def fus_rrf_norm(t):
+    return S.rrf([dense(t), other(t)], normalize=True).withColumn("score", R(F.col("score"), 4))
+
+
+@query("fus_weighted", f"WITH {VEC} SELECT query, id, round(sum(s), 4) AS score FROM (SELECT query, id, 0.6 * score AS s FROM dn UNION ALL SELECT query, id, score FROM sp) GROUP BY 1, 2")
+def fus_weighted(t):
+    return S.weighted([dense(t), other(t)], [0.6]).withColumn("score", R(F.col("score"), 4))
+
+
+@query("fus_combsum", f"WITH {VEC} SELECT query, id, round(sum(score), 4) AS score FROM (FROM dn UNION ALL FROM sp) GROUP BY 1, 2")
+def fus_combsum(t):
+    return S.weighted([dense(t), other(t)]).withColumn("score", R(F.col("score"), 4))
+
+
+@query("fus_borda", f"WITH {VEC} SELECT query, id, sum(21 - rank)::DOUBLE AS score FROM (FROM dn UNION ALL FROM sp) GROUP BY 1, 2")
+def fus_borda(t):
+    return S.borda([dense(t), other(t)])
+
+
+BOTH = "b AS (SELECT query, id, dn.score AS d, sp.score AS s FROM dn FULL JOIN sp USING (query, id))"
+
+
+@query("fus_of_max", f"WITH {VEC}, {BOTH} SELECT query, id, round(0.7 * coalesce(d, 0) / max(d) OVER w + 0.3 * coalesce(s, 0) / max(s) OVER w, 4) AS score FROM b WINDOW w AS (PARTITION BY query)")
+def fus_of_max(t):
+    return S.weighted_of_max(dense(t), other(t)).withColumn("score", R(F.col("score"), 4))
+
+
+@query("fus_best", f"WITH {VEC}, {BOTH} SELECT query, id, round(greatest(d, s), 4) AS score FROM b")
+def fus_best(t):
+    return S.best_score(dense(t), other(t)).withColumn("score", R(F.col("score"), 4))
+
+
+@query("fus_least", f"WITH {VEC}, {BOTH} SELECT query, id, round(least(d, s), 4) AS score FROM b WHERE d IS NOT NULL AND s IS NOT NULL")
+def fus_least(t):
+    return S.least_score(dense(t), other(t)).withColumn("score", R(F.col("score"), 4))
+
+
+@query("fus_alpha", f"WITH {VEC}, a AS (SELECT query, id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS d FROM dn WINDOW w AS (PARTITION BY query)), c AS (SELECT query, id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s FROM sp WINDOW w AS (PARTITION BY query)) SELECT query, id, round(0.65 * d + 0.35 * coalesce(s, 0), 4) AS score FROM a LEFT JOIN c USING (query, id)")
+def fus_alpha(t):
+    return S.alpha_fusion(dense(t), other(t)).withColumn("score", R(F.col("score"), 4))
+
+
+@query("fus_hybrid", f"WITH {VEC}, {BOTH} SELECT query, id, round(0.4 * coalesce(s, 0) + 0.4 * coalesce(d, 0) + 0.2 * label / 10, 4) AS score FROM b JOIN embeddings ON vec_id = id WHERE 0.4 * coalesce(s, 0) + 0.4 * coalesce(d, 0) + 0.2 * label / 10 >= 0.1")
+def fus_hybrid(t):
+    prior = t.embeddings.select(F.col("vec_id").alias("id"), (F.col("label") / 10).alias("prior"))
+    return S.hybrid(other(t), dense(t), prior, least=0.1).withColumn("score", R(F.col("score"), 4))
+
+
+@query("ret_mmr")
+def ret_mmr(t):
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return S.mmr(dense(t), v, 10, 0.7).withColumn("score", R(F.col("score")))
+
+
+@query("ret_authority", f"WITH {VEC}, s AS (SELECT query, id, least(1, score + CASE label WHEN 1 THEN 0.3 WHEN 2 THEN 0.2 WHEN 3 THEN 0.1 ELSE 0 END + 0.2 * (id % 10) / 10 + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END) AS score FROM dn JOIN embeddings ON vec_id = id) SELECT query, id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5")
+def ret_authority(t):
+    meta = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("court_rank"), (F.col("vec_id") % 10 / 10).alias("authority"), (F.col("vec_id") % 3 == 0).alias("cited"))
+    return S.authority_rerank(dense(t).drop("rank").join(meta, "id"), {1: 0.3, 2: 0.2, 3: 0.1}, 5).select("query", "id", R(F.col("score"), 5).alias("score"))
+
+
+@query("ret_link_decision", f"WITH {VEC}, r AS (SELECT query, id, score, row_number() OVER w AS r, lead(score) OVER w AS nx FROM dn WINDOW w AS (PARTITION BY query ORDER BY score DESC, id)) SELECT query, id, CASE WHEN score >= 0.45 AND score - coalesce(nx, 0) >= 0.02 THEN 'LINK' WHEN score < 0.35 THEN 'CREATE' ELSE 'UNRESOLVED' END AS decision FROM r WHERE r = 1")
+def ret_link(t):
+    return S.link_decision(dense(t), "query", 0.45, 0.35, 0.02).select("query", "id", "decision")
+
+
+@query("ret_faithfulness", r"WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents WHERE text IS NOT NULL) SELECT a.doc_id, round(CASE WHEN len(a.w) > 0 THEN len(list_intersect(a.w, b.w)) / len(a.w) ELSE 0 END, 6) AS faithful FROM d a JOIN d b ON b.doc_id = a.doc_id + 1")
+def ret_faithfulness(t):
+    d = t.documents.where("text IS NOT NULL").select("doc_id", "text")
+    o = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("c"))
+    return d.join(o, "doc_id").select("doc_id", R(S.faithfulness(F.col("text"), F.col("c"))).alias("faithful"))
+
+
+REL = "rel AS (SELECT a.vec_id AS query, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20)"
+
+
+def relevant(t):
+    a = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query"), "label")
+    b = t.embeddings.select(F.col("vec_id").alias("id"), "label")
+    return a.join(b, "label").where("query <> id").select("query", "id")
+
+
+MEASURE = f"""{VEC}, {REL}, n AS (SELECT query, count(*) AS n_rel FROM rel GROUP BY 1),
+h AS (SELECT dn.query, dn.id, rank, CASE WHEN rel.id IS NULL THEN 0 ELSE 1 END AS hit FROM dn LEFT JOIN rel USING (query, id)),
+g AS (SELECT query, sum(hit) FILTER (rank <= 10) AS hits, count(*) FILTER (rank <= 10) AS found, min(rank) FILTER (hit = 1) AS first, sum(seen / rank) FILTER (hit = 1) AS ap, sum(1 / log2(rank + 1)) FILTER (hit = 1 AND rank <= 10) AS dcg
+ FROM (SELECT *, sum(hit) OVER (PARTITION BY query ORDER BY rank) AS seen FROM h) GROUP BY 1),
+m AS (SELECT query, coalesce(hits / n_rel, 0) AS recall, coalesce(hits / found, 0) AS precision, coalesce(1 / first, 0) AS rr, coalesce(ap / n_rel, 0) AS ap, coalesce(dcg / list_sum(list_transform(range(1, least(n_rel, 10) + 1), lambda r: 1 / log2(r + 1))), 0) AS ndcg FROM n LEFT JOIN g USING (query))"""
+
+
+@query("evl_measures", f"WITH {MEASURE} SELECT query, round(recall, 6) AS recall, round(precision, 6) AS precision, round(rr, 6) AS rr, round(ap, 6) AS ap, round(ndcg, 6) AS ndcg FROM m")
+def evl_measures(t):
+    out = S.measures(dense(t), relevant(t), 10)
+    return out.select("query", *[R(F.col(c)).alias(c) for c in out.columns[1:]])
+
+
+@query("evl_failures", f"WITH {MEASURE} SELECT query, CASE WHEN recall = 0 THEN 'recall_0' WHEN precision < 0.2 THEN 'precision_low' ELSE 'hard' END AS failure FROM m WHERE recall = 0 OR precision < 0.2 OR recall < 0.3")
+def evl_failures(t):
+    return S.failures(S.measures(dense(t), relevant(t), 10)).select("query", "failure")
+
+
+@query("evl_paired_test", f"WITH {MEASURE}, d AS (SELECT ap - ndcg AS d FROM m) SELECT count(*) AS n, round(avg(d), 6) AS difference, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t, round(avg(d) / stddev_samp(d), 5) AS cohen_d FROM d")
+def evl_paired(t):
+    out = S.paired_test(S.measures(dense(t), relevant(t), 10), "ap", "ndcg")
+    return out.select("n", R(F.col("difference")).alias("difference"), R(F.col("t"), 4).alias("t"), R(F.col("cohen_d"), 5).alias("cohen_d"))
