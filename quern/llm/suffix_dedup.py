@@ -174,23 +174,28 @@ def _cuts(names: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
 
 
-def _coded(names: np.ndarray, wide: bool) -> bytes:
-    """Sorted names: whole, or their upper 48 bits as differences (a filter needs no more)."""
-    if wide:
-        return names.tobytes()
-    upper = names >> np.uint64(16)
-    step = np.diff(upper, prepend=upper[:1])
-    head = upper[:1].tobytes()
-    if len(step) and step.max() >= 1 << 32:
-        return head + b"\1" + step.tobytes()
-    return head + b"\0" + step.astype(np.uint32).tobytes()
-
-
-def _decoded(raw: bytes, wide: bool) -> np.ndarray:
-    if wide:
-        return np.frombuffer(raw, np.uint64)
-    first = np.frombuffer(raw[:8], np.uint64)
-    step = np.frombuffer(raw[9:], np.uint64 if raw[8] else np.uint32).astype(np.uint64)
+def _coded(names: np.ndarray, whole: bool) -> bytes:
+    """Sorted names as their first value and differences: of all 64 bits in 6 bytes
+    each plus the few larger ones, or of the upper 48 bits (a filter needs no more)."""
+    if not whole:
+        names = names >> np.uint64(16)
+    step = np.diff(names, prepend=names[:1])
+    bits, width = (48, 6) if whole else (32, 4)
+    large = np.flatnonzero(step >> np.uint64(bits))
+    low = step.view(np.uint8).reshape(-1, 8)[:, :width]
+    head = np.array([len(step), len(large)], np.int64).tobytes() + names[:1].tobytes()
+    return head + low.tobytes() + large.astype(np.int64).tobytes() + (step[large] >> np.uint64(bits)).tobytes()
+
+
+def _decoded(raw: bytes, whole: bool) -> np.ndarray:
+    bits, width = (48, 6) if whole else (32, 4)
+    n, k = np.frombuffer(raw, np.int64, 2)
+    first = np.frombuffer(raw, np.uint64, 1, 16)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, 24).reshape(n, width)
+    step = wide.view(np.uint64).ravel()
+    at = 24 + n * width
+    step[np.frombuffer(raw, np.int64, k, at)] |= np.frombuffer(raw, np.uint64, k, at + 8 * k) << np.uint64(bits)
     return first + np.cumsum(step, dtype=np.uint64)
 
 
