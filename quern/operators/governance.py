@@ -354,8 +354,8 @@ def mahalanobis(df: DataFrame, key: str, vector: str, n: int, threshold: float)
     """Diagonal distance of each vector from the mean, over a threshold, at most 1."""
     stats = df.agg(*[F.avg(F.col(vector)[i]).alias(f"m{i}") for i in range(n)], *[F.var_pop(F.col(vector)[i]).alias(f"v{i}") for i in range(n)])
     m, v = F.array(*[F.col(f"m{i}") for i in range(n)]), F.array(*[F.col(f"v{i}") + 1e-8 for i in range(n)])
-    one = stats.select(m.alias("m"), v.alias("v"))
-    gap = F.zip_with(F.zip_with(vector, "m", lambda x, y: x - y), "v", lambda d, s: d * d / s)
+    one = stats.select(m.alias("_m"), v.alias("_v"))
+    gap = F.zip_with(F.zip_with(vector, "_m", lambda x, y: x - y), "_v", lambda d, s: d * d / s)
     dist = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x))
     return df.join(F.broadcast(one), how="cross").select(key, F.least(dist / threshold, F.lit(1.0)).alias("ood"))  # one row
 
