@@ -40,6 +40,16 @@ FINE_BLOCKS = 32
 KEYS = ("d", "t", "l")
 
 
+#: Lists of lines of this total size at most are broadcast to the texts; larger ones are joined by shuffle.
+MAX_BROADCAST_BYTES = 32 << 20
+
+
+def _sized(lists: DataFrame, column: str, width: int) -> DataFrame:
+    """lists (d, t, array column), marked for broadcast if its measured size is small."""
+    total = lists.agg(F.sum(F.size(column) * F.lit(width) + 64)).first()[0] or 0
+    return F.broadcast(lists) if total <= MAX_BROADCAST_BYTES else lists
+
+
 def _same(left: DataFrame, right: DataFrame) -> Column:
     return left["d"].eqNullSafe(right["d"]) & (left["t"] == right["t"])
 
@@ -82,7 +92,7 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     per_doc = stored(per_line.groupBy("d", "t").agg(F.collect_list(F.struct("l", "blocks")).alias("wanted")), "wanted")
     release(docs.sparkSession)
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
-    found = texts.join(per_doc, _same(texts, per_doc)).select(texts["d"], texts["t"], F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    found = texts.join(_sized(per_doc, "wanted", 64), _same(texts, per_doc)).select(texts["d"], texts["t"], F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     found = found.select("d", "t", "w.l", F.col("lines")[F.col("w.l")].alias("line"), "w.blocks").dropDuplicates(list(KEYS))
     found = stored(found, "lines")
     release(docs.sparkSession)
@@ -151,7 +161,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def _joined(docs: DataFrame, min_chars: int) -> DataFrame:
     """docs with _lines and _gone."""
-    gone = removed_lines(docs, min_chars).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
+    gone = _sized(removed_lines(docs, min_chars), "gone", 4).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
     keyed = docs.withColumn("_k", F.xxhash64("text"))
     return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")), "left").drop("_k", "_d", "_t")
 
