@@ -28,9 +28,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines; lines that do not parse keep their text in _corrupt_record."""
+    """JSON lines; lines that do not parse keep their text in _corrupt_record; _path names the file."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("_path"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return lines.select(F.from_json("value", full, options).alias("r"), "_path").select("r.*", "_path")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -70,6 +72,6 @@ def first_per_hash(files: DataFrame) -> DataFrame:
 
 
 def load_status(df: DataFrame, corrupt: str = "_corrupt_record") -> DataFrame:
-    """(path, n, failed, status) per file of a frame read with corrupt records kept."""
-    out = df.select(F.col("_metadata.file_path").alias("path"), F.col(corrupt).isNotNull().alias("bad")).groupBy("path").agg(F.count("*").alias("n"), F.count_if("bad").alias("failed"))
+    """(path, n, failed, status) per file of JSON lines."""
+    out = df.select(F.col("_path").alias("path"), F.col(corrupt).isNotNull().alias("bad")).groupBy("path").agg(F.count("*").alias("n"), F.count_if("bad").alias("failed"))
     return out.withColumn("status", F.when(F.col("failed") == F.col("n"), "FAILED").otherwise("SUCCESS"))
