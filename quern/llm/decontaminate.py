@@ -68,7 +68,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     for length in lengths or [n]:
         rows = base.select("doc_id", "text_key", "w", F.posexplode(_hash_windows(F.col("w"), length)).alias("at", "hash"))
         part = known.where(F.col("len") == length).select("hash", "window", "items") if not lengths == [length] else known.select("hash", "window", "items")
-        part = F.broadcast(part) if known is not windows else part
+        # without the hint the planner may take the exploded documents for the small side
+        part = F.broadcast(part) if known is not windows else part.hint("merge")
         # two inequalities: as an equality it would be a join key, built for every window
         text = _window_text(F.col("w"), F.col("at"), F.lit(length))
         same = (text >= F.col("window")) & (text <= F.col("window"))

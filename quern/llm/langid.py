@@ -84,10 +84,12 @@ def gram_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             acc = acc * MIX_1 + marks[k : k + m]
             if 0 < k < n - 1:
                 whole &= marks[k : k + m] != 0
+        # a gram belongs to the text of its letters; marks may stem from the text before
+        own = owner[1 : 1 + m] if n > 2 else np.where(marks[:m] != 0, owner[:m], owner[1 : 1 + m])
         if n == 2:
             whole &= (marks[:m] != 0) | (marks[1 : 1 + m] != 0)
         hashes.append(mix(acc[whole]))
-        owners.append(owner[n - 2 : n - 2 + m][whole])
+        owners.append(own[whole])
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(hashes), np.concatenate(owners)
