@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import MIX_1, held_out, mix
 
 UNDETERMINED = "und"
-#: Documents to learn from per language, and n-grams kept per language, at most.
+#: Documents to learn from per language, about, and n-grams kept per language, at most.
 TRAIN_DOCS, TRAIN_GRAMS = 1_000, 30_000
 #: An n-gram belongs to a language if it is at least this share as frequent there as where it is most frequent.
 OWN_SHARE = 0.2
@@ -39,6 +39,7 @@ SLOT_BITS, LOOKUPS = 20, 3
 MAX_LANGUAGES = 64
 SIZES = (2, 3, 4)
 CHUNK_CHARS = 1 << 20
+SLICES = 1 << 30
 
 _letters: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -151,17 +152,15 @@ def _slots(hashes: np.ndarray):
 
 
 def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Languages:
-    """Learn from rows (text, lang), at most train_docs of each language."""
+    """Learn from rows (text, lang), about train_docs of each language at most."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    keyed = rows.withColumn("_h", F.xxhash64(F.lit(5), "text"))
-    # texts are not sorted: the least hashes are found on the hashes alone
-    least = keyed.select("lang", "_h").withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_k") <= train_docs)
-    bounds = {r["lang"]: r["m"] for r in least.groupBy("lang").agg(F.max("_h").alias("m")).collect()}
-    if not bounds:
+    keyed = rows.withColumn("_h", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(SLICES)))
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not totals:
         return Languages.build({})
     within = F.lit(False)
-    for lang, bound in bounds.items():
-        within = within | ((F.col("lang") == lang) & (F.col("_h") <= bound))
+    for lang, n in totals.items():
+        within = within | ((F.col("lang") == lang) & (F.col("_h") < int(min(1.0, train_docs / n) * SLICES)))
 
     def count(batches):
         for batch in batches:
@@ -178,7 +177,7 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Languages:
     got["share"] = got["n"] / got.groupby("lang")["n"].transform("sum")
     got = got[got["share"] >= OWN_SHARE * got.groupby("gram")["share"].transform("max")]
     grams = {lang: part["gram"].to_numpy(np.int64).view(np.uint64) for lang, part in got.groupby("lang")}
-    return Languages.build({lang: grams.get(lang, np.empty(0, np.uint64)) for lang in bounds})
+    return Languages.build({lang: grams.get(lang, np.empty(0, np.uint64)) for lang in totals})
 
 
 def predict(docs: DataFrame, languages: Languages) -> DataFrame:
