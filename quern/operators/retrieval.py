@@ -19,6 +19,7 @@ MAX_BROADCAST_QUERIES = 5_000
 
 def bm25(docs: DataFrame, queries: DataFrame, tokens, k1: float = 1.5, b: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query, id, score) of documents with a term of the query; repeated terms count again.
+    Terms are added as decimals, so equal documents get equal scores in any order.
 
     queries: (query, text). Only postings of query terms are built; they are
     counted on the map side before the one shuffle by document and term.
@@ -33,7 +34,7 @@ def bm25(docs: DataFrame, queries: DataFrame, tokens, k1: float = 1.5, b: float
     part = tf.join(F.broadcast(df), "term").join(F.broadcast(size), how="cross")  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    return part.withColumn("w", weight).join(F.broadcast(q), "term").groupBy("query", "id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    return part.withColumn("w", weight).join(F.broadcast(q), "term").groupBy("query", "id").agg(F.sum((F.col("w") * F.col("qf")).cast("decimal(28,12)")).cast("double").alias("score"))
 
 
 def top(results: DataFrame, k: int, descending: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ BM = f"""d AS (SELECT doc_id AS id, {W} AS w FROM documents), s AS (SELECT count
 q AS (SELECT query, term, count(*) AS qf FROM (SELECT item_id AS query, unnest({W}) AS term FROM benchmark WHERE item_id < 8) GROUP BY 1, 2),
 tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-bm AS (SELECT query, id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY 1, 2)"""
+bm AS (SELECT query, id, sum(CAST(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m)) AS DECIMAL(28, 12)))::DOUBLE AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY 1, 2)"""
 VEC = """v AS (SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20),
 dn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM v QUALIFY rank <= 20),
 l2 AS (SELECT a.vec_id AS query, b.vec_id AS id, 1 / (1 + list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20),
@@ -41,10 +41,9 @@ def other(t):
     return S.nearest(t.embeddings, t.embeddings.where("vec_id < 20"), "vec_id", "embedding", 20, exclude_self=True, metric="l2")
 
 
-@query("bm25_topk", f"WITH {BM} SELECT query, id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM bm) WHERE rank <= 10")
+@query("bm25_topk", f"WITH {BM} SELECT query, id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 10")
 def bm25_topk(t):
-    # rounded first: the order of float sums would else decide ties
-    return S.top(lexical(t).withColumn("score", R(F.col("score"))), 10).withColumn("score", R(F.col("score"), 5))
+    return S.top(lexical(t), 10).withColumn("score", R(F.col("score"), 5))
 
 
 @query("ret_bm25_okapi", f"WITH {BM.replace('tf * 2.5 / (tf + 1.5 *', 'tf * 2.2 / (tf + 1.2 *')} SELECT query, id, round(score, 5) AS score FROM bm WHERE score > 0")
