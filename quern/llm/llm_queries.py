@@ -16,4 +16,9 @@ QUERIES = {
     "op9_decontaminate": decontaminate.query,
     "op10_quality_fm": quality_fm.query,
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": line_dedup.ORACLE,
+    "op6_ngram_join": ngram_join.ORACLE,
+    "op7_chat_format": chat_format.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
+}

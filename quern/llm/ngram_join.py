@@ -349,3 +349,14 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_groups(docs, Rule(k=3, num=90, den=100))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM d),
+f AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM s),
+p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM f x JOIN f y ON x.g = y.g AND x.doc_id <> y.doc_id AND 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n)
+  GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+c AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.node)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(c.root) AS component_id FROM s JOIN c ON c.node = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
