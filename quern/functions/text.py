@@ -23,6 +23,12 @@ PII = (
 URL = r"https?://\S+|www\.\S+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row: inside a lambda an
+    expression would be computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize(text: Column) -> Column:
     """One form of letters and digits, no diacritics, single spaces."""
     out = F.translate(F.translate(text, LETTER_FORMS, LETTER_STANDARD), DIGITS_OTHER, DIGITS_OWN)
@@ -70,10 +76,16 @@ def scrub(text: Column, rules=PII) -> Column:
     def mark(name: str):
         return lambda t, m: F.replace(t, m, F.concat(F.lit(f"[{name}_"), F.substring(F.sha2(m, 256), 1, 8), F.lit("]")))
 
+    def step(name: str, pattern: str):
+        def of(t: Column) -> Column:
+            found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+            longest = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
+            return F.aggregate(longest, t, mark(name))
+
+        return of
+
     for name, pattern in rules:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        longest = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
-        text = F.aggregate(longest, text, mark(name))
+        text = let(text, step(name, pattern))
     return text
 
 
@@ -131,7 +143,11 @@ def overlap(part: Column, whole: Column) -> Column:
 
 
 def ngrams(items: Column, n: int) -> Column:
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - (n - 1)), lambda i: F.array_join(F.slice(items, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def of(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    return let(items, of)
 
 
 def dates(text: Column) -> Column:

@@ -63,6 +63,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / F.when(n > 0, n)).otherwise(0.0)
 
 
+def unit(v: Column) -> Column:
+    """The vector over its length; a zero vector stays as it is."""
+    return T.let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / F.when(n > 0, n)).otherwise(0.0)))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False, metric: str = "cosine", least: float | None = None) -> DataFrame:
     """(query, id, score, rank): exact nearest vectors of a bounded query set.
 
@@ -71,8 +76,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     """
     n = queries.count()
     blocks = max(1, -(-n // MAX_BROADCAST_QUERIES))
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(dot(c, c)))
-    prepare = (lambda c: unit(c)) if metric == "cosine" else (lambda c: c)
+    prepare = unit if metric == "cosine" else (lambda c: c)
     v = vectors.select(F.col(key).alias("id"), prepare(F.col(vector)).alias("v"))
     q = queries.select(F.col(key).alias("query"), prepare(F.col(vector)).alias("q")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     parts = []
