@@ -327,6 +327,49 @@ def test_base_counts(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_distances_by_hand(spark):
+    from collections import Counter
+    from math import log2, sqrt
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: (r["text"] or "", r["lang"]) for r in docs.collect()}
+    kinds = [*(re.compile(p.rstrip("+")) for p in quality_rules.CLASSES.values())]
+
+    def classes(text):
+        low = sum("a" <= c <= "z" for c in text)
+        named = [sum(bool(k.match(c)) for c in text if not "a" <= c <= "z") for k in kinds]
+        return [low, *named, sum(ord(c) > 127 for c in text)]
+
+    def apart(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        h = sum((a * log2(a / x) if a else 0) + (b * log2(b / x) if b else 0) for a, b, x in zip(p, q, m))
+        return sqrt(max(0.0, h / 2))
+
+    by_lang, words, total = defaultdict(lambda: [0] * 7), defaultdict(Counter), Counter()
+    for text, lang in rows.values():
+        by_lang[lang] = [a + b for a, b in zip(by_lang[lang], classes(text))]
+        w = re.findall("[^\x20\x09-\x0d]+", text)
+        total[lang] += len(w)
+        words[lang].update(x for x in w if len(x) <= quality_rules.COMMON_CHARS)
+    refs = {g: [x / sum(v) for x in v] for g, v in by_lang.items()}
+    common = {g: {w: n / total[g] for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: quality_rules.COMMON]} for g, c in words.items()}
+    for r in quality_rules.judge(docs).collect():
+        text = rows[r["doc_id"]][0]
+        w = re.findall("[^\x20\x09-\x0d]+", text)
+        far = near = None
+        if len(text) >= quality_rules.MIN_CHARS:
+            far = min(apart([x / len(text) for x in classes(text)], q) for q in refs.values())
+        if len(w) >= quality_rules.MIN_WORDS:
+            n = Counter(w)
+            lists = [([n[x] / len(w) for x in c], [*c.values()]) for c in common.values()]
+            near = min(apart([*p, 1 - sum(p)], [*q, 1 - sum(q)]) for p, q in lists)
+        assert (r["class_distance"] is None) == (far is None) and (r["word_distance"] is None) == (near is None)
+        assert far is None or abs(r["class_distance"] - far) < 1e-6
+        assert near is None or abs(r["word_distance"] - near) < 1e-6
+        good = (far is None or far <= quality_rules.MAX_CLASS_DISTANCE) and (near is None or near <= quality_rules.MAX_WORD_DISTANCE)
+        assert r["kept"] == (good and not r["base_failed"])
+
+
 def test_quality_rules_keep_the_good(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality_rules.query(spark, SF).join(labels, "doc_id")
