@@ -7,9 +7,13 @@ backslash before any character restores the text. All segments of a batch are
 copied into one preallocated buffer: lengths, cumulative offsets and scatter
 indices are computed with numpy, the buffer becomes an Arrow string array.
 
-Rows are dealt by conversation, sorted by (turn, role, text) and streamed; a
-conversation longer than a batch is returned in several consecutive pieces, so
-memory stays bounded by a batch however long a conversation is.
+Rows are dealt by ranges of (conversation, turn), sorted by (turn, role, text)
+and streamed. A long conversation is thus formatted by several tasks and comes
+in several pieces, numbered in order; memory stays bounded by a batch.
+
+A digest reads pieces back. Conversations that lie within one partition are
+digested where they are; only the pieces of those that may go on in the next
+partition, or are larger than a batch, move once more, to be digested in order.
 
 Defined results: null roles and texts count as empty; null conversation ids
 form one conversation; rows equal in turn are ordered by role, then text;
@@ -27,9 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 HEAD, HEAD_END, TAIL = "### ", "\n", "</turn>\n"
 LEARNED_ROLE = "assistant"
-PIECE_SCHEMA = "conv_id long, n_turns long, formatted string, loss_starts array<int>, loss_ends array<int>"
+PIECE_SCHEMA = "conv_id long, piece long, n_turns long, formatted string, loss_starts array<int>, loss_ends array<int>"
 #: Bytes assembled at once; a piece's offsets stay far below 2**31.
 BATCH_BYTES = 1 << 25
 
@@ -93,6 +99,9 @@ def assemble(conv: pa.Array, role: pa.Array, text: pa.Array) -> pa.RecordBatch:
 
 
 def _pieces(batches):
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
     for batch in batches:
         conv, role, text = batch.column(0), batch.column(1), batch.column(2)
         size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -100,18 +109,20 @@ def _pieces(batches):
         while start < len(conv):
             done = size[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(size, done + BATCH_BYTES, side="right")))
-            yield assemble(conv.slice(start, stop - start), role.slice(start, stop - start), text.slice(start, stop - start))
+            made = assemble(conv.slice(start, stop - start), role.slice(start, stop - start), text.slice(start, stop - start))
+            order = pa.array(np.arange(number, number + made.num_rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([made.column(0), order, *made.columns[1:]], [c.rpartition(" ")[0].strip() for c in re.split(r",(?![^<]*>)", PIECE_SCHEMA)])
+            number += made.num_rows
             start = stop
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """Formatted pieces with the byte spans under the loss mask.
+    """Formatted pieces with the byte spans under the loss mask, in order of piece.
 
-    One shuffle, by conversation. Pieces of a conversation lie next to each
-    other in one partition, in order.
+    One shuffle, by ranges, so a conversation of any length is spread.
     """
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn"), F.col("role").cast("string"), F.col("text").cast("string"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(_pieces, PIECE_SCHEMA)
 
 
@@ -144,31 +155,85 @@ class _Digest:
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def _digests(batches):
-    names = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    now: _Digest | None = None
+DIGEST_NAMES = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
+DIGEST_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
-    def packed(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+def _rows(batches):
     for batch in batches:
-        rows = []
-        for piece in batch.to_pylist():
-            if now is None or now.conv_id != piece["conv_id"]:
-                if now is not None:
-                    rows.append(now.row())
-                now = _Digest(piece["conv_id"])
-            now.add(piece["formatted"], piece["loss_starts"], piece["loss_ends"])
-        if rows:
-            yield packed(rows)
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1)
+
+
+def _digested(pieces) -> _Digest:
+    now = None
+    for piece in pieces:
+        row = piece.to_pylist()[0]
+        now = now or _Digest(row["conv_id"])
+        now.add(row["formatted"], row["loss_starts"], row["loss_ends"])
+    return now
+
+
+def _settled(batches):
+    """Digests of conversations that are whole, and the other pieces as they are."""
+    kinds = pa.schema([(n, k) for n, k in zip(DIGEST_NAMES, DIGEST_KINDS)])
+    held, size, ended, first = [], 0, [], True
+
+    def moved(piece):
+        return pa.RecordBatch.from_arrays([*[pa.nulls(1, k.type) for k in kinds], pa.array([True]), *piece.columns], [*kinds.names, "open", *[f"p_{n}" for n in piece.schema.names]])
+
+    def whole(rows, like):
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), DIGEST_KINDS)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([False] * len(rows)), *[pa.nulls(len(rows), f.type) for f in like.schema]], [*kinds.names, "open", *[f"p_{n}" for n in like.schema.names]])
+
+    now, loose, last = None, False, None
+    for piece in _rows(batches):
+        conv = (piece.column(0)[0].as_py(),)
+        if conv != now:
+            if held and not loose and not first:
+                ended.append(_digested(held).row())
+            else:
+                yield from map(moved, held)
+            first = now is None
+            now, loose, held, size = conv, False, [], 0
+            if len(ended) >= 1000:
+                yield whole(ended, piece)
+                ended = []
+        size += piece.nbytes
+        if loose or size > BATCH_BYTES:
+            yield from map(moved, held)
+            yield moved(piece)
+            loose, held = True, []
+        else:
+            held.append(piece)
+        last = piece
+    yield from map(moved, held)  # may go on in the next partition
+    if ended:
+        yield whole(ended, last)
+
+
+def _digests(batches):
+    now, rows = None, []
+    for piece in _rows(batches):
+        row = piece.to_pylist()[0]
+        if now is None or now.conv_id != row["conv_id"]:
+            if now is not None:
+                rows.append(now.row())
+            now = _Digest(row["conv_id"])
+        now.add(row["formatted"], row["loss_starts"], row["loss_ends"])
     if now is not None:
-        yield packed([now.row()])
+        rows.append(now.row())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), DIGEST_KINDS)], DIGEST_NAMES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
     """One row per conversation, read back from the formatted pieces."""
-    return pieces.mapInArrow(_digests, DIGEST_SCHEMA)
+    carried = ", ".join("p_" + c.strip() for c in re.split(r",(?![^<]*>)", PIECE_SCHEMA))
+    settled = stored(pieces.mapInArrow(_settled, f"{DIGEST_SCHEMA}, open boolean, {carried}"), "chats")
+    whole = settled.where("NOT open").select(*DIGEST_NAMES)
+    moved = settled.where("open").select(*[F.col(f"p_{c}").alias(c) for c in pieces.columns])
+    rest = moved.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(_digests, DIGEST_SCHEMA)
+    return whole.unionByName(rest)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
