@@ -58,6 +58,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shipped(spark: SparkSession, model):
+    """Broadcast a model of this package. Its class goes along by value: plain
+    broadcasts name classes by module, which executors may not have."""
+    from pyspark import cloudpickle
+
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(shared):
+    from pyspark import cloudpickle
+
+    return cloudpickle.loads(shared.value)
+
+
 MIX_1 = np.uint64(0x9E3779B97F4A7C15)
 MIX_2 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_3 = np.uint64(0x94D049BB133111EB)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import MIX_1, held_out, mix
+from .common import MIX_1, held_out, mix, received, shipped
 
 UNDETERMINED = "und"
 #: Documents to learn from per language, about, and n-grams kept per language, at most.
@@ -182,10 +182,10 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Languages:
 
 def predict(docs: DataFrame, languages: Languages) -> DataFrame:
     """(doc_id, lang_pred, score) of every row; one narrow pass, the filter (fixed 8 MB) is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(languages)
+    shared = shipped(docs.sparkSession, languages)
 
     def run(batches):
-        model = shared.value
+        model = received(shared)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             start = 0
@@ -206,11 +206,11 @@ def keep_known(docs: DataFrame, languages: Languages, min_score: float) -> DataF
 
     Where no language was learned, only texts without letters go.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(languages)
+    shared = shipped(docs.sparkSession, languages)
     column = docs.columns.index("text")
 
     def run(batches):
-        model = shared.value
+        model = received(shared)
         for batch in batches:
             texts = batch.column(column).to_pylist()
             start = 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, WordHasher, byte_values, held_out
+from .common import SPACE_BYTES, WordHasher, byte_values, held_out, received, shipped
 
 #: Labelled documents to learn from, at most about so many.
 TRAIN_DOCS = 4_000
@@ -215,14 +215,14 @@ def hash_bytes(value: bytes) -> int:
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, score) of every row; one narrow pass, the machine (a fixed 1 MB) is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = shipped(docs.sparkSession, machine)
 
     def run(batches):
-        hashers = Hashers()
+        hashers, model = Hashers(), received(shared)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _chunks(texts):
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(shared.value.score(texts[a:b], hashers).astype(np.float64))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(model.score(texts[a:b], hashers).astype(np.float64))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 

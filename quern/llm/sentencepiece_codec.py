@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import received, shipped
+
 SPACE = "▁"
 #: Symbol ids of characters that have no piece of their own start here.
 CHAR_BASE = 1 << 21
@@ -309,11 +311,11 @@ def encode(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_decoded
     broadcast. One narrow pass, no shuffle.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model_tables(model_path))
+    shared = shipped(spark, model_tables(model_path))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_decoded else "")
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = Codec(received(shared))
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in chunks(texts):
