@@ -14,7 +14,7 @@ from quern.llm import decontaminate, langid, line_dedup, ngram_join, sentencepie
 from quern.llm.common import stored
 
 #: Below this score two languages fit a document about equally.
-MIN_LANGUAGE_SCORE = 0.55
+MIN_LANGUAGE_SCORE = 0.505
 NEAR = ngram_join.Rule(k=5, num=80, den=100)
 MODEL = "piece_bpe_32k.model"
 
