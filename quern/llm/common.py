@@ -151,6 +151,23 @@ def byte_values(separators, lower: bool = False) -> np.ndarray:
     return out
 
 
+def text_slices(batches, limit: int, column: int = 1, rows: int = 512):
+    """(part of a batch, its texts): so few rows, and about so many characters, that
+    what is made of them stays small; one long text stands alone."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            some = batch.slice(at, rows)
+            texts = some.column(column).to_pylist()
+            start = 0
+            while start < len(texts):
+                stop, size = start, 0
+                while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= limit):
+                    size += len(texts[stop] or "")
+                    stop += 1
+                yield some.slice(start, stop - start), texts[start:stop]
+                start = stop
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of steps whose results are stored."""
     import gc

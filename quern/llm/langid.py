@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import MIX_1, held_out, mix, received, shipped
+from .common import MIX_1, held_out, mix, received, shipped, text_slices
 
 UNDETERMINED = "und"
 #: Documents to learn from per language, about, and n-grams kept per language, at most.
@@ -186,17 +186,9 @@ def predict(docs: DataFrame, languages: Languages) -> DataFrame:
 
     def run(batches):
         model = received(shared)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            start = 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= CHUNK_CHARS):
-                    size += len(texts[stop] or "")
-                    stop += 1
-                names, score = model.predict(texts[start:stop])
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start).cast(pa.int64()), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-                start = stop
+        for part, texts in text_slices(batches, CHUNK_CHARS):
+            names, score = model.predict(texts)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -211,22 +203,13 @@ def keep_known(docs: DataFrame, languages: Languages, min_score: float) -> DataF
 
     def run(batches):
         model = received(shared)
-        for batch in batches:
-            texts = batch.column(column).to_pylist()
-            start = 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= CHUNK_CHARS):
-                    size += len(texts[stop] or "")
-                    stop += 1
-                part = texts[start:stop]
-                if model.names:
-                    names, score = model.predict(part)
-                    keep = [n != UNDETERMINED and s >= min_score for n, s in zip(names, score)]
-                else:
-                    keep = [any(c.isalpha() for c in t or "") for t in part]
-                yield batch.slice(start, stop - start).filter(pa.array(keep, pa.bool_()))
-                start = stop
+        for part, texts in text_slices(batches, CHUNK_CHARS, column):
+            if model.names:
+                names, score = model.predict(texts)
+                keep = [n != UNDETERMINED and s >= min_score for n, s in zip(names, score)]
+            else:
+                keep = [any(c.isalpha() for c in t or "") for t in texts]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

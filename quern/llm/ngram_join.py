@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import MIX_1, SPACE_BYTES, WordHasher, byte_values, checkpointed, mix, release, stored
+from .common import MIX_1, SPACE_BYTES, WordHasher, byte_values, checkpointed, mix, release, stored, text_slices
 
 SKETCH_BITS = 19
 #: Longs of a bitmap signature.
@@ -95,16 +95,8 @@ class Shingler:
 
 def chunked(batches, fn):
     """Calls fn(ids, texts) on slices of bounded size of each batch."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= CHUNK_BYTES):
-                size += len(texts[stop] or "")
-                stop += 1
-            yield from fn(ids.slice(start, stop - start), texts[start:stop])
-            start = stop
+    for part, texts in text_slices(batches, CHUNK_BYTES):
+        yield from fn(part.column(0), texts)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
