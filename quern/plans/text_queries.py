@@ -127,3 +127,10 @@ def txt_ngrams(t):
 def txt_pages(t):
     path = F.regexp_extract("url", "^[^?#]*", 0)
     return t.pages.select("page_id", F.array_join(P.file_problems(path, F.length("html"), 1000, 20000, [".html"]), ",").alias("problems"))
+
+
+@query("txt_html", r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))) > 0 AS has_text FROM pages")
+def txt_html(t):
+    from ..sources.readers import html_text
+
+    return t.pages.select("page_id", (F.length(html_text(F.col("html"))) > 0).alias("has_text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,3 +75,42 @@ def load_status(df: DataFrame, corrupt: str = "_corrupt_record") -> DataFrame:
     """(path, n, failed, status) per file of JSON lines."""
     out = df.select(F.col("_path").alias("path"), F.col(corrupt).isNotNull().alias("bad")).groupBy("path").agg(F.count("*").alias("n"), F.count_if("bad").alias("failed"))
     return out.withColumn("status", F.when(F.col("failed") == F.col("n"), "FAILED").otherwise("SUCCESS"))
+
+
+def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
+    """One row per element of that tag."""
+    return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+
+
+def html_text(html: Column) -> Column:
+    """Text of a page: scripts, styles and tags go, common entities are resolved, spaces are single."""
+    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " ")
+    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
+    out = F.regexp_replace(out, r"(?i)</?(p|div|br|li|tr|h[1-6]|section|article)\b[^>]*>", "\n")
+    out = F.regexp_replace(out, r"<[^>]+>", "")
+    for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(mark))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+
+
+def read_docx(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text): paragraphs of word-processor files; files that do not open give null."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(folder)
+
+    def extract(batches):
+        import io
+        import zipfile
+        from xml.etree import ElementTree
+
+        name = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+        for pdf in batches:
+            texts = []
+            for raw in pdf["content"]:
+                try:
+                    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
+                    texts.append("\n".join("".join(t.text or "" for t in p.iter(f"{name}t")) for p in root.iter(f"{name}p")))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    texts.append(None)
+            yield pdf[["path"]].assign(text=texts)
+
+    return df.select("path", "content").mapInPandas(extract, "path string, text string")

@@ -210,3 +210,21 @@ def test_stream_upsert_and_rejects(spark, tmp_path):
     q = E.upsert_batches(stream, lambda b, e: good.extend(b.collect()), str(tmp_path / "ck"), F.col("v").isNotNull(), lambda b, e: bad.extend(b.collect()))
     q.awaitTermination()
     assert [r["k"] for r in good] == [1] and [r["k"] for r in bad] == [2]
+
+
+def test_marked_up_files(spark, tmp_path):
+    import zipfile
+
+    from pyspark.sql import types as Ty
+
+    (tmp_path / "a.xml").write_text("<r><law><no>1</no><name>x</name></law><law><no>2</no></law></r>")
+    schema = Ty.StructType([Ty.StructField("no", Ty.IntegerType()), Ty.StructField("name", Ty.StringType())])
+    assert sorted(map(tuple, readers.read_xml(spark, f"{tmp_path}/a.xml", "law", schema).collect())) == [(1, "x"), (2, None)]
+    html = "<html><style>b{}</style><p>One &amp;  two</p><!-- no --><script>x<y</script><div>three</div></html>"
+    assert spark.createDataFrame([(html,)], "h string").select(readers.html_text(F.col("h")).alias("t")).first()["t"] == "One & two\nthree"
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:p><w:t>He</w:t><w:t>llo</w:t></w:p><w:p><w:t>you</w:t></w:p></w:document>')
+    (tmp_path / "c.docx").write_text("no zip")
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in readers.read_docx(spark, str(tmp_path)).collect()}
+    assert got == {"b.docx": "Hello\nyou", "c.docx": None}
