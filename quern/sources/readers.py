@@ -90,7 +90,8 @@ def html_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]+>", "")
     for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(mark))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def read_docx(spark: SparkSession, folder: str) -> DataFrame:
