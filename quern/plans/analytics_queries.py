@@ -324,10 +324,10 @@ def join_control(t):
     return out.withColumn("gap", R(F.col("gap"), 6))
 
 
-@query("join_induced", "SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey < 200 AND l_partkey < 200")
+@query("join_induced", "SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey IN (SELECT p_partkey FROM part WHERE p_size > 25) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)")
 def join_induced(t):
     e = t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    return J.induced(e, t.spark.range(200), "id").select("src", "dst")
+    return J.induced(e, t.part.where("p_size > 25"), "p_partkey").select("src", "dst")
 
 
 # Aggregates

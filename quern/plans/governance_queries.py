@@ -72,9 +72,9 @@ def gov_impact(t):
     return rounded(V.disparate_impact(judged(t), F.col("lang") == "en", "prediction"))
 
 
-@query("gov_trace", "WITH RECURSIVE r AS (SELECT o_orderkey AS a, unnest([o_orderkey // 2, o_orderkey // 3]) AS b FROM orders WHERE o_orderkey < 500 AND o_orderkey > 0), p AS (SELECT 444::BIGINT AS node, 0 AS hops UNION SELECT b, hops + 1 FROM p JOIN r ON a = node WHERE hops < 10) SELECT node, min(hops) AS hops FROM p GROUP BY 1")
+@query("gov_trace", "WITH RECURSIVE r AS (SELECT o_orderkey AS a, unnest([o_orderkey // 2, o_orderkey // 3]) AS b FROM orders WHERE o_orderkey > 0), p AS (SELECT 444::BIGINT AS node, 0 AS hops UNION SELECT b, hops + 1 FROM p JOIN r ON a = node WHERE hops < 10) SELECT node, min(hops) AS hops FROM p GROUP BY 1")
 def gov_trace(t):
-    r = t.orders.where("o_orderkey < 500 AND o_orderkey > 0").selectExpr("o_orderkey AS output_id", "array(o_orderkey div 2, o_orderkey div 3) AS source_ids")
+    r = t.orders.where("o_orderkey > 0").selectExpr("o_orderkey AS output_id", "array(o_orderkey div 2, o_orderkey div 3) AS source_ids")
     return V.trace(r, 444, 10)
 
 
@@ -89,16 +89,16 @@ def gov_split(t):
     return V.split(t.documents.select("doc_id"), "doc_id", {"train": 0.8, "valid": 0.1, "test": 0.1}).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("gov_hash_chain", """WITH RECURSIVE e AS (SELECT user_id, event_id, props AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE user_id < 20),
+@query("gov_hash_chain", """WITH RECURSIVE e AS (SELECT user_id, event_id, props AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
   c AS (SELECT user_id, event_id, i, repeat('0', 64) AS prev_hash, sha256(body || repeat('0', 64)) AS hash FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, c.hash, sha256(e.body || c.hash) FROM c JOIN e ON e.user_id = c.user_id AND e.i = c.i + 1)
   SELECT event_id, prev_hash, hash FROM c""")
 def gov_chain(t):
-    return V.chained(t.events.where("user_id < 20").select("user_id", "event_id", "props"), "user_id", "event_id", "props").select("event_id", "prev_hash", "hash")
+    return V.chained(t.events.select("user_id", "event_id", "props"), "user_id", "event_id", "props").select("event_id", "prev_hash", "hash")
 
 
 @query("gov_verify_chain", "SELECT event_id FROM events WHERE false")
 def gov_verify(t):
-    chain = V.chained(t.events.where("user_id < 20").select("user_id", "event_id", "props"), "user_id", "event_id", "props")
+    chain = V.chained(t.events.select("user_id", "event_id", "props"), "user_id", "event_id", "props")
     return V.verify_chain(chain, "user_id", "event_id", "props").select("event_id")
 
 
@@ -161,7 +161,7 @@ def ban_linucb(t):
 @query("ban_exp3")
 def ban_exp3(t):
     arms = sorted(r[0] for r in t.events.select("event_type").distinct().collect())
-    e = t.events.where("user_id < 10").withColumn("reward", F.col("value") / 100)
+    e = t.events.withColumn("reward", F.col("value") / 100)
     return V.exp3(e, "user_id", "event_id", "event_type", "reward", arms)
 
 
@@ -182,9 +182,9 @@ def unc_committee(t):
     return rounded(V.committee(e, "user_id", "p", 2).join(ok, "user_id", "left_semi"), "user_id")
 
 
-@query("unc_core_set", "SELECT a.vec_id AS query, round(min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) AS distance FROM embeddings a, embeddings b WHERE a.vec_id >= 100 AND b.vec_id < 100 AND a.vec_id < 300 GROUP BY 1")
+@query("unc_core_set", "SELECT a.vec_id AS query, round(min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 <> 0 AND b.vec_id % 50 = 0 GROUP BY 1")
 def unc_core(t):
-    return rounded(V.core_set(t.embeddings.where("vec_id BETWEEN 100 AND 299"), t.embeddings.where("vec_id < 100"), "vec_id", "embedding"), "query", n=4)
+    return rounded(V.core_set(t.embeddings.where("vec_id % 50 <> 0"), t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding"), "query", n=4)
 
 
 @query("unc_calibration", f"WITH {JUDGED}, x AS (SELECT least(1, n_chars / 4000) AS c, quality AS q FROM j WHERE n_chars > 0), b AS (SELECT ceil(c * 10) AS b, count(*) AS n, avg(c) AS c, avg(q) AS a FROM x GROUP BY 1) SELECT round(sum(n / (SELECT count(*) FROM x) * abs(a - c)), 6) AS ece FROM b")

@@ -11,16 +11,17 @@ from .registry import query
 
 R = lambda c, n=6: F.round(c, n)
 
-#: A sparse directed graph over suppliers: consecutive suppliers of a part.
-SPARSE = """e AS (SELECT row_number() OVER (ORDER BY src, dst) AS id, src, dst FROM (SELECT DISTINCT p_partkey % 97 AS src, (p_partkey * 7 + p_size) % 97 AS dst FROM part WHERE p_size < 6) WHERE src <> dst)"""
+#: A sparse directed graph over all parts, two edges from each.
+SPARSE = """k AS (SELECT count(*) AS k FROM part), e AS (SELECT src * k + dst AS id, src, dst FROM (SELECT p_partkey AS src, (p_partkey * 7 + p_size) % k AS dst, k FROM part, k
+ UNION SELECT p_partkey, (p_partkey * 3 + p_size * p_size) % k, k FROM part, k) WHERE src <> dst)"""
 
 
 def sparse(t):
     """The same graph: (id, src, dst, type, weight, confidence)."""
-    e = t.part.where("p_size < 6").selectExpr("p_partkey % 97 AS src", "(p_partkey * 7 + p_size) % 97 AS dst").distinct().where("src <> dst")
-    from pyspark.sql.window import Window
-
-    e = e.withColumn("id", F.row_number().over(Window.orderBy("src", "dst")).cast("bigint"))
+    k = t.part.count()
+    one = t.part.selectExpr("p_partkey AS src", f"(p_partkey * 7 + p_size) % {k} AS dst")
+    two = t.part.selectExpr("p_partkey AS src", f"(p_partkey * 3 + p_size * p_size) % {k} AS dst")
+    e = one.union(two).distinct().where("src <> dst").withColumn("id", F.col("src") * k + F.col("dst"))
     kind = F.when(F.col("id") % 2 == 0, "CITES").otherwise("RELATED")
     return e.select("id", "src", "dst", kind.alias("type"), (1 - F.col("id") % 5 / 10).alias("weight"), F.lit(None).cast("double").alias("confidence"))
 
@@ -109,10 +110,10 @@ def gra_degrees(t):
     return G.degrees(sparse(t))
 
 
-@query("gra_components", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 400 AS src, 400 + l_partkey % 400 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 49 AND o_orderkey % 3 = 0), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), b AS (SELECT DISTINCT src AS node, src AS c FROM u UNION SELECT u.dst, b.c FROM b JOIN u ON u.src = b.node) SELECT node, min(c) AS component FROM b GROUP BY 1")
+@query("gra_components")
 def gra_components(t):
-    e = t.orders.where("o_orderkey % 3 = 0").join(t.lineitem.where("l_quantity > 49"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return G.components(e.selectExpr("o_custkey % 400 AS src", "400 + l_partkey % 400 AS dst"))
+    e = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    return G.components(e.selectExpr("o_custkey AS src", "1000000000 + l_partkey AS dst"))
 
 
 @query("gra_label_propagation")
@@ -169,7 +170,7 @@ def gra_quality(t):
 
 @query("gra_centrality")
 def gra_centrality(t):
-    e = sparse(t)
+    e = t.nation.selectExpr("CAST(n_nationkey AS BIGINT) AS src", "CAST(100 + n_regionkey AS BIGINT) AS dst").union(t.region.selectExpr("CAST(100 + r_regionkey AS BIGINT)", "CAST(100 + (r_regionkey + 1) % 5 AS BIGINT)"))
     out = G.brandes(e, G.degrees(e).select("node"))
     return out.withColumns({"betweenness": R(F.col("betweenness")), "closeness": R(F.col("closeness"))})
 
@@ -186,7 +187,7 @@ def gra_similarity(t):
     return G.similarity_edges(t.embeddings, "vec_id", "embedding", 3, 0.6, 0.2).withColumn("score", R(F.col("score"), 5))
 
 
-@query("gra_facts", "SELECT DISTINCT lower(l_returnflag) || '_edge' AS predicate, l_orderkey || '|' || l_partkey AS args FROM lineitem WHERE l_quantity > 49")
+@query("gra_facts", "SELECT DISTINCT lower(l_returnflag) || '_edge' AS predicate, l_orderkey || '|' || l_partkey AS args FROM lineitem")
 def gra_facts(t):
-    e = t.lineitem.where("l_quantity > 49").select(F.concat("l_returnflag", F.lit(" Edge")).alias("type"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    e = t.lineitem.select(F.concat("l_returnflag", F.lit(" Edge")).alias("type"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
     return G.facts_of_edges(e).select("predicate", F.array_join("args", "|").alias("args")).distinct()

@@ -10,17 +10,17 @@ from ..operators import knowledge as K
 from .registry import query
 
 R = lambda c, n=6: F.round(c, n)
-OLD = "e AS (SELECT DISTINCT p_partkey % 300 AS old, p_partkey % 300 + 1 + p_size % 7 AS new FROM part WHERE p_size % 5 = 0)"
+OLD = "e AS (SELECT p_partkey AS old, p_partkey // 2 AS new FROM part WHERE p_partkey >= 16)"
 
 
 def supersedes(t):
-    return t.part.where("p_size % 5 = 0").selectExpr("p_partkey % 300 AS old", "p_partkey % 300 + 1 + p_size % 7 AS new").distinct()
+    return t.part.where("p_partkey >= 16").selectExpr("p_partkey AS old", "p_partkey div 2 AS new")
 
 
-@query("kno_supersession_chains", f"""WITH RECURSIVE {OLD}, c AS (SELECT old AS start, new AS node, 1 AS hops FROM e UNION SELECT c.start, e.new, c.hops + 1 FROM c JOIN e ON e.old = c.node WHERE c.hops < 6),
+@query("kno_supersession_chains", f"""WITH RECURSIVE {OLD}, c AS (SELECT old AS start, new AS node, 1 AS hops FROM e UNION SELECT c.start, e.new, c.hops + 1 FROM c JOIN e ON e.old = c.node WHERE c.hops < 20),
   z AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops DESC, node) AS r FROM c WHERE node NOT IN (SELECT old FROM e)) SELECT start, node AS latest, hops FROM z WHERE r = 1""")
 def kno_chains(t):
-    return K.supersession_chains(supersedes(t), 6)
+    return K.supersession_chains(supersedes(t))
 
 
 @query("kno_audit_trail", "SELECT s_suppkey, coalesce(n, 0) AS n_citations, CASE WHEN s_acctbal < 0 THEN 'REJECT_SUPERSEDED' WHEN coalesce(n, 0) >= 600 THEN 'ACCEPT_CITED' ELSE 'ACCEPT' END AS decision FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey")
@@ -29,22 +29,22 @@ def kno_audit(t):
     return K.audit_trail(s, t.supplier.where("s_acctbal < 0"), t.lineitem.select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", 600)
 
 
-@query("kno_embedding_quality", "WITH c AS (SELECT CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END AS c FROM embeddings a, embeddings b WHERE a.vec_id < 200 AND b.vec_id < 200) SELECT 200::BIGINT AS n, round(avg(c), 5) AS mean, round(stddev_pop(c), 5) AS std FROM c")
+@query("kno_embedding_quality", "WITH c AS (SELECT CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END AS c FROM embeddings a, embeddings b) SELECT (SELECT count(*) FROM embeddings) AS n, round(avg(c), 5) AS mean, round(stddev_pop(c), 5) AS std FROM c")
 def kno_embedding(t):
-    out = K.embedding_quality(t.embeddings.where("vec_id < 200"), "vec_id", "embedding")
+    out = K.embedding_quality(t.embeddings, "vec_id", "embedding")
     return out.select("n", R(F.col("mean"), 5).alias("mean"), R(F.col("std"), 5).alias("std"))
 
 
-@query("kno_semantic_cache", "SELECT a.vec_id AS query, arg_max(b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS cached FROM embeddings a, embeddings b WHERE a.vec_id < 50 AND b.vec_id >= 50 AND b.vec_id % 2 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2 GROUP BY 1")
+@query("kno_semantic_cache", "SELECT a.vec_id AS query, arg_max(b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS cached FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0 AND b.vec_id % 2 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2 GROUP BY 1")
 def kno_cache(t):
-    cache = t.embeddings.where("vec_id >= 50").select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 2).alias("x")).withColumn("expires", 1 - F.col("x"))
-    q = t.embeddings.where("vec_id < 50").select(F.col("vec_id").alias("id"), "embedding")
+    cache = t.embeddings.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 2).alias("x")).withColumn("expires", 1 - F.col("x"))
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "embedding")
     return K.cached_answers(q, cache, "embedding", 0.2, F.lit(0)).select("query", "cached")
 
 
 @query("kno_adapted_weights")
 def kno_weights(t):
-    f = t.events.where("user_id < 20").select("user_id", "event_id", F.array(F.col("value") / 100, 1 - F.col("value") / 100).alias("s"), (F.col("event_id") % 5 / 5).alias("r"))
+    f = t.events.select("user_id", "event_id", F.array(F.col("value") / 100, 1 - F.col("value") / 100).alias("s"), (F.col("event_id") % 5 / 5).alias("r"))
     return K.adapted_weights(f, "user_id", "event_id", "s", "r", 2)
 
 
@@ -104,8 +104,8 @@ def kno_skeleton(t):
 
 @query("kno_resolved_results")
 def kno_resolved(t):
-    results = t.part.where("p_partkey < 100").select(F.lit(1).alias("query"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
-    return K.resolve_supersession(results, supersedes(t).where("old > 80")).select("id", "score")
+    results = t.part.select(F.lit(1).alias("query"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
+    return K.resolve_supersession(results, supersedes(t)).select("id", "score")
 
 
 @query("kno_token_statistics", r"SELECT lang, round(avg(len(w)), 6) AS mean_words, max(len(w))::INT AS most_words FROM (SELECT lang, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL) GROUP BY 1")

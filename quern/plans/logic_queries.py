@@ -8,11 +8,14 @@ from ..operators import logic as L
 from .registry import query
 
 R = lambda c, n=6: F.round(c, n)
-EDGE = "e AS (SELECT DISTINCT p_partkey % 61 AS a, (p_partkey * 5 + p_size) % 61 AS b FROM part WHERE p_size < 3)"
+EDGE = "e AS (SELECT s_suppkey + 10000 AS a, s_nationkey + 1000 AS b FROM supplier UNION ALL SELECT n_nationkey + 1000, n_regionkey + 100 FROM nation UNION ALL SELECT r_regionkey + 100, 1 FROM region)"
 
 
 def edges(t):
-    return t.part.where("p_size < 3").selectExpr("p_partkey % 61 AS a", "(p_partkey * 5 + p_size) % 61 AS b").distinct()
+    """The tree of suppliers, nations, regions and one root."""
+    parts = (t.supplier, "s_suppkey + 10000L", "s_nationkey + 1000L"), (t.nation, "n_nationkey + 1000L", "n_regionkey + 100L"), (t.region, "r_regionkey + 100L", "1L")
+    a, b, c = (f.selectExpr(f"{x} AS a", f"{y} AS b") for f, x, y in parts)
+    return a.union(b).union(c)
 
 
 PATH = [L.parse_rule("path(X, Y) :- edge(X, Y)"), L.parse_rule("path(X, Z) :- path(X, Y), edge(Y, Z)")]
@@ -23,9 +26,9 @@ def log_closure(t):
     return L.infer({"edge": edges(t)}, PATH)["path"]
 
 
-@query("log_prove", f'WITH RECURSIVE {EDGE}, p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT b AS "Y" FROM p WHERE a = 5')
+@query("log_prove", f'WITH RECURSIVE {EDGE}, p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT b AS "Y" FROM p WHERE a = 10005')
 def log_prove(t):
-    return L.prove({"edge": edges(t)}, PATH, L.parse_atom("path(5, Y)"))
+    return L.prove({"edge": edges(t)}, PATH, L.parse_atom("path(10005, Y)"))
 
 
 @query("log_two_rules", f"WITH {EDGE}, s AS (SELECT DISTINCT x.a AS a0, y.a AS a1 FROM e x JOIN e y ON x.b = y.b) SELECT DISTINCT s.a0, e.b AS a1 FROM s JOIN e ON s.a1 = e.a")
@@ -54,9 +57,9 @@ def log_negated(t):
     return L.negated_pairs(f).where("predicate = 'large'").select("predicate", F.col("args")[0].alias("arg"))
 
 
-@query("log_retract", f"WITH RECURSIVE {EDGE}, b AS (SELECT 5::BIGINT AS node, 0 AS hops UNION SELECT e.b, hops + 1 FROM b JOIN e ON e.a = b.node WHERE hops < 20) SELECT DISTINCT node FROM b")
+@query("log_retract", f"WITH RECURSIVE {EDGE}, b AS (SELECT 102::BIGINT AS node, 0 AS hops UNION SELECT e.a, hops + 1 FROM b JOIN e ON e.b = b.node WHERE hops < 20) SELECT DISTINCT node FROM b")
 def log_retract(t):
-    return L.retract(edges(t).toDF("antecedent", "fact"), 5, 20).select("node")
+    return L.retract(edges(t).toDF("fact", "antecedent"), 102, 20).select("node")
 
 
 @query("log_valid_at", "SELECT o_orderkey FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS e FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_orderdate <= TIMESTAMP '1996-06-01' AND (e IS NULL OR TIMESTAMP '1996-06-01' <= e)")
@@ -69,9 +72,9 @@ ALLEN = """CASE WHEN x.e < y.s THEN 'BEFORE' WHEN y.e < x.s THEN 'AFTER' WHEN x.
  WHEN x.e = y.e AND x.s > y.s THEN 'FINISHES' WHEN x.e = y.e THEN 'FINISHED_BY' WHEN x.s > y.s AND x.e < y.e THEN 'DURING' WHEN x.s < y.s AND x.e > y.e THEN 'CONTAINS' WHEN x.s < y.s THEN 'OVERLAPS' ELSE 'OVERLAPPED_BY' END"""
 
 
-@query("log_allen", f"WITH i AS (SELECT o_custkey AS c, o_orderkey AS k, floor(o_totalprice / 1000)::BIGINT AS s, floor(o_totalprice / 1000)::BIGINT + 1 + o_orderkey % 40 AS e FROM orders WHERE o_custkey < 200) SELECT x.c, x.k AS a, y.k AS b, {ALLEN} AS relation FROM i x JOIN i y ON x.c = y.c AND x.k < y.k")
+@query("log_allen", f"WITH i AS (SELECT o_custkey AS c, o_orderkey AS k, floor(o_totalprice / 1000)::BIGINT AS s, floor(o_totalprice / 1000)::BIGINT + 1 + o_orderkey % 40 AS e FROM orders) SELECT x.c, x.k AS a, y.k AS b, {ALLEN} AS relation FROM i x JOIN i y ON x.c = y.c AND x.k < y.k")
 def log_allen(t):
-    i = t.orders.where("o_custkey < 200").selectExpr("o_custkey AS c", "o_orderkey AS k", "floor(o_totalprice / 1000) AS s", "floor(o_totalprice / 1000) + 1 + o_orderkey % 40 AS e")
+    i = t.orders.selectExpr("o_custkey AS c", "o_orderkey AS k", "floor(o_totalprice / 1000) AS s", "floor(o_totalprice / 1000) + 1 + o_orderkey % 40 AS e")
     return L.interval_pairs(i, "k", "c", "s", "e")
 
 
