@@ -378,6 +378,21 @@ def test_quality_rules_keep_the_good(spark):
     assert quality_rules.judge(no_documents(spark)).count() == 0
 
 
+def test_quality_rules_reject_junk(spark):
+    import random
+
+    folder = SF.replace("0.001", "0.01")
+    draw = random.Random(1)
+    letters = [" ".join("".join(draw.choices("etaoinsr", k=draw.randint(3, 9))) for _ in range(n)) for n in (60, 400)]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    none = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(letters)], "doc_id long, text string, lang string")
+    got = quality_rules.judge(docs.unionByName(none)).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id", "left").where("NOT base_failed AND word_distance IS NOT NULL").select("doc_id", "quality", "kept", "word_distance", "class_distance").collect()
+    bad = [r for r in got if r["quality"] == 0]
+    assert len(bad) >= 20 and not [r for r in bad if r["kept"]]
+    assert not [r for r in got if r["quality"] == 1 and not r["kept"]]
+    assert quality_rules.COMMON >= 24
+
+
 # 9
 
 
