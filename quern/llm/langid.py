@@ -4,15 +4,17 @@ Each slot of the filter holds a bitmask with one bit per language, so one
 lookup (the AND of a few slots) returns all languages that know an n-gram.
 A document's hits are counted per language, corrected for the share of false
 positives that the language's fill of the filter implies, and the largest
-corrected count decides. The score compares it with the runner-up over the
-n-grams that tell languages apart.
+corrected count decides. The score is the share of the text's n-grams that this
+language knows, times its lead over the runner-up among the n-grams that tell
+languages apart: it falls to 0 with missing evidence and with ties.
 
 Learning uses a bounded sample per language, spread by a hash of the text;
 prediction uses the whole text and nothing else.
 
 Defined results: null texts, empty texts and texts without letters give
 ``und`` with score 0, as does everything if there was nothing to learn from;
-ties go to the language first in alphabetical order; repeated rows get equal
+ties, and texts of n-grams that no language knows, go to the language first in
+alphabetical order with score 0; repeated rows get equal
 results; further columns are ignored.
 """
 
@@ -130,7 +132,7 @@ class Languages:
         masks = self.masks(hashes)
         everyone = np.uint64((1 << len(self.names)) - 1)
         total = np.bincount(owner, minlength=n)
-        common = np.bincount(owner[masks == everyone], minlength=n)
+        common = np.bincount(owner[masks == everyone], minlength=n) if len(self.names) > 1 else np.zeros(n)
         counts = np.stack([np.bincount(owner[(masks >> np.uint64(i)) & np.uint64(1) == 1], minlength=n) for i in range(len(self.names))])
         wrong = self.false_share[:, None]
         counts = np.clip((counts - total * wrong) / (1 - wrong), 0, None)
@@ -139,11 +141,11 @@ class Languages:
         rest = counts.copy()
         rest[best, np.arange(n)] = -1
         second = rest.max(axis=0) if len(self.names) > 1 else np.zeros(n)
-        own = np.clip(first - common, 0, None) + 1e-9
-        other = np.clip(second - common, 0, None)
-        score = np.where(total > 0, own / (own + other), 0.0)
-        known = total > 0
-        return [self.names[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, np.clip(score, 0, 1), 0.0)
+        own = first - common
+        lead = np.divide(first - second, own, out=np.zeros(n), where=own > 0)
+        share = np.divide(first, total, out=np.zeros(n), where=total > 0)
+        score = np.clip(lead, 0, 1) * np.clip(share, 0, 1)
+        return [self.names[b] if k else UNDETERMINED for b, k in zip(best, total > 0)], score
 
 
 def _slots(hashes: np.ndarray):

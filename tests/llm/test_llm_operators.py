@@ -171,6 +171,32 @@ def test_false_positives_are_corrected():
     assert abs(wrong - model.false_share[0]) < 0.02 and wrong > 0.1
 
 
+def test_score_falls_with_missing_evidence(spark):
+    import random
+
+    import numpy as np
+
+    import corpus_pipeline
+    from quern.llm.common import held_out
+
+    draw = random.Random(2)
+    words = lambda letters, n: " ".join("".join(draw.choices(letters, k=draw.randint(3, 9))) for _ in range(n))
+    foreign = [words(a, n) for a in ("абвгдежзиклмнопрст", "的一是不了人我在有他") for n in (5, 60, 400)]
+    noise = [words("abcdefghijklmnopqrstuvwxyz", n) for n in (10, 60, 400)]
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet").where("quality = 1")
+    model = langid.learn(langid.train_set(docs))
+    clean = docs.where(held_out(F.col("doc_id"))).join(labels, "doc_id", "left_semi").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*foreign, *noise])], "doc_id long, text string")
+    kept = [r["doc_id"] for r in langid.keep_known(clean.unionByName(odd), model, corpus_pipeline.MIN_LANGUAGE_SCORE).select("doc_id").collect()]
+    assert sorted(kept) == sorted(r["doc_id"] for r in clean.collect())
+
+    alike, one = langid.gram_hashes(["same words"])[0], langid.gram_hashes(["only here"])[0]
+    two = langid.Languages.build({"a": alike, "b": np.concatenate([alike, one])})
+    assert two.predict(["same words"])[1][0] == 0 and two.predict(["only here"])[0] == ["b"] and two.predict(["only here"])[1][0] > 0.9
+    assert langid.Languages.build({"a": one}).predict(["only here"])[1][0] > 0.9
+
+
 # 5
 
 
