@@ -94,23 +94,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
 
 
 def ivf(vectors: DataFrame, key: str, vector: str, cells: int, seed: int = 1):
-    """(model, frame with cell): vectors assigned to k-means cells, for searching a few cells only."""
+    """(model, frame with cell): vectors assigned to k-means cells of their directions, for searching a few cells only."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v = vectors.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    v = vectors.withColumn("_v", array_to_vector(unit(F.col(vector))))
     model = KMeans(k=cells, seed=seed, featuresCol="_v", predictionCol="cell").fit(v)
     return model, model.transform(v).drop("_v")
 
 
 def search_ivf(model, indexed: DataFrame, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> DataFrame:
-    """(query, id, score, rank) among the vectors of each query's nearest cells."""
-    centres = indexed.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("q")).join(F.broadcast(centres), how="cross")  # a fixed number of cells
-    gap = F.zip_with("q", "centre", lambda x, y: x.cast("double") - y)
-    near = q.withColumn("d", dot(gap, gap)).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "cell"))).where(F.col("r") <= probes)
-    pairs = indexed.join(near.select("query", "q", "cell"), "cell").select("query", F.col(key).alias("id"), cosine(F.col(vector), F.col("q")).alias("score"))
-    return top(pairs, k)
+    """(query, id, score, rank): exact nearest by cosine; each query's nearest cells first, then those that its k-th hit does not rule out."""
+    centres = F.broadcast(indexed.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>"))
+    vectors = indexed.select(F.col(key).alias("id"), "cell", unit(F.col(vector)).alias("v"))
+
+    def apart(a: str) -> Column:
+        gap = F.zip_with(a, "centre", lambda x, y: x - y)
+        return F.sqrt(dot(gap, gap))
+
+    def pairs(chosen: DataFrame) -> DataFrame:
+        return vectors.join(chosen.select("query", "q", "cell"), "cell").select("query", "id", dot(F.col("v"), F.col("q")).alias("score"))
+
+    radii = vectors.join(centres, "cell").groupBy("cell").agg(F.max(apart("v")).alias("radius"))
+    near = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("q")).join(centres, how="cross").withColumn("d", apart("q"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "cell")))
+    first = top(pairs(near.where(F.col("r") <= probes)), k).drop("rank")
+    # of unit vectors the squared distance is 2 - 2 cosine; what lies in a cell is no nearer than its centre less its radius
+    bound = first.groupBy("query").agg(F.when(F.count("*") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))).alias("reach"))
+    rest = near.where(F.col("r") > probes).join(radii, "cell").join(bound, "query", "left").where(F.col("reach").isNull() | (F.col("d") - F.col("radius") <= F.col("reach") + 1e-9))
+    return top(first.unionByName(pairs(rest)), k)
 
 
 # Fusion of ranked lists

@@ -73,13 +73,14 @@ def ret_threshold(t):
 
 @query("ret_ivf_recall")
 def ret_ivf(t):
-    """Share of the exact ten nearest that four of sixteen cells find, per query."""
-    model, indexed = S.ivf(t.embeddings, "vec_id", "embedding", 16)
+    """The ten nearest by the index of cells, and per query the share of the exact ten among them."""
+    cells = min(1024, max(16, round(t.embeddings.count() ** 0.5)))
+    model, indexed = S.ivf(t.embeddings, "vec_id", "embedding", cells)
     q = t.embeddings.where("vec_id % 50 = 0")
-    got = S.search_ivf(model, indexed, q, "vec_id", "embedding", 10, 4)
+    got = S.search_ivf(model, indexed, q, "vec_id", "embedding", 10, max(4, cells // 4))
     exact = S.nearest(t.embeddings, q, "vec_id", "embedding", 10)
-    hit = exact.join(got.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
-    return hit.groupBy("query").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    hit = exact.select("query", "id").join(got.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return got.join(hit.groupBy("query").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall")), "query").select("query", "id", R(F.col("score"), 5).alias("score"), "rank", "recall")
 
 
 @query("fus_rrf", f"WITH {VEC} SELECT query, id, round(sum(1 / (60 + rank)), 8) AS score FROM (FROM dn UNION ALL FROM sp) GROUP BY 1, 2")

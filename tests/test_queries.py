@@ -25,6 +25,12 @@ def test_runs(spark, name):
     df.collect()
 
 
+def test_index_finds_the_nearest(spark):
+    got = registry.QUERIES["ret_ivf_recall"](spark, SF).collect()
+    assert min(r["recall"] for r in got) >= 0.9
+    assert all(sum(r["query"] == x["query"] for x in got) == 10 for r in got)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
