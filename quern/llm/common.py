@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,30 +33,86 @@ def held_out(doc_id: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors reach.
 
-    Only where the session names none (single-machine tests) a local folder
-    is set up.
+    Only where the session names none and runs on one machine (tests) a local
+    folder is set up; a cluster without one is an error.
     """
     jsc = spark.sparkContext._jsc.sc()
     got = jsc.getCheckpointDir()
     if got.isDefined():
         return got.get()
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt"))
     return jsc.getCheckpointDir().get()
 
 
+#: Spark deletes the shuffle files of a statement when it ends: its rows are stored by then.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned_shuffles(spark: SparkSession):
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts the lineage,
     survives the loss of executors, and every later reader sees the same rows."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Steps(df.sparkSession).stored(df, label)
+
+
+class Steps:
+    """Written steps of an operator, in a folder of their own in the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.used = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path, self.used = f"{self.root}/{self.used}-{label}", self.used + 1
+        with cleaned_shuffles(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._step_path = path
+        return out
+
+    def drop(self, *steps: DataFrame) -> None:
+        """Delete written steps that nothing reads any more."""
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for df in steps:
+            path = jvm.org.apache.hadoop.fs.Path(df._step_path)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def named(name: str) -> Column:
+    """A column by its whole name, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(columns, *wanted: str) -> list[str]:
+    """Names like those wanted that clash with no column, in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with cleaned_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def shipped(spark: SparkSession, model):
@@ -167,10 +224,3 @@ def text_slices(batches, limit: int, column: int = 1, rows: int = 512):
                 yield some.slice(start, stop - start), texts[start:stop]
                 start = stop
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of steps whose results are stored."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

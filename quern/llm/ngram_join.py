@@ -15,9 +15,17 @@
 No link between different sets is lost: a pair is skipped only if its sizes,
 prefixes or bitmaps rule it out, or if both are in one component already.
 
+Every count, leader and minimum is a group-by that combines before the shuffle,
+written, and joined back, so that a shingle, set or leader that a third of the
+rows share is split over tasks.
+
 Defined results: null or wordless texts have an empty set, no links, and are
 their own component; fewer words than k give one shingle of all words; repeated
-rows and equal sets share a component; clashing or further columns are ignored.
+rows and equal sets share a component; rows that share an id are one document:
+it links by the set whose key sorts first, and all its rows get its component;
+rows without an id link with nothing and have no component; further columns are
+ignored, whatever their names; an empty table gives no rows; a text of any
+length is one set, which must fit into a task.
 """
 
 from __future__ import annotations
@@ -29,9 +37,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import MIX_1, SPACE_BYTES, WordHasher, byte_values, checkpointed, mix, release, stored, text_slices
+from .common import MIX_1, SPACE_BYTES, Steps, WordHasher, byte_values, checkpointed, fresh, mix, text_slices
 
 SKETCH_BITS = 19
 #: Longs of a bitmap signature.
@@ -39,6 +46,8 @@ BITMAP_LONGS = 32
 #: Rows of a tile tested in one block.
 BLOCK = 2048
 CHUNK_BYTES = 1 << 20
+#: Pairs of a tile looked at at once.
+CHUNK_PAIRS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -93,6 +102,12 @@ class Shingler:
         return out
 
 
+def key_of(s: np.ndarray) -> str:
+    """Names a set: its size and two sums of mixed hashes."""
+    one, two = mix(s).sum(dtype=np.uint64), mix(s ^ MIX_1).sum(dtype=np.uint64)
+    return f"{len(s):x}-{int(one):016x}{int(two):016x}"
+
+
 def chunked(batches, fn):
     """Calls fn(ids, texts) on slices of bounded size of each batch."""
     for part, texts in text_slices(batches, CHUNK_BYTES):
@@ -154,8 +169,7 @@ def signatures(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             keys, prefixes, bits = [], [], []
             for s in sets:
-                one, two = mix(s).sum(dtype=np.uint64), mix(s ^ MIX_1).sum(dtype=np.uint64)
-                keys.append(f"{len(s):x}-{int(one):016x}{int(two):016x}")
+                keys.append(key_of(s))
                 p = rule.prefix(len(s)) if len(s) else 0
                 prefixes.append(s[np.lexsort((s, seen[_slot(s)]))[:p]].view(np.int64))
                 spots = (mix(s + MIX_1) & np.uint64(size - 1)).astype(np.int64)
@@ -186,26 +200,26 @@ def _most_apart(rule: Rule, n_a, n_b):
     return total - 2 * F.ceil(total * rule.num / F.lit(rule.num + rule.den) - 1e-9)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+def verified(steps: Steps, pairs: DataFrame, docs: DataFrame, keys: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) whose sets link, by exact intersection of the sorted sets.
 
-    Sets travel as binary; only documents in a pair are shingled again. The
-    joins are plain sort-merge joins, so a document in very many pairs is split
-    over tasks when the join is skewed.
+    keys: (rep, set_key), the set that stands for an id. Sets travel as binary;
+    only documents in a pair are shingled again. The joins are plain sort-merge
+    joins, so a document in very many pairs is split over tasks when the join
+    is skewed.
     """
-    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    involved = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct().join(keys, "rep")
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).join(involved.withColumnRenamed("rep", "doc_id"), "doc_id")
+    texts = texts.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text", "set_key")
 
     def shingle(batches):
         shingler = Shingler(rule.k)
+        for part, texts in text_slices(batches, CHUNK_BYTES):
+            sets = shingler(texts)
+            mine = np.array([key_of(s) == k for s, k in zip(sets, part.column(2).to_pylist())], bool)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "items"]).filter(pa.array(mine))
 
-        def one(ids, texts):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in shingler(texts)], pa.binary())], ["doc_id", "items"])
-
-        yield from chunked(batches, one)
-
-    sets = stored(texts.select("doc_id", "text").mapInArrow(shingle, "doc_id long, items binary"), "sets")
-    release(docs.sparkSession)
+    sets = steps.stored(texts.mapInArrow(shingle, "doc_id long, items binary"), "sets")
 
     def intersect(batches):
         for batch in batches:
@@ -221,26 +235,33 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
     right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"))
     joined = pairs.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "items_a", "items_b")
-    return stored(joined.mapInArrow(intersect, "a long, b long"), "links")
+    out = steps.stored(joined.mapInArrow(intersect, "a long, b long"), "links")
+    steps.drop(sets)
+    return out
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(steps: Steps, links: DataFrame) -> DataFrame:
     """(node, component): smallest id reachable over links (a, b), for all nodes in a link.
 
-    Alternates large-star and small-star steps, each a group minimum and a
-    join; steps are checkpointed. No node's neighbours are ever gathered.
+    Alternates large-star and small-star steps, each a written group minimum
+    and a join; no node's neighbours are ever gathered.
     """
+
+    def least_of(edges: DataFrame) -> DataFrame:
+        return steps.stored(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")
+
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = checkpointed(edges)
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = big.where("u <> v").distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = least_of(both)
+        big = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = steps.stored(big.where("u <> v").distinct(), "big")
+        low = least_of(big)
+        small = big.join(low, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = checkpointed(small.where("u <> v").distinct())
+        steps.drop(least, big, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
@@ -248,83 +269,117 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _blocks_of_tiles(rows: DataFrame, rule: Rule) -> DataFrame:
+def _blocks_of_tiles(steps: Steps, rows: DataFrame) -> DataFrame:
     """Second round: pairs of different components from banded tiles, cut into blocks."""
     own = rows.withColumn("tile", F.col("band")).withColumn("low", F.lit(True))
     guest = rows.withColumn("tile", F.col("band") - 1).withColumn("low", F.lit(False))
     both = own.unionByName(guest)
     per = both.groupBy("token", "tile").agg(F.count("*").alias("c"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("low").alias("any_low"))
     per = per.where("c0 < c1 AND any_low").select(F.col("token").alias("t_token"), F.col("tile").alias("t_tile"), F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
-    part = both.join(per, (F.col("token") == F.col("t_token")) & (F.col("tile") == F.col("t_tile")))
+    part = both.join(steps.stored(per, "open-tiles"), (F.col("token") == F.col("t_token")) & (F.col("tile") == F.col("t_tile")))
     part = part.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return part.select("token", "tile", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc_id", "n", "comp", "low")
 
 
-def second_round(rows: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): candidate pairs across components that sizes and bitmaps allow."""
-    placed = _blocks_of_tiles(rows, rule).join(bits, "doc_id")
+def pairs_within(starts: np.ndarray, total: int):
+    """(i, j), i < j, of the rows of each run that begins at starts, in chunks."""
+    ends = np.repeat(np.append(starts[1:], total), np.diff(np.append(starts, total)))
+    after = ends - np.arange(total) - 1
+    bounds = np.concatenate([[0], np.cumsum(after)])
+    row = 0
+    while row < total:
+        stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + CHUNK_PAIRS, side="right")) - 1)
+        own = after[row:stop]
+        i = np.repeat(np.arange(row, stop), own)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(bounds[row:stop] - bounds[row], own)
+        row = stop
 
-    def test(table: pa.Table) -> pa.Table:
-        ids, n, comp = (table[c].to_numpy() for c in ("doc_id", "n", "comp"))
-        low, mine = table["low"].to_numpy(zero_copy_only=False), table["mine"].to_numpy()
-        x, y = table["x"][0].as_py(), table["y"][0].as_py()
+
+def second_round(steps: Steps, rows: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): candidate pairs across components that sizes and bitmaps allow.
+
+    A tile's blocks are consecutive rows of a sorted partition; only one block
+    is held back from a batch to the next.
+    """
+    key = ["token", "tile", "x", "y"]
+    placed = _blocks_of_tiles(steps, rows).join(bits, "doc_id").repartition(*key).sortWithinPartitions(*key)
+    columns = ["mine", "doc_id", "n", "comp", "low", "bits"]
+
+    def test(table: pa.Table, starts: np.ndarray):
+        mine, ids, n, comp, low = (table[c].to_numpy() for c in columns[:-1])
         grid = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), BITMAP_LONGS)
-        cols = np.arange(len(ids)) if x == y else np.flatnonzero(mine == y)
-        a_out, b_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in range(len(ids)):
-            if x != y and mine[i] != x:
-                continue
-            js = cols[cols > i] if x == y else cols
-            ok = (comp[js] != comp[i]) & (low[js] | low[i]) & (n[js] * rule.den >= n[i] * rule.num) & (n[i] * rule.den >= n[js] * rule.num)
-            js = js[ok]
-            if len(js):
-                far = np.bitwise_count(grid[js] ^ grid[i]).sum(axis=1, dtype=np.int64)
-                js = js[far <= rule.most_apart(n[js] + n[i])]
-                a_out.append(np.full(len(js), ids[i]))
-                b_out.append(ids[js])
-        a, b = np.concatenate(a_out), np.concatenate(b_out)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    got = placed.groupBy("token", "tile", "x", "y").applyInArrow(test, "a long, b long")
-    return got.distinct()
+        halves = (table["x"].to_numpy() != table["y"].to_numpy())
+        for i, j in pairs_within(starts, len(ids)):
+            ok = (comp[i] != comp[j]) & (low[i] | low[j]) & ~(halves[i] & (mine[i] == mine[j]))
+            i, j = i[ok], j[ok]
+            ok = (n[j] * rule.den >= n[i] * rule.num) & (n[i] * rule.den >= n[j] * rule.num)
+            i, j = i[ok], j[ok]
+            for at in range(0, len(i), 1 << 15):
+                p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+                far = np.bitwise_count(grid[p] ^ grid[q]).sum(axis=1, dtype=np.int64)
+                ok = far <= rule.most_apart(n[p] + n[q])
+                a, b = ids[p[ok]], ids[q[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            new = np.zeros(len(table), bool)
+            new[:1] = True
+            for c in key:
+                values = table[c].to_numpy()
+                new[1:] |= values[1:] != values[:-1]
+            starts = np.flatnonzero(new)
+            last = int(starts[-1]) if len(starts) else 0
+            if last:
+                yield from test(table.slice(0, last), starts[:-1])
+            held = table.slice(last)
+        if held is not None and len(held):
+            yield from test(held, np.zeros(1, np.int64))
+
+    return placed.select(*key, *columns).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
     spark: SparkSession = docs.sparkSession
-    signed = stored(signatures(docs, rule, sketch(docs, rule)), "signatures")
-    slim = signed.select("doc_id", "n", "set_key").where("n > 0")
-    reps = slim.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    # one row per representative, also where an id is repeated
-    chosen = signed.where("n > 0").join(reps, (signed["doc_id"] == reps["rep"]) & (signed["set_key"] == reps["set_key"]), "left_semi").dropDuplicates(["doc_id"])
+    steps = Steps(spark)
+    signed = steps.stored(signatures(docs, rule, sketch(docs, rule)), "signatures")
+    slim = steps.stored(signed.select("doc_id", "n", "set_key"), "sizes")
+    own = slim.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
+    own = steps.stored(own, "own")
+    reps = steps.stored(own.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
+    # rows of one id and set are alike
+    chosen = signed.join(reps, (signed["doc_id"] == reps["rep"]) & (signed["set_key"] == reps["set_key"]), "left_semi").dropDuplicates(["doc_id", "set_key"])
+    chosen = steps.stored(chosen.select("doc_id", "n", "band", "prefix", "bits"), "chosen")
+    steps.drop(signed)
     tokens = chosen.select("doc_id", "n", "band", F.explode("prefix").alias("token"))
-    whole = Window.partitionBy("token").orderBy("band").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    banded = Window.partitionBy("token", "band").orderBy(F.xxhash64("doc_id"), "doc_id")
-    shared = tokens.withColumn("c", F.count("*").over(whole)).where("c > 1")
-    shared = shared.withColumn("leader", F.first("doc_id").over(banded)).withColumn("leader_n", F.first("n").over(banded))
-    shared = stored(shared.select("token", "band", "doc_id", "n", "leader", "leader_n"), "tiles")
-    release(spark)
-    bits = signed.select("doc_id", "bits").dropDuplicates(["doc_id"])
-
-    stars = shared.where("leader <> doc_id").where(_could_link(rule, F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("doc_id").alias("b"), F.col("leader_n").alias("n_a"), F.col("n").alias("n_b")).distinct()
+    common = steps.stored(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("t_token")), "common")
+    shared = steps.stored(tokens.join(common, F.col("token") == F.col("t_token")).select("token", "band", "doc_id", "n"), "tiles")
+    leaders = shared.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("leader"))
+    leaders = steps.stored(leaders.select(F.col("token").alias("t_token"), F.col("band").alias("t_band"), F.col("leader.doc_id").alias("a"), F.col("leader.n").alias("n_a")), "leaders")
+    bits = chosen.select("doc_id", "bits")
+
+    stars = shared.join(leaders, (F.col("token") == F.col("t_token")) & (F.col("band") == F.col("t_band"))).where(F.col("a") != F.col("doc_id"))
+    stars = stars.where(_could_link(rule, F.col("n"), F.col("n_a"))).select("a", F.col("doc_id").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
     stars = stars.join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b")), "b").join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a")), "a")
     stars = stars.where(apart(F.col("bits_a"), F.col("bits_b")) <= _most_apart(rule, F.col("n_a"), F.col("n_b")))
-    first = verified(stored(stars.select("a", "b"), "stars"), docs, rule)
-    release(spark)
+    first = verified(steps, steps.stored(stars.select("a", "b"), "stars"), docs, reps, rule)
 
-    label = components(first)
+    label = components(steps, first)
     rows = shared.join(label, shared["doc_id"] == label["node"], "left").select("token", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    pairs = stored(second_round(rows, bits, rule), "pairs")
-    release(spark)
-    links = first
-    if pairs.limit(1).count():
-        links = stored(first.union(verified(pairs, docs, rule)), "links")
-        label = components(links)
-
-    final = label.select(F.col("node").alias("rep"), "component")
-    of_key = reps.join(final, "rep", "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "set_key").join(of_key, F.col("set_key") == F.col("_key"), "left")
+    rows = steps.stored(rows, "labelled-tiles")
+    pairs = steps.stored(second_round(steps, rows, bits, rule), "pairs")
+    if not pairs.isEmpty():
+        label = components(steps, first.union(verified(steps, pairs, docs, reps, rule)))
+    steps.drop(common, shared, leaders, rows, chosen)
+
+    final = reps.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("set_key").alias("key"), F.coalesce("component", "rep").alias("component_id"))
+    final = steps.stored(final, "components")
+    of_doc = own.join(final, F.col("set_key") == F.col("key")).select(F.col("doc_id").alias("own_id"), "component_id")
+    out = slim.join(of_doc, F.col("doc_id") == F.col("own_id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -332,9 +387,10 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The documents without those that link, directly or over others, with one
     of a smaller id; all columns kept. Rows equal in id and text count once;
     rows without an id stay."""
-    keep = near_groups(docs.select("doc_id", "text"), rule).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_d"), "left_semi")
-    known = known.withColumn("_k", F.xxhash64("text")).dropDuplicates(["doc_id", "_k"]).drop("_k")
+    d, k = fresh(docs.columns, "kept_id", "text_key")
+    keep = near_groups(docs.select("doc_id", "text"), rule).where("doc_id = component_id").select(F.col("doc_id").alias(d)).distinct()
+    known = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col(d), "left_semi")
+    known = known.withColumn(k, F.xxhash64("text")).dropDuplicates(["doc_id", k]).drop(k)
     return known.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, release, stored
+from .common import mix, stored
 
 LENGTH = 100
 #: A perfect difference set: every residue modulo COVER_MOD is a difference.
@@ -288,9 +288,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
     """doc_id, n_bytes, n_removed, n_spans, kept (null unless asked for), kept_sha256 of every row."""
     if length < 2 * COVER_MOD - 1 and length - COVER_MOD + 1 < 16:
         raise ValueError("strings this short need a smaller cover")
-    spark = docs.sparkSession
     blocks = pack(docs)
-    release(spark)
     buckets = n_buckets(blocks)
 
     def rank_entries(batches):
@@ -299,7 +297,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
 
     ranks = blocks.mapInArrow(rank_entries, ENTRY_SCHEMA).groupBy("bucket").applyInArrow(_rank_bucket, ANSWER_SCHEMA)
     ranks = stored(ranks, "ranks")
-    release(spark)
 
     def suffixes(block: Block, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct names, their first start, and the name index of every spot."""
@@ -340,7 +337,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
     spread = F.when(F.col("bucket") < 0, F.col("block")).otherwise(-1)
     settled = made.withColumn("spread", spread).groupBy("bucket", "spread").applyInArrow(settle, ANSWER_SCHEMA)
     settled = stored(settled, "suffixes")
-    release(spark)
 
     def finish(batches):
         for row in _rows(batches):

@@ -24,7 +24,7 @@ from quern.llm import (
 from compare import rows_of_frame, rows_of_sql
 
 SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, d string, t string, l string, _w string, score string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, d string, t string, l string, _w string, score string, _k string, _gone string, _key string, _p string, gone string, text_key string, hash string, `a.b` string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -32,7 +32,7 @@ def odd_documents(spark):
     """Nulls, empty and long texts, ties, repeated rows, clashing columns."""
     long = " ".join(f"w{i % 977}" for i in range(20_000))
     rows = [(1, None, None), (2, "", "en"), (3, " \n\t ", "en"), (4, "a", None), (4, "a", None), (5, long, "en"), (6, long + " end", "fr"), (None, "no id at all here", "en"), (7, "日本語 のテキスト\n\nété", "fr"), (8, "x" * 5000, "de"), (9, "x" * 5000, "de")]
-    return spark.createDataFrame([(i, t, g, "s", 1, "c", "c", "c", "c", "c") for i, t, g in rows], DOCS)
+    return spark.createDataFrame([(i, t, g, "s", 1, *["c"] * 13) for i, t, g in rows], DOCS)
 
 
 def no_documents(spark):
@@ -232,17 +232,34 @@ def test_near_lines(spark):
     for i, text in docs:
         kept = []
         for line in text.split("\n"):
-            if len(line) >= line_dedup.MIN_CHARS:
-                gone = any(within_one(line, o) for o in seen)
-                seen.append(line)
-                if gone:
-                    continue
+            near = len(line) >= line_dedup.NEAR_CHARS
+            gone = line.strip() and any(line == o or near and len(o) >= line_dedup.NEAR_CHARS and within_one(line, o) for o in seen)
+            seen.append(line)
+            if gone:
+                continue
             kept.append(line)
         want[i] = "\n".join(kept)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want
 
 
+def test_short_and_blank_lines(spark):
+    rows = [(1, "Subscribe now!"), (2, "Subscribe now!\nSubscribe now?"), (3, "}\n\n}\n \n"), (4, "}\n\n\t")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "Subscribe now!", 2: "Subscribe now?", 3: "}\n\n \n", 4: "\n\t"}
+
+
+def test_lines_that_share_a_half(spark):
+    """Many lines with one half in common and a number that differs: none is near but the last two."""
+    rows = [(i, f"This passage is repeated everywhere with {i * 1117 + 100000}") for i in range(400)] + [(500, "This passage is repeated everywhere with 100001")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    texts = dict(rows)
+    for i, text in rows:
+        near = any(o < i and within_one(text, texts[o]) for o, _ in rows)
+        assert got[i] == ("" if near else text)
+    assert got[500] == ""
+
+
 def test_lines_of_odd_documents(spark):
     docs = odd_documents(spark)
     out = line_dedup.dedup_lines(docs)
