@@ -1,14 +1,21 @@
-"""Benchmark decontamination with a broadcast set of normalised test n-grams.
+"""Benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
-Documents are cut into words, the hash of every window of n words is looked up
-in the broadcast set of benchmark windows, and each hit is verified on the
-words themselves. Benchmark items of fewer than n words count as one window of
-their own length. Everything runs in DataFrame functions.
+Documents are cut into words, the hash of every window is looked up in the set
+of the benchmark's window hashes, and each hit is verified on the words
+themselves. Windows have n words; items of fewer words count as one window of
+their own length. All lengths are hashed in one pass over the texts.
+
+The hash set is broadcast while it measures MAX_BROADCAST_BYTES or less (about
+1.6 million windows). Beyond that (window, place) rows without any text are
+joined with the hashes by shuffle, and only documents with a hit are read again
+for their words.
 
 Defined results: null and empty texts have no words and no hits; items without
 words have no window; equal windows of several items hit all of them; repeated
 rows (equal id and text) each get their own full result; an empty benchmark
-hits nothing; further columns pass through untouched.
+hits nothing; an empty table gives no rows; further columns pass through
+untouched, whatever their names; a text of any length is judged whole and must
+fit into a task. Everything runs in DataFrame functions.
 """
 
 from __future__ import annotations
@@ -17,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower
+from .common import Steps, ascii_lower, fresh, named
 
 #: What separates words, before A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: Beyond this many benchmark windows the join is shuffled instead of broadcast.
-MAX_BROADCAST_WINDOWS = 500_000
+#: The largest broadcast set of window hashes, and what a hash takes in it.
+MAX_BROADCAST_BYTES, HASH_BYTES = 64 << 20, 40
 
 
 def raw_words(text: Column) -> Column:
@@ -49,33 +56,57 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def _hash_windows(words: Column, length: int) -> Column:
-    """Hash of each window of so many words; empty where the text is shorter."""
+def _hash_windows(words: Column, lengths: list[int]) -> Column:
+    """Hashes of all windows of the first length, then of the next, and so on."""
     n = F.size(words)
-    starts = F.when(n >= length, F.sequence(F.lit(1), n - (length - 1))).otherwise(F.array().cast("array<int>"))
+
+    def of(h: Column, length: int) -> Column:
+        starts = F.when(n >= length, F.sequence(F.lit(1), n - (length - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, length)))
+
     # an array of one element binds the word hashes, so they are made once per text
-    return F.transform(F.array(_word_hashes(words)), lambda h: F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, length))))[0]
+    return F.transform(F.array(_word_hashes(words)), lambda h: F.concat(*[of(h, x) for x in lengths]))[0]
+
+
+def _place(p: Column, n: Column, lengths: list[int]) -> Column:
+    """struct(at, len) of the p-th hash of a text of n words."""
+    out, before = None, F.lit(0)
+    for length in lengths:
+        spot = F.struct((p - before).alias("at"), F.lit(length).alias("len"))
+        before = before + F.greatest(n - (length - 1), F.lit(0))
+        out = F.when(p < before, spot) if out is None else out.when(p < before, spot)
+    return out
+
+
+def window_rows(docs: DataFrame, lengths: list[int], keep_words: bool) -> DataFrame:
+    """(doc_id, text_key, n, p, hash[, w]): a row for each window of the documents."""
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw_words(F.col("text")).alias("w"))
+    return base.select("doc_id", "text_key", F.size("w").alias("n"), *["w"] * keep_words, F.posexplode(_hash_windows(F.col("w"), lengths)).alias("p", "hash"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """(doc_id, text_key, at, len, items): verified occurrences in the documents."""
-    windows = benchmark_windows(benchmark, n)
+    steps = Steps(docs.sparkSession)
+    windows = steps.stored(benchmark_windows(benchmark, n), "windows")
     counted = windows.groupBy("len").agg(F.count("*").alias("c")).collect()  # n rows at most
-    lengths = sorted(r["len"] for r in counted)
-    known = F.broadcast(windows) if sum(r["c"] for r in counted) <= MAX_BROADCAST_WINDOWS else windows
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw_words(F.col("text")).alias("w"))
-    out = None
-    for length in lengths or [n]:
-        rows = base.select("doc_id", "text_key", "w", F.posexplode(_hash_windows(F.col("w"), length)).alias("at", "hash"))
-        part = known.where(F.col("len") == length).select("hash", "window", "items") if not lengths == [length] else known.select("hash", "window", "items")
+    lengths = sorted(r["len"] for r in counted) or [n]
+    hashes = windows.select("hash").distinct()
+    if sum(r["c"] for r in counted) * HASH_BYTES <= MAX_BROADCAST_BYTES:
+        # what is joined here carries its words as far as the text of the few hits, and is not shuffled
+        found = window_rows(docs, lengths, True).join(F.broadcast(hashes), "hash", "left_semi")
+        found = found.withColumn("place", _place(F.col("p"), F.col("n"), lengths))
+    else:
         # without the hint the planner may take the exploded documents for the small side
-        part = F.broadcast(part) if known is not windows else part.hint("merge")
-        # two inequalities: as an equality it would be a join key, built for every window
-        text = _window_text(F.col("w"), F.col("at"), F.lit(length))
-        same = (text >= F.col("window")) & (text <= F.col("window"))
-        got = rows.join(part, "hash").where(same).select("doc_id", "text_key", "at", F.lit(length).alias("len"), "items")
-        out = got if out is None else out.unionByName(got)
-    return out
+        found = window_rows(docs, lengths, False).join(hashes.hint("merge"), "hash", "left_semi")
+        found = found.withColumn("place", _place(F.col("p"), F.col("n"), lengths))
+        # as many entries as the document has windows
+        spots = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "hash")).alias("spots")).select(F.col("doc_id").alias("spot_d"), F.col("text_key").alias("spot_t"), "spots")
+        texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+        again = texts.join(spots, F.col("doc_id").eqNullSafe(F.col("spot_d")) & (F.col("text_key") == F.col("spot_t")))
+        found = again.select("doc_id", "text_key", raw_words(F.col("text")).alias("w"), F.explode("spots").alias("s")).select("doc_id", "text_key", "w", "s.place", "s.hash")
+    found = found.select("doc_id", "text_key", "place.at", "place.len", "hash", _window_text(F.col("w"), F.col("place.at"), F.col("place.len")).alias("text"))
+    known = windows.select(F.col("hash").alias("known"), "window", "items")
+    return found.join(known, (F.col("hash") == F.col("known")) & (F.col("text") == F.col("window"))).select("doc_id", "text_key", "at", "len", "items")
 
 
 def covered(found: DataFrame) -> DataFrame:
@@ -107,21 +138,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
     mode "document" drops documents with a hit; "span" keeps every document and
     takes hit words, with the separators after them, out of its text.
     """
-    found = hits(docs, benchmark, n)
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    if mode == "document":
-        bad = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-        return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti").drop("_key")
-    if mode != "span":
+    if mode not in ("document", "span"):
         raise ValueError("mode is 'document' or 'span'")
-    spots = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.explode(F.sequence("at", F.expr("at + len - 1"))).alias("p"))
-    spots = spots.groupBy("_d", "_k").agg(F.collect_set("p").alias("_p"))
+    d, t, k, p = fresh(docs.columns, "hit_d", "hit_t", "text_key", "hit_words")
+    found = hits(docs.select("doc_id", "text"), benchmark, n).select(F.col("doc_id").alias(d), F.col("text_key").alias(t), "at", "len")
+    keyed = docs.withColumn(k, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(t))
+    if mode == "document":
+        return keyed.join(found.select(d, t).distinct(), same, "left_anti").drop(k)
+    spots = found.select(d, t, F.explode(F.sequence("at", F.expr("at + len - 1"))).alias("word")).groupBy(d, t).agg(F.collect_set("word").alias(p))
     lead = F.regexp_extract("text", f"^{GAP}*", 0)
     tokens = F.expr(f"regexp_extract_all(text, r'{WORD}+{GAP}*', 0)")
-    kept = F.concat(lead, F.array_join(F.filter(tokens, lambda t, i: ~F.array_contains("_p", i)), ""))
-    text = F.when(F.col("_p").isNull(), F.col("text")).otherwise(kept)
-    joined = keyed.join(spots, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    kept = F.concat(lead, F.array_join(F.filter(tokens, lambda token, i: ~F.array_contains(p, i)), ""))
+    text = F.when(F.col(p).isNull(), F.col("text")).otherwise(kept)
+    return keyed.join(spots, same, "left").select(*[text.alias(c) if c == "text" else named(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -101,6 +101,53 @@ def test_url_rules_and_verdicts(spark):
     assert {r["verdict"] for r in url_filter.judge(df.where("page_id IN (0, 8, 9)")).collect()} == {"block"}
 
 
+def test_rules_equal_sql(spark):
+    got = url_filter.query(spark, SF).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+    assert rows_of_frame(got) == rows_of_sql(SF, url_filter.RULE_SQL)
+
+
+def test_trees_on_held_out_urls(spark):
+    """URLs that neither the trees nor the suffix statistics have seen."""
+    pages = spark.read.parquet(SF.replace("0.001", "0.1") + "/pages.parquet").select("page_id", "url")
+    rows = url_filter.labelled(url_filter.ruled(pages))
+    out = F.pmod(F.xxhash64(F.lit(99), "url"), F.lit(4)) == 2
+    trees = url_filter.learn(rows.where(~out))
+    got = url_filter.scored(rows.where(out), trees).collect()
+    good, bad = ([r["block_score"] for r in got if r["label"] == x] for x in (0.0, 1.0))
+    above = sum((b > g) + 0.5 * (b == g) for g in good for b in bad) / (len(good) * len(bad))
+    right = sum((r["block_score"] >= 0.5) == (r["label"] == 1.0) for r in got)
+    assert len(good) > 20 and len(bad) > 20
+    # exceptions like example.com/en/7 look like the rest of their host: the majority of each top level is what
+    # lexical features can reach
+    tops = defaultdict(lambda: [0, 0])
+    for r in got:
+        tops[r["host"].rsplit(".", 1)[-1]][int(r["label"])] += 1
+    assert right >= sum(max(c) for c in tops.values()) - 0.02 * len(got) and above >= 0.7
+    # the first path segment, which the rules are made of, is no feature; neither is a row's own label
+    assert not [k for k in url_filter.features(F.lit("a"), F.lit("b"), F.lit("c")) if "hash" in k]
+    one = spark.createDataFrame([(f"http://h{i}.z/", f"h{i}.z", "/", float(i == 0)) for i in range(40)], "url string, host string, path string, label double")
+    alone = url_filter.learn(one)
+    made = url_filter._with_features(one, alone.suffixes, alone.total, alone.prior, True)
+    fold = made.where("label = 1").first()
+    others = made.where(F.col("fold") == fold["fold"]).select("f_tld_blocked").distinct().collect()
+    assert len(others) == 1  # within a fold the same statistics, whatever the label
+
+
+def test_odd_urls(spark):
+    long = "http://a.com/en/" + "x/" * 50_000 + "?" + "&".join(f"k{i}=1" for i in range(5000))
+    urls = [long, long, "http://a.com/en/1", "http://a.com/en/1", None, "", "://", "http://b.net/de/1", "http://c.org/es/1", "http://c.org/fr/1"]
+    df = spark.createDataFrame([(i, u, *["c"] * 9) for i, u in enumerate(urls)], "page_id long, url string, _x string, own string, features string, label string, fold string, suffix string, probability string, ruling string, `a.b` string")
+    out = url_filter.judge(df)
+    assert out.columns == [*df.columns, "host", "path", "rule", "verdict", "block_score"]
+    got = {r["page_id"]: r for r in out.collect()}
+    assert len(got) == 10 and got[0]["verdict"] == "block" and got[0]["a.b"] == "c" == got[0]["_x"]
+    same = lambda r: tuple(r)[2:]
+    assert same(got[0]) == same(got[1]) and same(got[2]) == same(got[3])
+    # of two rules of one length that both fit, the one with the longer host
+    tie = url_filter.judge(df, rules=(("allow", "com", "/en/xxx"), ("block", "a.com", "/en/x"), ("allow", "com", "/en/x/x")))
+    assert {r["rule"] for r in tie.where("page_id = 0").collect()} == {"a.com/en/x"}
+
+
 # 3
 
 
@@ -167,10 +214,50 @@ def test_false_positives_are_corrected():
     grams = {"a": rng.integers(0, 2**63, 400_000).astype(np.uint64), "b": rng.integers(0, 2**63, 10_000).astype(np.uint64)}
     model = langid.Languages.build(grams)
     hashes = rng.integers(0, 2**63, 50_000).astype(np.uint64)
-    wrong = np.mean((model.masks(hashes) & np.uint64(1)) == 1)
+    wrong = np.mean((model.masks(hashes)[:, 0] & np.uint64(1)) == 1)
     assert abs(wrong - model.false_share[0]) < 0.02 and wrong > 0.1
 
 
+def grams_by_hand(text):
+    out = []
+    for w in re.findall(r"[^\W\d_]+", text):
+        s = "\0" + w.lower() + "\0"
+        out += [s[i : i + n] for n in langid.SIZES for i in range(len(s) - n + 1)]
+    return out
+
+
+def test_masks_and_counts_by_hand(spark):
+    """Seventy languages: an n-gram's mask has every language that contains it, and few others; counts add up."""
+    rnd = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzéß"
+    rows = []
+    for lang in range(70):
+        words = ["".join(rnd.choices(letters, k=rnd.randint(1, 7))) for _ in range(30)]
+        rows += [(f"l{lang:02}", " ".join(rnd.choice(words) for _ in range(40))) for _ in range(4)]
+    model = langid.learn(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    held = {}
+    for lang, text in rows:
+        counts = held.setdefault(lang, defaultdict(int))
+        for g in grams_by_hand(text):
+            counts[g] += 1
+    held = {k: {g for g, n in v.items() if n >= langid.MIN_COUNT} for k, v in held.items()}
+    assert model.names == sorted(held) and model.slots.shape[1] == 2
+    texts = [t for _, t in rows[::9]] + ["été l'a 9x9 _", "", None]
+    hashes, owner = langid.gram_hashes(texts)
+    total, _, each = model.counts(hashes, owner, len(texts))
+    extra = asked = 0
+    for j, text in enumerate(texts):
+        grams = grams_by_hand(text or "")
+        assert total[j] == len(grams)
+        for i, lang in enumerate(model.names):
+            own = sum(g in held[lang] for g in grams)
+            assert each[i, j] >= own
+            extra, asked = extra + each[i, j] - own, asked + len(grams)
+    assert extra <= 1e-3 * asked
+    names, _ = model.predict([t for _, t in rows])
+    assert sum(a == b for a, (b, _) in zip(names, rows)) >= 0.97 * len(rows)
+
+
 def test_score_falls_with_missing_evidence(spark):
     import random
 
@@ -454,8 +541,42 @@ def test_spans_and_documents_of_the_benchmark(spark):
 
 
 def test_windows_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", 0)
     assert rows_of_frame(decontaminate.query(spark, SF)) == rows_of_sql(SF, decontaminate.ORACLE)
+    test_spans_and_documents_of_the_benchmark(spark)
+    # what crosses the exchange has no words with it
+    rows = decontaminate.window_rows(odd_documents(spark), [3, 10], False)
+    assert not [kind for _, kind in rows.dtypes if "array" in kind or kind == "string"]
+
+
+def test_windows_of_all_lengths(spark):
+    """Items of several lengths, brute force."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(25)]
+    items = [(i, " ".join(rnd.choices(words, k=k))) for i, k in enumerate([1, 2, 2, 3, 5, 9, 10, 11, 14])]
+    docs = [(i, " ".join(x for _ in range(rnd.randint(0, 4)) for x in (*rnd.choices(words, k=rnd.randint(0, 6)), rnd.choice(items)[1]))) for i in range(60)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.report(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    for i, text in docs:
+        w, hit, own = text.split(), set(), set()
+        for item, t in items:
+            x = t.split()
+            n = min(len(x), 10)
+            for window in {tuple(x[j : j + n]) for j in range(len(x) - n + 1)}:
+                for j in range(len(w) - n + 1):
+                    if tuple(w[j : j + n]) == window:
+                        hit |= set(range(j, j + n))
+                        own.add(str(item))
+        assert got[i] == (len(w), len(hit), sorted(own))
+
+
+def test_odd_documents_keep_their_columns(spark):
+    items = spark.createDataFrame([(1, "no id at all here"), (2, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14")], "item_id long, text string")
+    docs = odd_documents(spark)
+    for mode in ("document", "span"):
+        out = decontaminate.decontaminate(docs, items, mode=mode)
+        assert out.columns == docs.columns and out.count() == (8 if mode == "document" else 11)
+        assert decontaminate.decontaminate(no_documents(spark), items, mode=mode).count() == 0
 
 
 # 10
