@@ -9,26 +9,34 @@ blocks    Documents that share a line are packed next to each other (range
           partitions of a least line hash) into blocks of a few MB, so that
           most repetition is settled inside a block.
 cover     Positions p with p mod v in a difference cover D of v are samples.
-          For any two positions i, j some shift below v makes both samples, so
-          equal L-byte strings share a sample k-gram, k = L - v + 1, at one
-          shift. The rank of a sample is what tells whether its k-gram occurs
-          elsewhere; ranks are settled bucket by bucket, once, beforehand.
-suffixes  Only suffixes with a repeated sample in reach can tie to depth L; the
-          others are unique and drop out. The remaining ones are named by a
-          64-bit name of their first L bytes, dealt to buckets by the
-          leading bits of the name, sorted within the bucket, and the earliest
-          of each run of ties is kept.
-
-A block sends each distinct name once, sorted, so one string that a third of
-the documents hold is sent once per block. Buckets answer with one bit per
-name. Memory is bounded by a block or a bucket; the number of buckets follows
-the size of the corpus.
+          For any two positions i, j some shift t below v makes both i + t and
+          j + t samples, so equal L-byte strings share a sample k-gram,
+          k = L - v + 1, at one shift. Samples whose k-gram occurs in one place
+          only can tie with nothing. They are told apart by hashed names,
+          bucket by bucket; a hash that lets too many pass costs time only.
+ranks     The samples left over come to their bucket with the v - 1 bytes on
+          either side. The bucket sorts their k-grams, as bytes, and numbers
+          them: that is their rank.
+suffixes  The suffix that begins t bytes before a sample is, to depth L, its
+          prefix of t bytes, then the sample's rank, then v - 1 - t bytes.
+          For each t the bucket sorts by rank, prefix and end; ties are equal
+          strings, and the earliest of each run of ties is kept. Every pair of
+          equal strings meets at some t.
+
+A block sends each distinct sample once, so one string that a third of the
+documents hold is sent once per block. A bucket answers with one bit per k-gram
+name, then with v bits per sample. Memory is bounded by a block or a bucket; the
+number of buckets follows the size of the corpus without a cap. A block sends a
+row for each bucket it has names for: no more rows than names.
+
+Equal strings of one block are told by hash names and compared as bytes. Within
+one rank, prefixes and ends of up to 56 bytes are compared by 64-bit hashes.
 
 Defined results: null texts are empty; texts under L bytes lose nothing;
 repeated rows: of rows with equal ids the one whose text sorts first counts as
 earlier within a block, else the one in the block with the smaller number;
-null ids come first; an empty table gives no rows; further columns are ignored.
-A document must fit into a task's memory about forty times.
+null ids come first; an empty table gives no rows; further columns are ignored,
+whatever their names. A document must fit into a task's memory about forty times.
 """
 
 from __future__ import annotations
@@ -40,19 +48,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stored
+from .common import Steps, mix
 
 LENGTH = 100
 #: A perfect difference set: every residue modulo COVER_MOD is a difference.
 COVER, COVER_MOD = (0, 1, 3, 13, 32, 36, 43, 52), 57
+#: Bytes on either side of a sample that the suffixes it serves reach.
+SIDE = COVER_MOD - 1
 BLOCK_BYTES = 3 << 20
 #: Text bytes per bucket.
 BUCKET_BYTES = 8 << 20
-MAX_BUCKETS = 1 << 16
-#: Ranks of this total size at most are broadcast; larger ones are joined.
-MAX_BROADCAST_BYTES = 32 << 20
 BASE = 0x100000001B3
 SUB = 1 << 17
+#: Strings compared byte by byte at once.
+ROWS = 1 << 15
 
 assert {(a - b) % COVER_MOD for a in COVER for b in COVER} == set(range(COVER_MOD))
 
@@ -115,8 +124,44 @@ class Block:
         total = np.concatenate([[0], np.cumsum(flag, dtype=np.int32)])
         return (total[COVER_MOD : COVER_MOD + size] > total[:size]) & (self.left >= length)
 
+    def rows(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Strings of so many bytes that start at the given places (which may reach beyond the text), as rows."""
+        size, before = len(self.data), max(0, -int(at.min(initial=0)))
+        after = max(0, int(at.max(initial=0)) + length - size)
+        data = np.concatenate([np.zeros(before, np.uint8), self.data, np.zeros(after, np.uint8)]) if before or after else self.data
+        return np.lib.stride_tricks.sliding_window_view(data, length)[at + before]
 
-def pack(docs: DataFrame) -> DataFrame:
+    def classes(self, spots: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(class of each spot, first spot of each class): spots whose strings are equal.
+
+        Told by name; spots of one name are compared as bytes, and named anew by their bytes if they differ.
+        """
+        names = gram_names(self.data, length, spots)
+        order = np.argsort(names, kind="stable")
+        s = names[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        pairs = np.flatnonzero(~new)
+        wrong = [p for p in (pairs[i : i + ROWS] for i in range(0, len(pairs), ROWS)) if (self.rows(spots[order[p]], length) != self.rows(spots[order[p - 1]], length)).any()]
+        if wrong:
+            runs = np.cumsum(new) - 1
+            bad = np.isin(runs, runs[np.concatenate(wrong)])
+            members = order[bad]
+            by_bytes = np.unique(_bytes_of(self.rows(spots[members], length)), return_inverse=True)[1].ravel()
+            again = np.argsort(by_bytes, kind="stable")
+            order = np.concatenate([order[~bad], members[again]])
+            new = np.concatenate([new[~bad], np.diff(by_bytes[again], prepend=-1) != 0])
+        index = np.empty(len(s), np.int64)
+        index[order] = np.cumsum(new) - 1
+        return index, spots[order[new]]
+
+
+def _bytes_of(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as single values that sort in byte order."""
+    return np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel()
+
+
+def pack(steps: Steps, docs: DataFrame) -> DataFrame:
     """Blocks (block, ids, void, lens, data, size), stored in the shared folder."""
     schema = "block long, ids binary, void binary, lens binary, data binary, size long"
 
@@ -152,81 +197,62 @@ def pack(docs: DataFrame) -> DataFrame:
 
     text = F.coalesce("text", F.lit(""))
     least = F.array_min(F.transform(F.split(text, "\n"), lambda line: F.xxhash64(line)))
-    keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text"), least.alias("_least"))
-    near = keyed.repartitionByRange("_least", "doc_id").sortWithinPartitions("_least", "doc_id")
-    return stored(near.select("doc_id", "text").mapInArrow(run, schema), "blocks")
+    keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text"), least.alias("least"))
+    near = keyed.repartitionByRange("least", "doc_id").sortWithinPartitions("least", "doc_id")
+    return steps.stored(near.select("doc_id", "text").mapInArrow(run, schema), "blocks")
 
 
-def n_buckets(blocks: DataFrame) -> int:
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    n = 1
-    while n < MAX_BUCKETS and n * BUCKET_BYTES < total:
-        n *= 2
-    return n
+def bucket_bits(blocks: DataFrame) -> int:
+    """Buckets are the leading bits of names; so many that a bucket stands for BUCKET_BYTES of text."""
+    total, bits = blocks.agg(F.sum("size")).first()[0] or 0, 0
+    while (BUCKET_BYTES << bits) < total:
+        bits += 1
+    return bits
 
 
-def _cuts(names: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted names; buckets are leading bits."""
-    if buckets == 1:
-        return np.array([0, len(names)])
-    bits = buckets.bit_length() - 1
-    edges = np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
+def _bucket_of(names: np.ndarray, bits: int) -> np.ndarray:
+    return (names >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(names), np.int64)
 
 
-def _coded(names: np.ndarray, whole: bool) -> bytes:
-    """Sorted names as their first value and differences: of all 64 bits in 6 bytes
-    each plus the few larger ones, or of the upper 48 bits (a filter needs no more)."""
-    if not whole:
-        names = names >> np.uint64(16)
+def _coded(names: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted names (a filter needs no more) as first value, differences and the few large ones."""
+    names = names >> np.uint64(16)
     step = np.diff(names, prepend=names[:1])
-    bits, width = (48, 6) if whole else (32, 4)
-    large = np.flatnonzero(step >> np.uint64(bits))
-    low = step.view(np.uint8).reshape(-1, 8)[:, :width]
+    large = np.flatnonzero(step >> np.uint64(32))
+    low = step.view(np.uint8).reshape(-1, 8)[:, :4]
     head = np.array([len(step), len(large)], np.int64).tobytes() + names[:1].tobytes()
-    return head + low.tobytes() + large.astype(np.int64).tobytes() + (step[large] >> np.uint64(bits)).tobytes()
+    return head + low.tobytes() + large.astype(np.int64).tobytes() + (step[large] >> np.uint64(32)).tobytes()
 
 
-def _decoded(raw: bytes, whole: bool) -> np.ndarray:
-    bits, width = (48, 6) if whole else (32, 4)
+def _decoded(raw: bytes) -> np.ndarray:
     n, k = np.frombuffer(raw, np.int64, 2)
     first = np.frombuffer(raw, np.uint64, 1, 16)
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, 24).reshape(n, width)
+    wide[:, :4] = np.frombuffer(raw, np.uint8, n * 4, 24).reshape(n, 4)
     step = wide.view(np.uint64).ravel()
-    at = 24 + n * width
-    step[np.frombuffer(raw, np.int64, k, at)] |= np.frombuffer(raw, np.uint64, k, at + 8 * k) << np.uint64(bits)
+    at = 24 + n * 4
+    step[np.frombuffer(raw, np.int64, k, at)] |= np.frombuffer(raw, np.uint64, k, at + 8 * k) << np.uint64(32)
     return first + np.cumsum(step, dtype=np.uint64)
 
 
-ENTRY_SCHEMA = "bucket int, block long, names binary, firsts binary"
-ANSWER_SCHEMA = "bucket int, block long, bits binary"
+SCHEMA = "bucket long, block long, n long, body binary"
 
 
-def _entries(block: int, names: np.ndarray, firsts: np.ndarray | None, buckets: int) -> pa.RecordBatch:
-    cuts = _cuts(names, buckets)
-    used = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-    wide = firsts is not None
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([i for i, _, _ in used], pa.int32()),
-            pa.array([block] * len(used), pa.int64()),
-            pa.array([_coded(names[a:b], wide) for _, a, b in used], pa.binary()),
-            pa.array([firsts[a:b].tobytes() if wide else b"" for _, a, b in used], pa.binary()),
-        ],
-        ["bucket", "block", "names", "firsts"],
-    )
+def _rows_of_buckets(block: int, names: np.ndarray, bits: int, body) -> pa.RecordBatch:
+    """A row for each bucket that sorted names fall into; body(a, b) codes the names from a to b."""
+    used, starts = np.unique(_bucket_of(names, bits), return_index=True)
+    ends = np.append(starts[1:], len(names))
+    cols = [pa.array(used, pa.int64()), pa.array([block] * len(used), pa.int64()), pa.array(ends - starts, pa.int64()), pa.array([body(a, b) for a, b in zip(starts, ends)], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["bucket", "block", "n", "body"])
 
 
-def _answers(table: pa.Table, names: list[np.ndarray], bit: np.ndarray) -> pa.Table:
-    ends = np.cumsum([len(x) for x in names])
-    bits = [np.packbits(bit[e - len(x) : e]).tobytes() for x, e in zip(names, ends)]
-    return pa.table({"bucket": table["bucket"], "block": table["block"], "bits": pa.array(bits, pa.binary())})
+def _answered(table: pa.Table, bodies: list[bytes]) -> pa.Table:
+    return pa.table({"bucket": table["bucket"], "block": table["block"], "n": table["n"], "body": pa.array(bodies, pa.binary())})
 
 
-def _rank_bucket(table: pa.Table) -> pa.Table:
-    """Which cover samples of a bucket occur in more than one block."""
-    names = [_decoded(x, False) for x in table["names"].to_pylist()]
+def _seen_twice(table: pa.Table) -> pa.Table:
+    """Which k-gram names of a bucket occur in more than one block."""
+    names = [_decoded(x) for x in table["body"].to_pylist()]
     whole = np.concatenate(names)
     order = np.argsort(whole)
     s = whole[order]
@@ -234,45 +260,81 @@ def _rank_bucket(table: pa.Table) -> pa.Table:
     bit = np.zeros(len(s), bool)
     bit[order[1:][same]] = True
     bit[order[:-1][same]] = True
-    return _answers(table, names, bit)
+    ends = np.cumsum([len(x) for x in names])
+    return _answered(table, [np.packbits(bit[e - len(x) : e]).tobytes() for x, e in zip(names, ends)])
 
 
-def _sort_bucket(table: pa.Table) -> pa.Table:
-    """Which suffix names of a bucket start earlier in another block."""
-    names = [_decoded(x, True) for x in table["names"].to_pylist()]
-    whole = np.concatenate(names)
-    first = np.concatenate([np.frombuffer(x, np.int64) for x in table["firsts"].to_pylist()])
-    block = np.repeat(table["block"].to_numpy(), [len(x) for x in names])
-    order = np.argsort(whole, kind="stable")
-    s = whole[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    tied = ~new
-    tied[:-1] |= ~new[1:]
-    bit = np.zeros(len(s), bool)
-    if tied.any():  # long ties only: earliest id, then block
-        o = order[tied]
-        o = o[np.lexsort((block[o], first[o], whole[o]))]
-        again = whole[o][1:] == whole[o][:-1]
-        bit[o[1:][again]] = True
-    return _answers(table, names, bit)
-
-
-def _bits_of(rows: list[dict], names: np.ndarray, buckets: int) -> np.ndarray:
-    """Answers of all buckets, put together in the order of the sorted names."""
-    cuts, out = _cuts(names, buckets), np.zeros(len(names), bool)
-    for r in rows:
-        a, b = cuts[r["bucket"]], cuts[r["bucket"] + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a)
+def _coded_samples(rows: np.ndarray, before: np.ndarray, after: np.ndarray, first: np.ndarray) -> bytes:
+    """Samples: their bytes with both sides, how much of the sides there is, and the first document."""
+    raw = b"".join((before.astype(np.uint8).tobytes(), after.astype(np.uint8).tobytes(), first.tobytes(), np.ascontiguousarray(rows).tobytes()))
+    return pa.Codec("zstd").compress(raw).to_pybytes()
+
+
+def _decoded_samples(raw: bytes, n: int, width: int):
+    raw = pa.Codec("zstd").decompress(raw, decompressed_size=n * (width + 10)).to_pybytes()
+    whole = np.frombuffer(raw, np.uint8)
+    return whole[10 * n :].reshape(n, width), whole[:n], whole[n : 2 * n], whole[2 * n : 10 * n].view(np.int64)
+
+
+def _later(order: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Of rows in an order in which the earliest of each run of ties comes first: those that are not first."""
+    out = np.zeros(len(order), bool)
+    out[order[1:][same]] = True
     return out
 
 
+def sort_bucket(table: pa.Table, length: int = LENGTH) -> pa.Table:
+    """For each sample of a bucket the shifts t at which the string that begins t bytes before it
+    begins earlier too: in a document with a smaller id, or in a block with a smaller number."""
+    width, k = length + SIDE, length - SIDE
+    counts = table["n"].to_numpy()
+    parts = [_decoded_samples(x, n, width) for x, n in zip(table["body"].to_pylist(), counts.tolist())]
+    rows, before, after, first = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    block = np.repeat(table["block"].to_numpy(), counts)
+    # ranks: the k-grams sorted and numbered
+    rank = np.unique(_bytes_of(rows[:, SIDE : SIDE + k]), return_inverse=True)[1].ravel()
+    masks = np.zeros(len(rows), np.uint64)
+    served = [(before >= t) & (after >= SIDE - t) for t in range(SIDE + 1)]
+    # samples alike on both sides: the earliest stands for all
+    sides = np.concatenate([rows[:, :SIDE], rows[:, SIDE + k :], before[:, None], after[:, None]], axis=1)
+    alike = np.unique(_bytes_of(np.concatenate([rank.astype(np.int64)[:, None].view(np.uint8).reshape(-1, 8), sides], axis=1)), return_inverse=True)[1].ravel()
+    order = np.lexsort((block, first, alike))
+    later = _later(order, np.diff(alike[order]) == 0)
+    own = ~later & (np.bincount(rank[~later], minlength=rank.max(initial=0) + 1)[rank] > 1)
+    live = np.flatnonzero(own)
+    if len(live):
+        # hashes of prefixes and ends grow by a byte at a time; places keep the earliest of a run in front
+        live = live[np.lexsort((block[live], first[live]))]
+        left, right = rows[live, :SIDE].astype(np.uint64) + np.uint64(1), rows[live, SIDE + k :].astype(np.uint64) + np.uint64(1)
+        ends = np.zeros((SIDE + 1, len(live)), np.uint64)
+        for t in range(1, SIDE + 1):
+            ends[t] = mix(ends[t - 1] * np.uint64(BASE) + right[:, t - 1])
+        start = mix(rank[live].astype(np.uint64) + np.uint64(1))
+        for t in range(SIDE + 1):
+            if t:
+                start = mix(start * np.uint64(BASE) + left[:, SIDE - t])
+            on = np.flatnonzero(served[t][live])
+            key = start[on] + mix(ends[SIDE - t][on] + np.uint64(t + 1))
+            order = np.argsort(key, kind="stable")
+            new = np.ones(len(on), bool)
+            new[1:] = key[order[1:]] != key[order[:-1]]
+            own = block[live[on[order]]]
+            # the block of the earliest settles its own ties
+            again = own != own[np.maximum.accumulate(np.where(new, np.arange(len(on)), 0))]
+            masks[live[on[order[again]]]] |= np.uint64(1) << np.uint64(t)
+    everywhere = np.zeros(len(rows), np.uint64)
+    for t in range(SIDE + 1):
+        everywhere[served[t]] |= np.uint64(1) << np.uint64(t)
+    masks[later] = everywhere[later]
+    ends = np.cumsum(counts)
+    return _answered(table, [pa.Codec("zstd").compress(masks[e - n : e].tobytes()).to_pybytes() for n, e in zip(counts, ends)])
+
+
 def _with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """blocks with their answers; a block's answers are as many as there are buckets at most."""
-    got = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    total = answers.agg(F.sum(F.octet_length("bits") + 64)).first()[0] or 0
-    got = F.broadcast(got) if total <= MAX_BROADCAST_BYTES else got
-    return blocks.join(got, "block", "left")
+    """blocks with their answers; a block has no more answers than names."""
+    got = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "body")).alias("answers"))
+    return blocks.join(got.hint("merge"), "block", "left")
 
 
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -284,74 +346,82 @@ def _rows(batches):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def _in_order(answers: list[dict] | None) -> list[dict]:
+    return sorted((r for r in answers or [] if r["bucket"] >= 0), key=lambda r: r["bucket"])
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (null unless asked for), kept_sha256 of every row."""
-    if length < 2 * COVER_MOD - 1 and length - COVER_MOD + 1 < 16:
+    k = length - SIDE
+    if k < 16:
         raise ValueError("strings this short need a smaller cover")
-    blocks = pack(docs)
-    buckets = n_buckets(blocks)
+    steps = Steps(docs.sparkSession)
+    blocks = pack(steps, docs)
+    bits = bucket_bits(blocks)
 
-    def rank_entries(batches):
+    def send_names(batches):
         for row in _rows(batches):
-            yield _entries(row["block"], np.unique(Block(row).samples(length)[1]), None, buckets)
+            names = np.unique(Block(row).samples(length)[1])
+            yield _rows_of_buckets(row["block"], names, bits, lambda a, b: _coded(names[a:b]))
 
-    ranks = blocks.mapInArrow(rank_entries, ENTRY_SCHEMA).groupBy("bucket").applyInArrow(_rank_bucket, ANSWER_SCHEMA)
-    ranks = stored(ranks, "ranks")
-
-    def suffixes(block: Block, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct names, their first start, and the name index of every spot."""
-        names = gram_names(block.data, length, spots)
-        order = np.argsort(names, kind="stable")
-        s = names[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        index = np.empty(len(s), np.int64)
-        index[order] = np.cumsum(new) - 1
-        return s[new], spots[order[new]], index
+    twice = steps.stored(blocks.mapInArrow(send_names, SCHEMA).groupBy("bucket").applyInArrow(_seen_twice, SCHEMA), "names")
 
-    def suffix_entries(batches):
+    def send_samples(batches):
         for row in _rows(batches):
             block = Block(row)
             at, names = block.samples(length)
             distinct, index, count = np.unique(names, return_inverse=True, return_counts=True)
-            bits = _bits_of(row["answers"] or [], distinct, buckets)
-            spots = np.flatnonzero(block.candidates(length, at, (bits | (count > 1))[index]))
-            outside = np.flatnonzero(block.candidates(length, at, bits[index]))
-            # what repeats inside this block only is settled here; the rest is dealt out
-            names, first, _ = suffixes(block, outside)
-            firsts = block.ids[np.searchsorted(block.starts, first, side="right") - 1]
-            mask = np.zeros((2, len(block.data)), bool)
-            mask[0, spots], mask[1, outside] = True, True
-            packed = pa.Codec("zstd").compress(np.packbits(mask).tobytes()).to_pybytes() if mask.size else b""
-            dealt = _entries(row["block"], names, firsts, buckets)
-            yield dealt
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([packed], pa.binary()), pa.array([b""], pa.binary())], dealt.schema.names)
+            bit = [np.unpackbits(np.frombuffer(r["body"], np.uint8), count=r["n"]) for r in _in_order(row["answers"])]
+            bit = np.concatenate([np.empty(0, np.uint8), *bit]).astype(bool)
+            inside = block.candidates(length, at, (bit | (count > 1))[index])
+            outside = np.flatnonzero(bit[index])
+            at, names = at[outside], names[outside]
+            before, after = np.minimum(block.pos[at], SIDE), np.minimum(block.left[at] - k, SIDE)
+            # each distinct sample goes once, for the first place it has
+            rows = block.rows(at - SIDE, length + SIDE)
+            dark = np.arange(length + SIDE)
+            rows = np.where((dark >= SIDE - before[:, None]) & (dark < SIDE + k + after[:, None]), rows, 0).astype(np.uint8)
+            _, one, which = np.unique(_bytes_of(np.concatenate([rows, before[:, None].astype(np.uint8), after[:, None].astype(np.uint8)], axis=1)), return_index=True, return_inverse=True)
+            order = np.argsort(names[one], kind="stable")
+            place = np.empty(len(one), np.int32)
+            place[order] = np.arange(len(one), dtype=np.int32)
+            one = one[order]
+            docs_of = block.ids[np.searchsorted(block.starts, at[one], side="right") - 1]
+            yield _rows_of_buckets(row["block"], names[one], bits, lambda a, b: _coded_samples(rows[one[a:b]], before[one[a:b]], after[one[a:b]], docs_of[a:b]))
+            # what this block needs to read the answers goes along: candidates, places of the samples, their order
+            raw = np.packbits(inside).tobytes() + at.astype(np.int32).tobytes() + place[which.ravel()].tobytes()
+            note = pa.Codec("zstd").compress(raw).to_pybytes() if raw else b""
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([note], pa.binary())], ["bucket", "block", "n", "body"])
 
     def settle(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() >= 0:
-            return _sort_bucket(table)
-        return pa.table({"bucket": table["bucket"], "block": table["block"], "bits": table["names"]})
+        return sort_bucket(table, length) if table["bucket"][0].as_py() >= 0 else table.select(["bucket", "block", "n", "body"])
 
-    # the blocks' candidate masks travel along as bucket -1, spread by block
-    made = _with_answers(blocks, ranks).mapInArrow(suffix_entries, ENTRY_SCHEMA)
+    # notes are spread by block
+    made = _with_answers(blocks, twice).mapInArrow(send_samples, SCHEMA)
     spread = F.when(F.col("bucket") < 0, F.col("block")).otherwise(-1)
-    settled = made.withColumn("spread", spread).groupBy("bucket", "spread").applyInArrow(settle, ANSWER_SCHEMA)
-    settled = stored(settled, "suffixes")
+    settled = steps.stored(made.withColumn("spread", spread).groupBy("bucket", "spread").applyInArrow(settle, SCHEMA), "suffixes")
+    steps.drop(twice)
 
     def finish(batches):
+        codec = pa.Codec("zstd")
         for row in _rows(batches):
             block = Block(row)
-            size, rows = len(block.data), row["answers"] or []
-            mask = next((r["bits"] for r in rows if r["bucket"] < 0), b"")
-            mask = np.unpackbits(np.frombuffer(pa.Codec("zstd").decompress(mask, decompressed_size=(2 * size + 7) // 8), np.uint8), count=2 * size).reshape(2, size).astype(bool) if mask else np.zeros((2, size), bool)
-            spots, outside = np.flatnonzero(mask[0]), np.flatnonzero(mask[1])
-            names, first, index = suffixes(block, spots)
-            later = np.zeros(len(names), bool)
-            dealt = np.unique(index[mask[1][spots]]) if len(outside) else np.empty(0, np.int64)
-            later[dealt] = _bits_of([r for r in rows if r["bucket"] >= 0], names[dealt], buckets)
-            repeat = later[index] | (spots != first[index])
+            size, answers = len(block.data), row["answers"] or []
+            note = next((r for r in answers if r["bucket"] < 0), None)
+            repeated, spots = np.zeros(size, bool), np.empty(0, np.int64)
+            if note and note["body"]:
+                n, flags = note["n"], (size + 7) // 8
+                raw = codec.decompress(note["body"], decompressed_size=flags + 8 * n).to_pybytes()
+                spots = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, flags), count=size))
+                at, place = np.frombuffer(raw, np.int32, n, flags), np.frombuffer(raw, np.int32, n, flags + 4 * n)
+                masks = [np.frombuffer(codec.decompress(r["body"], decompressed_size=8 * r["n"]).to_pybytes(), np.uint64) for r in _in_order(answers)]
+                masks = np.concatenate([np.empty(0, np.uint64), *masks])[place]
+                for t in range(SIDE + 1):
+                    repeated[at[(masks >> np.uint64(t)) & np.uint64(1) == 1] - t] = True
+            index, first = block.classes(spots, length)
+            repeated[spots[spots != first[index]]] = True
             flag = np.zeros(size + length, np.int32)
-            flag[spots[repeat] + length] = 1
+            flag[np.flatnonzero(repeated) + length] = 1
             total = np.cumsum(flag, dtype=np.int32)
             # total[x + length] counts repeated starts up to x
             gone = total[length : length + size] > total[:size]

@@ -179,6 +179,23 @@ def test_repeated_strings(spark, monkeypatch, block):
     assert got == removed_by_hand(rows)
 
 
+def test_ties_with_colliding_names(spark, monkeypatch):
+    """Names of six bits: what is equal is decided by ranks and bytes."""
+    names = suffix_dedup.gram_names
+    monkeypatch.setattr(suffix_dedup, "gram_names", lambda data, n, at: (names(data, n, at) >> suffix_dedup.np.uint64(58)) << suffix_dedup.np.uint64(58))
+    test_repeated_strings(spark, monkeypatch, 2_000)
+
+
+def test_one_passage_in_every_block(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1_500)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 5_000)
+    rnd = random.Random(8)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(260))
+    rows = [(i, "".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 90))) + passage + str(rnd.random()) + (passage[:150] + str(i) + passage[20:]) * (i % 3)) for i in range(200, 0, -1)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == removed_by_hand(rows)
+
+
 def test_repeats_in_odd_documents(spark):
     got = suffix_dedup.remove_repeats(odd_documents(spark)).collect()
     assert len(got) == 11 and sum(r["doc_id"] is None for r in got) == 1
