@@ -18,8 +18,8 @@ the texts.
 
 Company and minima are counted by group-bys that combine before the shuffle,
 written, and joined back: a variant that a third of the lines share is one row
-for each task, and adaptive execution can split the join that follows. All
-joins are shuffled at every size.
+for each task, and adaptive execution can split the join that follows. Joins of
+texts, lines and keys are sort-merge joins at every size.
 
 What goes: of equal lines that are not blank all but the earliest by (doc_id,
 text hash, line); and every line of near_chars characters or more that has an
@@ -91,7 +91,7 @@ def _prefixed(df: DataFrame, prefix: str, *more: str) -> DataFrame:
 def _with_company(steps: Steps, rows: DataFrame, label: str) -> DataFrame:
     """The rows whose key occurs again."""
     again = steps.stored(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("again")), label)
-    return rows.join(again, F.col("key") == F.col("again")).drop("again")
+    return rows.join(again.hint("merge"), F.col("key") == F.col("again")).drop("again")
 
 
 def near_lines(steps: Steps, docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def near_lines(steps: Steps, docs: DataFrame, first: DataFrame) -> DataFrame:
     # as many entries as the document has lines, times four
     wanted = one.groupBy(*KEYS).agg(F.collect_set(F.struct("m", "c")).alias("blocks")).groupBy("d", "t").agg(F.collect_list(F.struct("l", "blocks")).alias("wanted"))
     wanted = steps.stored(wanted.select(F.col("d").alias("w_d"), F.col("t").alias("w_t"), "wanted"), "wanted")
-    found = _texts(docs).join(wanted, _on(("d", "t"), "w_")).select("d", "t", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    found = _texts(docs).join(wanted.hint("merge"), _on(("d", "t"), "w_")).select("d", "t", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     found = found.select("d", "t", "w.l", F.col("lines")[F.col("w.l")].alias("line"), "w.blocks").dropDuplicates(list(KEYS))
     found = steps.stored(found, "lines")
     steps.drop(wanted)
@@ -121,7 +121,7 @@ def near_lines(steps: Steps, docs: DataFrame, first: DataFrame) -> DataFrame:
     fine = fine.select(*KEYS, "b.m", "b.c", "b.width", _block_key(2, F.col("line"), F.col("n"), F.col("b.m"), F.col("b.c"), F.col("b.width")).alias("key"))
     two = _with_company(steps, fine, "company-2").groupBy(*KEYS).agg(F.collect_set(F.struct("m", "c", "width")).alias("fine"))
 
-    again = found.select(*KEYS, "line").join(_prefixed(two, "w_", "fine"), _on(KEYS, "w_")).select(*KEYS, "line", F.explode("fine").alias("b"))
+    again = found.select(*KEYS, "line").join(_prefixed(two, "w_", "fine").hint("merge"), _on(KEYS, "w_")).select(*KEYS, "line", F.explode("fine").alias("b"))
     spots = again.select(*KEYS, "line", F.length("line").alias("n"), "b.m", (F.col("b.c") * F.col("b.width")).alias("start"), "b.width")
     same_length = F.col("n") == F.col("m")
     stop = F.least(F.col("start") + F.col("width"), F.col("m")) - same_length.cast("int")
@@ -165,7 +165,7 @@ def removed_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     judged = firsts.join(_prefixed(near, "w_", F.lit(True).alias("near")), _on(KEYS, "w_"), "left")
     # lines that occur once and have no near line are no concern
     concern = judged.where("c > 1 OR near").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.struct(*KEYS).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    hit = lines.join(concern, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(F.col("near") | ~place.eqNullSafe(F.col("first")))
+    hit = lines.join(concern.hint("merge"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(F.col("near") | ~place.eqNullSafe(F.col("first")))
     gone = steps.stored(hit.groupBy("d", "t").agg(F.collect_set("l").alias("gone")), "gone-lines")
     steps.drop(lines, firsts, near)
     return gone
@@ -175,7 +175,7 @@ def _joined(docs: DataFrame, near_chars: int) -> tuple[DataFrame, Column, Column
     """docs joined with its lost lines, the column of their indexes, the text that is kept."""
     d, t, k, gone = fresh(docs.columns, "gone_d", "gone_t", "text_key", "gone")
     lost = removed_lines(docs.select("doc_id", "text"), near_chars).select(F.col("d").alias(d), F.col("t").alias(t), F.col("gone").alias(gone))
-    joined = docs.withColumn(k, F.xxhash64("text")).join(lost, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(t)), "left")
+    joined = docs.withColumn(k, F.xxhash64("text")).join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(t)), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
     return joined, F.col(gone), F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
