@@ -497,7 +497,7 @@ def test_distances_by_hand(spark):
         by_lang[lang] = [a + b for a, b in zip(by_lang[lang], classes(text))]
         w = re.findall("[^\x20\x09-\x0d]+", text)
         total[lang] += len(w)
-        words[lang].update(x for x in w if len(x) <= quality_rules.COMMON_CHARS)
+        words[lang].update(x.lower() for x in w)
     refs = {g: [x / sum(v) for x in v] for g, v in by_lang.items()}
     common = {g: {w: n / total[g] for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: quality_rules.COMMON]} for g, c in words.items()}
     for r in quality_rules.judge(docs).collect():
@@ -507,7 +507,7 @@ def test_distances_by_hand(spark):
         if len(text) >= quality_rules.MIN_CHARS:
             far = min(apart([x / len(text) for x in classes(text)], q) for q in refs.values())
         if len(w) >= quality_rules.MIN_WORDS:
-            n = Counter(w)
+            n = Counter(x.lower() for x in w)
             lists = [([n[x] / len(w) for x in c], [*c.values()]) for c in common.values()]
             near = min(apart([*p, 1 - sum(p)], [*q, 1 - sum(q)]) for p, q in lists)
         assert (r["class_distance"] is None) == (far is None) and (r["word_distance"] is None) == (near is None)
