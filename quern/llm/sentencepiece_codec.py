@@ -2,14 +2,17 @@
 
 The text is cut into words that no piece of the vocabulary crosses, every
 distinct word of a batch is merged once, and the ids of all documents are then
-gathered with array operations. A round takes the best pair of each word
-(segmented minimum), merges leftmost occurrences at once, and compacts; words
-leave as soon as they hold no pair of the vocabulary.
+gathered with array operations. Words are cut further between two characters
+that are neighbours in no piece, which leaves short segments of most long words.
+A round takes the best pair of each segment (segmented minimum), merges leftmost
+occurrences at once, and compacts; segments leave as soon as they hold no pair
+of the vocabulary.
 
 Defined results: null and empty texts give begin and end id only; a text of
-spaces keeps them all; characters without a piece fall back to bytes; repeated
-rows are encoded each on their own; an empty table gives an empty table; other
-columns of the input are not looked at.
+spaces keeps them all; characters without a piece fall back to bytes; of pairs
+with equal scores the leftmost merges first; repeated rows are encoded each on
+their own; an empty table gives an empty table; other columns of the input are
+not looked at; texts of any length are encoded whole and must fit into a task.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ SPACE = "▁"
 CHAR_BASE = 1 << 21
 SHIFT = np.uint64(22)
 NO_PAIR = np.int64(1 << 62)
-#: Words beyond this many symbols are merged with a heap: same result, and
-#: no quadratic number of rounds on runs of thousands of equal-score pieces.
+#: Segments beyond this many symbols (runs of thousands of spaces, words of thousands of letters) are merged with
+#: a heap: same result, and no quadratic number of rounds (40,000 letters took 36 s in rounds).
 HEAP_FROM = 4096
 #: Words a worker remembers between batches.
 CACHE_WORDS = 500_000
@@ -77,6 +80,8 @@ class PieceTables:
         self.keys = np.array([r[0] for r in rows], np.uint64)
         self.ranks = np.array([r[1] for r in rows], np.int64)
         self.merged = np.array([r[2] for r in rows], np.int64)
+        #: Characters that are neighbours in some piece.
+        self.neighbours = np.array(sorted({(ord(a) << 22) | ord(b) for p in ids for a, b in zip(p, p[1:])}), np.uint64)
         # a merge whose product cannot at once form a better pair may be done everywhere in the word
         self.alone = np.array([shared[rank[i]] or best_over.get(i, 1 << 60) <= rank[i] for i in range(n)])
         blobs = []
@@ -105,6 +110,12 @@ class PieceTables:
             return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         return re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
+    def pair_table(self) -> dict[int, tuple[int, int]]:
+        """Pairs as a dict, made on first use."""
+        if not hasattr(self, "_pairs"):
+            self._pairs = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.merged)}
+        return self._pairs
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Index of each pair in the table, or -1."""
         key = (left.astype(np.uint64) << SHIFT) | right.astype(np.uint64)
@@ -113,25 +124,31 @@ class PieceTables:
         return np.where(self.keys[at] == key, at, -1)
 
 
-def _symbols(tables: PieceTables, text: str) -> np.ndarray:
+def _symbols(tables: PieceTables, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the characters, and whether a piece has each next to the one before it."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
     distinct, back = np.unique(points, return_inverse=True)
     own = np.array([tables.chars.get(chr(c), CHAR_BASE + c) for c in distinct.tolist()], np.int64)
-    return own[back]
+    known, joined = tables.neighbours, np.zeros(len(points), bool)
+    if len(known):
+        pairs = (points[:-1].astype(np.uint64) << SHIFT) | points[1:].astype(np.uint64)
+        joined[1:] = known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] == pairs
+    return own[back], joined
 
 
 def merge_words(tables: PieceTables, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, flat, and the number of ids of each word."""
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    sizes = np.array([len(w) for w in words], np.int64)
-    parts: list[np.ndarray | None] = [None] * len(words)
-    flat = _symbols(tables, "".join(words))
-    owner = np.repeat(np.arange(len(words)), sizes)
+    flat, joined = _symbols(tables, "".join(words))
+    word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    joined[1:] &= word[1:] == word[:-1]
+    owner = np.cumsum(~joined) - 1  # the segment of each symbol
+    word_of = word[~joined]
+    sizes = np.bincount(owner)
     ends = np.cumsum(sizes)
     long = np.flatnonzero(sizes > HEAP_FROM)
-    for w in long.tolist():
-        parts[w] = _heap_merge(tables, flat[ends[w] - sizes[w] : ends[w]])
+    parts = {w: _heap_merge(tables, flat[ends[w] - sizes[w] : ends[w]]) for w in long.tolist()}
     if len(long):
         stay = ~np.isin(owner, long)
         flat, owner = flat[stay], owner[stay]
@@ -176,7 +193,7 @@ def merge_words(tables: PieceTables, words: list[str]) -> tuple[np.ndarray, np.n
         symbols = np.concatenate([symbols, parts[w]])
         owners = np.concatenate([owners, np.full(len(parts[w]), w)])
     order = np.argsort(owners, kind="stable")
-    return _bytes_for_unknown(tables, symbols[order], owners[order], len(words))
+    return _bytes_for_unknown(tables, symbols[order], word_of[owners[order]], len(words))
 
 
 def _bytes_for_unknown(tables: PieceTables, symbols: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +214,7 @@ def _heap_merge(tables: PieceTables, symbols: np.ndarray) -> np.ndarray:
     sym = symbols.tolist()
     nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
-    table = {int(k): (int(r), int(m)) for k, r, m in zip(tables.keys, tables.ranks, tables.merged)}
+    table = tables.pair_table()
     heap = []
 
     def offer(i: int) -> None:
