@@ -129,22 +129,23 @@ class Languages:
             out = self.slots[at] if out is None else out & self.slots[at]
         return out
 
-    def counts(self, hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each of n texts: its n-grams, those that all languages contain, and those that each contains."""
+    def counts(self, hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each of n texts: its n-grams, those that all languages contain, those that any contains, and those that each contains."""
         masks = self.masks(hashes)
-        everyone = np.ones(len(hashes), bool)
+        everyone, anyone = np.ones(len(hashes), bool), np.zeros(len(hashes), bool)
         each = np.empty((len(self.names), n))
         for i in range(len(self.names)):
             has = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1) == 1
             everyone &= has
+            anyone |= has
             each[i] = np.bincount(owner[has], minlength=n)
-        return np.bincount(owner, minlength=n), np.bincount(owner[everyone], minlength=n), each
+        return np.bincount(owner, minlength=n), np.bincount(owner[everyone], minlength=n), np.bincount(owner[anyone], minlength=n), each
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         n = len(texts)
         if not self.names:
             return [UNDETERMINED] * n, np.zeros(n)
-        total, common, each = self.counts(*gram_hashes(texts), n)
+        total, common, _, each = self.counts(*gram_hashes(texts), n)
         common = common if len(self.names) > 1 else np.zeros(n)
         wrong = self.false_share[:, None]
         counts = np.clip((each - total * wrong) / np.maximum(1 - wrong, 1e-9), 0, None)
@@ -160,6 +161,14 @@ class Languages:
         return [self.names[b] if k else UNDETERMINED for b, k in zip(best, total > 0)], score
 
 
+    def known(self, texts: list[str | None]) -> np.ndarray:
+        """The share of each text's n-grams that some language contains, corrected for false positives."""
+        total, _, anyone, _ = self.counts(*gram_hashes(texts), len(texts))
+        wrong = 1 - np.prod(1 - self.false_share)
+        share = np.divide(anyone, total, out=np.zeros(len(texts)), where=total > 0)
+        return np.clip((share - wrong) / max(1 - wrong, 1e-9), 0, 1)
+
+
 def _slots(hashes: np.ndarray):
     for k in range(LOOKUPS):
         yield (hashes >> np.uint64(k * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)
@@ -208,10 +217,13 @@ def predict(docs: DataFrame, languages: Languages) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, languages: Languages, min_score: float) -> DataFrame:
-    """The rows whose language is determined with at least that score, all columns kept.
+def keep_known(docs: DataFrame, languages: Languages, min_known: float) -> DataFrame:
+    """The rows of whose letter n-grams at least that share is in the languages learned, all columns kept.
 
-    Where no language was learned, only texts without letters go.
+    What goes is without letters, in another script, or random letters. A text
+    in several of the languages, or too short to tell which, stays: its score
+    is low, but it is known. Where no language was learned, only texts without
+    letters go.
     """
     shared = shipped(docs.sparkSession, languages)
     column = docs.columns.index("text")
@@ -219,11 +231,7 @@ def keep_known(docs: DataFrame, languages: Languages, min_score: float) -> DataF
     def run(batches):
         model = received(shared)
         for part, texts in text_slices(batches, CHUNK_CHARS, column):
-            if model.names:
-                names, score = model.predict(texts)
-                keep = [n != UNDETERMINED and s >= min_score for n, s in zip(names, score)]
-            else:
-                keep = [any(c.isalpha() for c in t or "") for t in texts]
+            keep = model.known(texts) >= min_known if model.names else [any(c.isalpha() for c in t or "") for t in texts]
             yield part.filter(pa.array(keep, pa.bool_()))
 
     # plain names on the way: dots and the like are no trouble to batches

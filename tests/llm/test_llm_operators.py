@@ -261,11 +261,12 @@ def test_masks_and_counts_by_hand(spark):
     assert model.names == sorted(held) and model.slots.shape[1] == 2
     texts = [t for _, t in rows[::9]] + ["été l'a 9x9 _", "", None]
     hashes, owner = langid.gram_hashes(texts)
-    total, _, each = model.counts(hashes, owner, len(texts))
+    total, _, someone, each = model.counts(hashes, owner, len(texts))
     extra = asked = 0
     for j, text in enumerate(texts):
         grams = grams_by_hand(text or "")
         assert total[j] == len(grams)
+        assert someone[j] >= sum(any(g in h for h in held.values()) for g in grams)
         for i, lang in enumerate(model.names):
             own = sum(g in held[lang] for g in grams)
             assert each[i, j] >= own
@@ -292,8 +293,12 @@ def test_score_falls_with_missing_evidence(spark):
     model = langid.learn(langid.train_set(docs))
     clean = docs.where(held_out(F.col("doc_id"))).join(labels, "doc_id", "left_semi").select("doc_id", "text")
     odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*foreign, *noise])], "doc_id long, text string")
-    kept = [r["doc_id"] for r in langid.keep_known(clean.unionByName(odd), model, corpus_pipeline.MIN_LANGUAGE_SCORE).select("doc_id").collect()]
-    assert sorted(kept) == sorted(r["doc_id"] for r in clean.collect())
+    # a clean text of several languages is known as well, though none of them leads
+    some = [r["text"] for r in docs.where("lang = 'en'").limit(3).collect() + docs.where("lang = 'de'").limit(3).collect()]
+    mixed = spark.createDataFrame([(10**9, "\n".join(some))], "doc_id long, text string")
+    kept = [r["doc_id"] for r in langid.keep_known(clean.unionByName(odd).unionByName(mixed), model, corpus_pipeline.MIN_KNOWN_SHARE).select("doc_id").collect()]
+    assert sorted(kept) == sorted(r["doc_id"] for r in clean.unionByName(mixed).collect())
+    assert max(model.predict([*foreign, *noise])[1]) < 0.25
 
     alike, one = langid.gram_hashes(["same words"])[0], langid.gram_hashes(["only here"])[0]
     two = langid.Languages.build({"a": alike, "b": np.concatenate([alike, one])})
