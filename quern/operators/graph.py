@@ -7,19 +7,11 @@ costs one step.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster names; a local one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint(eager=True)
+from ..shared import cut
 
 
 def undirected(edges: DataFrame, *keep: str) -> DataFrame:
@@ -35,15 +27,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(node, hops): fewest hops from any start (node), along directed edges."""
-    seen = cut(starts.select("node", F.lit(0).alias("hops")).distinct())
+    front = seen = cut(starts.select("node", F.lit(0).alias("hops")).distinct())
     for hop in range(1, depth + 1):
-        front = seen.where(F.col("hops") == hop - 1)
         new = edges.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
-        new = new.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
-        step = cut(new)
-        if step.isEmpty():
+        front = cut(new.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)))
+        if front.isEmpty():
             break
-        seen = cut(seen.unionByName(step))
+        # each hop is written once; the union only lists what is written
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -231,56 +222,86 @@ def quality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("density", F.when(pairs > 0, F.col("n_edges") / F.when(pairs > 0, pairs)).otherwise(0.0))
 
 
-def brandes(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None, max_edges: int = 200_000) -> DataFrame:
-    """(node, betweenness, closeness) of small undirected graphs.
+def betweenness(edges: DataFrame, sources: DataFrame, depth: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(node, betweenness) and (node, closeness of the sources) of an undirected graph.
 
-    The adjacency is broadcast, so its size is checked first; the sources are
-    spread over the tasks, one breadth-first search each.
+    Breadth-first levels of all sources at once, as joins keyed by (source,
+    node), then the dependencies back from the farthest level; each level is
+    written once. Betweenness adds up over the given sources only: take all
+    nodes for the exact measure of a small graph, a sample for a large one.
+    """
+    e = cut(undirected(edges).where("src <> dst").distinct())
+    seen = cut(sources.select(F.col("node").alias("source"), "node").distinct().select("source", "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
+    levels = [seen]
+    for d in range(1, depth + 1):
+        step = levels[-1].join(e, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        step = cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(d).alias("d"), "paths"))
+        if step.isEmpty():
+            break
+        levels.append(step)
+        seen = seen.unionByName(step)
+    share = levels[-1].select("source", "node", "paths", F.lit(0.0).alias("part"))
+    parts = share
+    for level in reversed(levels[:-1]):
+        sent = share.join(e, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), ((1 + F.col("part")) / F.col("paths")).alias("sent"))
+        sent = sent.groupBy("source", "node").agg(F.sum("sent").alias("sent"))
+        share = cut(level.join(sent, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("sent", F.lit(0.0))).alias("part")))
+        parts = parts.unionByName(share)
+    between = parts.groupBy("node").agg((F.sum(F.when(F.col("node") != F.col("source"), F.col("part")).otherwise(0.0)) / 2).alias("betweenness"))
+    close = seen.groupBy(F.col("source").alias("node")).agg(F.when(F.sum("d") > 0, (F.count("*") - 1) / F.sum("d")).otherwise(0.0).alias("closeness"))
+    return between, close
+
+
+def brandes(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(node, betweenness, closeness): exact with all nodes as sources; closeness is 0 for nodes that are none."""
+    between, close = betweenness(edges, sources if sources is not None else nodes)
+    return between.join(close, "node", "left").select("node", "betweenness", F.coalesce("closeness", F.lit(0.0)).alias("closeness"))
+
+
+def modularity_move(edges: DataFrame, rounds: int = 4) -> DataFrame:
+    """(node, community): nodes move to the neighbouring community of the largest modularity gain, ties to the least.
+
+    Half of the nodes (by a hash of node and round) move in a round, so that
+    neighbours do not swap for ever; a round is three group-bys and joins.
     """
-    import pandas as pd
-
-    spark = edges.sparkSession
-    e = undirected(edges).where("src <> dst").distinct()
-    if e.count() > 2 * max_edges:
-        raise ValueError("too many edges for exact betweenness")
-    adjacency: dict = {}
-    for r in e.collect():
-        adjacency.setdefault(r["src"], []).append(r["dst"])
-    shared = spark.sparkContext.broadcast(adjacency)
-
-    def run(batches):
-        near = shared.value
-        total: dict = {}
-        for batch in batches:
-            for s in batch["node"].tolist():
-                dist, count, order, parents = {s: 0}, {s: 1.0}, [s], {}
-                for v in order:
-                    for w in near.get(v, ()):
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            order.append(w)
-                        if dist[w] == dist[v] + 1:
-                            count[w] = count.get(w, 0.0) + count[v]
-                            parents.setdefault(w, []).append(v)
-                back = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in parents.get(w, ()):
-                        back[v] += count[v] / count[w] * (1 + back[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + back[w] / 2
-                reach = sum(dist.values())
-                yield pd.DataFrame({"node": [s], "betweenness": [0.0], "closeness": [(len(dist) - 1) / reach if reach else 0.0]})
-        yield pd.DataFrame({"node": pd.Series(list(total), dtype="int64"), "betweenness": pd.Series(list(total.values()), dtype="float64"), "closeness": pd.Series([0.0] * len(total), dtype="float64")})
-
-    parts = (sources or nodes).select(F.col("node").cast("long")).mapInPandas(run, "node long, betweenness double, closeness double")
-    return parts.groupBy("node").agg(F.sum("betweenness").alias("betweenness"), F.max("closeness").alias("closeness"))
+    both = cut(undirected(edges).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w")))
+    degree = cut(both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
+    total = degree.agg(F.sum("k").alias("m2")).first()["m2"] or 1
+    now = degree.select("node", F.col("node").alias("community"))
+    for i in range(rounds):
+        placed = now.join(degree, "node")
+        size = cut(placed.groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("size")))
+        links = both.join(now, F.col("dst") == F.col("node")).groupBy("src", F.col("community").alias("c")).agg(F.sum("w").alias("w"))
+        own = placed.select(F.col("node").alias("src"), F.col("community").alias("c"), F.lit(0).alias("w"))
+        options = links.unionByName(own).groupBy("src", "c").agg(F.sum("w").alias("w"))
+        scored = options.join(size, "c").join(placed.select(F.col("node").alias("src"), "community", "k"), "src")
+        rest = F.col("size") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0)
+        # whole numbers, so that equal gains are equal
+        scored = scored.withColumn("gain", F.col("w") * F.lit(total) - F.col("k") * rest)
+        best = scored.groupBy("src", "community").agg(F.max_by("c", F.struct("gain", (-F.col("c")).alias("c"))).alias("c"))
+        moves = F.pmod(F.xxhash64("src", F.lit(i)), F.lit(2)) == 0
+        now = cut(best.select(F.col("src").alias("node"), F.when(moves, F.col("c")).otherwise(F.col("community")).alias("community")))
+    return now
+
+
+def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """(modularity) of a partition (node, community) of an undirected graph."""
+    both = undirected(edges).where("src <> dst")
+    c = communities.select("node", "community")
+    ends = both.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").groupBy("a", "b").agg(F.count("*").alias("w"))
+    per = ends.groupBy(F.col("a").alias("community")).agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0)).alias("inside"), F.sum("w").alias("k"))
+    all_of = per.agg(F.sum("inside").alias("inside"), F.sum("k").alias("m2"), F.sum(F.col("k").cast("double") * F.col("k")).alias("squares"))
+    return all_of.select((F.col("inside") / F.col("m2") - F.col("squares") / F.col("m2") / F.col("m2")).alias("modularity"))
 
 
 def similarity_edges(vectors: DataFrame, key: str, vector: str, k: int, similar: float, related: float) -> DataFrame:
-    """Each vector's k nearest by cosine; type SIMILAR or RELATED by threshold."""
-    from .retrieval import nearest
+    """Each vector's k nearest by cosine; type SIMILAR or RELATED by threshold.
+
+    Vectors meet only in cells of an index that the threshold does not rule out.
+    """
+    from .retrieval import nearest_in_cells
 
-    got = nearest(vectors, vectors, key, vector, k, exclude_self=True)
+    got = nearest_in_cells(vectors, key, vector, k, related)
     kind = F.when(F.col("score") >= similar, "SIMILAR").when(F.col("score") >= related, "RELATED")
     return got.select(F.col("query").alias("src"), F.col("id").alias("dst"), "score", kind.alias("type")).where("type IS NOT NULL")
 

@@ -15,6 +15,15 @@ from ..functions import text as T
 
 #: Query sides up to this many rows are broadcast; larger ones go in blocks.
 MAX_BROADCAST_QUERIES = 5_000
+#: Query terms up to this many rows are broadcast; more are joined by shuffle.
+MAX_BROADCAST_TERMS = 200_000
+#: Vectors that an index is fitted on at most, and rows of a cell that meet at once.
+FIT_VECTORS, CELL_BLOCK = 100_000, 4_096
+
+
+def marker(frame: DataFrame, rows: int):
+    """Marks frames that are no larger than this one for broadcast if it has at most so many rows."""
+    return F.broadcast if frame.limit(rows + 1).count() <= rows else lambda df: df
 
 
 def bm25(docs: DataFrame, queries: DataFrame, tokens, k1: float = 1.5, b: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -27,14 +36,14 @@ def bm25(docs: DataFrame, queries: DataFrame, tokens, k1: float = 1.5, b: float
     q = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qf"))
     base = docs.select(F.col(key).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     size = base.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean_len"))
-    terms = q.select("term").distinct()
-    hits = base.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).join(F.broadcast(terms), "term")
+    mark = marker(q, MAX_BROADCAST_TERMS)
+    hits = base.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).join(mark(q.select("term").distinct()), "term")
     tf = hits.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    part = tf.join(F.broadcast(df), "term").join(F.broadcast(size), how="cross")  # one row
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # no more rows than query terms
+    part = tf.join(mark(df), "term").join(F.broadcast(size), how="cross")  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    return part.withColumn("w", weight).join(F.broadcast(q), "term").groupBy("query", "id").agg(F.sum((F.col("w") * F.col("qf")).cast("decimal(28,12)")).cast("double").alias("score"))
+    return part.withColumn("w", weight).join(mark(q), "term").groupBy("query", "id").agg(F.sum((F.col("w") * F.col("qf")).cast("decimal(28,12)")).cast("double").alias("score"))
 
 
 def top(results: DataFrame, k: int, descending: bool = True) -> DataFrame:
@@ -50,7 +59,7 @@ def token_jaccard(docs: DataFrame, queries: DataFrame, tokens, key: str = "doc_i
     q = queries.select("query", F.array_distinct(tokens(F.col("text"))).alias("w"))
     a = d.select("id", F.size("w").alias("na"), F.explode("w").alias("t"))
     b = q.select("query", F.size("w").alias("nb"), F.explode("w").alias("t"))
-    c = a.join(F.broadcast(b), "t").groupBy("query", "id", "na", "nb").agg(F.count("*").alias("c"))
+    c = a.join(marker(b, MAX_BROADCAST_TERMS)(b), "t").groupBy("query", "id", "na", "nb").agg(F.count("*").alias("c"))
     return c.select("query", "id", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("score"))
 
 
@@ -93,6 +102,73 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     return top(reduce(DataFrame.unionByName, parts), k)
 
 
+def nearest_in_cells(vectors: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:
+    """(query, id, score, rank): each vector's k nearest others with a cosine of least or more, exactly.
+
+    Cells are k-means cells of the directions, as many as the root of the rows
+    (at most 1024), fitted on a bounded sample; every vector is in one cell. A
+    cell is searched for a query unless its centre is too far: at a cosine of
+    least or more two directions are no farther apart than sqrt(2 - 2 least).
+    Cells meet their queries in blocks of CELL_BLOCK rows, as matrix products.
+    """
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    from ..shared import cut
+
+    n = vectors.count()
+    cells = int(max(1, min(1024, math.isqrt(n))))
+    sample = vectors.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(min(1.0, FIT_VECTORS / max(n, 1)) * (1 << 30))) if n > FIT_VECTORS else vectors
+    model, _ = ivf(sample, key, vector, cells)
+    centres = np.array([np.asarray(c, float) for c in model.clusterCenters()])
+    reach = math.sqrt(max(0.0, 2 - 2 * least))
+
+    def place(batches):
+        for pdf in batches:
+            v = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            d = np.sqrt(np.maximum(0.0, ((v**2).sum(axis=1)[:, None] - 2 * v @ centres.T) + (centres**2).sum(axis=1)))
+            yield pd.DataFrame({"id": pdf["id"], "v": list(v), "cell": d.argmin(axis=1), "far": d.min(axis=1)})
+
+    own = cut(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(place, "id long, v array<double>, cell int, far double"))
+    radii = {r["cell"]: r["far"] for r in own.groupBy("cell").agg(F.max("far").alias("far")).collect()}  # a row per cell
+    radius = np.array([radii.get(i, -1.0) for i in range(len(centres))])
+
+    def visit(batches):
+        for pdf in batches:
+            v = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+            d = np.sqrt(np.maximum(0.0, ((v**2).sum(axis=1)[:, None] - 2 * v @ centres.T) + (centres**2).sum(axis=1)))
+            row, cell = np.nonzero((d - radius <= reach + 1e-9) & (radius >= 0))
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "cell": cell, "v": list(v[row])})
+
+    asked = own.select("id", "v").mapInPandas(visit, "id long, cell int, v array<double>")
+    sizes = own.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("own_blocks"))
+    askers = asked.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("ask_blocks"))
+    blocks = F.broadcast(sizes.join(askers, "cell"))  # a row per cell
+    left = own.select("id", "v", "cell").join(blocks, "cell").withColumn("x", F.pmod(F.xxhash64("id"), F.col("own_blocks")).cast("int"))
+    left = left.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)))
+    right = asked.join(blocks, "cell").withColumn("y", F.pmod(F.xxhash64("id"), F.col("ask_blocks")).cast("int"))
+    right = right.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)))
+    columns = ["cell", "x", "y", "id", "v"]
+
+    def meet(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        ids, asks = a["id"].to_numpy(), b["id"].to_numpy()
+        score = np.round(np.array(b["v"].tolist()) @ np.array(a["v"].tolist()).T, 12)
+        score[(asks[:, None] == ids[None, :]) | (score < least)] = -2.0
+        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(asks)), order.shape[1])
+        flat = order.ravel()
+        kept = score[rows, flat] >= least
+        return pd.DataFrame({"query": asks[rows[kept]], "id": ids[flat[kept]], "score": score[rows[kept], flat[kept]]})
+
+    got = left.select(*columns).groupBy("cell", "x", "y").cogroup(right.select(*columns).groupBy("cell", "x", "y")).applyInPandas(meet, "query long, id long, score double")
+    return top(got, k)
+
+
 def ivf(vectors: DataFrame, key: str, vector: str, cells: int, seed: int = 1):
     """(model, frame with cell): vectors assigned to k-means cells of their directions, for searching a few cells only."""
     from pyspark.ml.clustering import KMeans
@@ -255,6 +331,33 @@ def paired_test(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return d.select("n", F.col("mean").alias("difference"), (F.col("mean") / (some / F.sqrt("n"))).alias("t"), (F.col("mean") / some).alias("cohen_d"))
 
 
+def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, w_plus, w_minus, z): signed-rank test of a - b; zero differences are left out, ties share their mean rank.
+
+    Differences are counted by size first; ranks are running sums over the
+    distinct sizes, range by range.
+    """
+    from .windows import running_total
+
+    d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
+    sizes = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("long")).alias("n_plus"))
+    ranked = running_total(sizes, "size", "n", "upto").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
+    w = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("rank") * F.col("n_plus")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("rank") * (F.col("n") - F.col("n_plus"))), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum(F.pow("n", F.lit(3)) - F.col("n")), F.lit(0.0)).alias("ties"))
+    n = F.col("n").cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    return w.select("n", "w_plus", "w_minus", F.when(spread > 0, (F.col("w_plus") - n * (n + 1) / 4) / spread).alias("z"))
+
+
+def full_text(docs: DataFrame, queries: DataFrame, tokens, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query, id, score) of documents that hold every term of the query; score is BM25, ties share it."""
+    terms = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    need = terms.groupBy("query").agg(F.count("*").alias("need"))
+    held = docs.select(F.col(key).alias("id"), F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
+    mark = marker(terms, MAX_BROADCAST_TERMS)
+    whole = held.join(mark(terms), "term").groupBy("query", "id").agg(F.count("*").alias("have")).join(mark(need), "query").where("have = need").select("query", "id")
+    return bm25(docs, queries, tokens, key=key, text=text).join(whole, ["query", "id"])
+
+
 def authority_rerank(results: DataFrame, rank_boost: dict, k: int) -> DataFrame:
     """Adds a boost by court rank, .2 * authority and .1 if cited; at most 1.
     Needs court_rank, authority, cited."""

@@ -135,3 +135,19 @@ def suppress_repeats(df: DataFrame, key: str, seconds: Column, id_column: str, w
 
     sent = got.select(F.explode(F.aggregate("rows", start, step)["sent"]).alias(id_column))
     return df.join(sent, id_column, "left_semi")
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of value up to each row, in ascending order, rows with equal order together.
+
+    The frame is dealt into ranges of the order; each range sums its own rows,
+    and the totals of the ranges before it, one number each, are added.
+    """
+    from ..shared import cut
+
+    dealt = df.repartitionByRange(order).withColumn("range_", F.spark_partition_id())
+    dealt = cut(dealt)
+    totals = dealt.groupBy("range_").agg(F.sum(value).alias("total_"))
+    before = totals.withColumn("before_", F.coalesce(F.sum("total_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range_", "before_")
+    own = F.sum(value).over(Window.partitionBy("range_").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn("own_", own).join(F.broadcast(before), "range_").withColumn(name, F.col("own_") + F.col("before_")).drop("range_", "own_", "before_")

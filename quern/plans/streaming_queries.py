@@ -4,43 +4,52 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import events as E
 from .registry import query
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all files present and return its rows."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def stream(t):
-    return E.event_stream(t.spark, t.folder, t.events.schema, pattern="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return E.event_stream(t.spark, f"{t.folder}/events.parquet", t.events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("str_tumbling", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def str_tumbling(t):
-    out = drained(E.tumbling(stream(t), "ts", "event_type", "value"), "complete")
+    out = E.drained(E.tumbling(stream(t), "ts", "event_type", "value"), "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("str_sliding", "SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY 1, 2")
 def str_sliding(t):
-    out = drained(E.sliding(stream(t), "ts", "event_type", "value", "1 hour", "30 minutes"), "complete")
+    out = E.drained(E.sliding(stream(t), "ts", "event_type", "value", "1 hour", "30 minutes"), "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
 @query("str_deduplicated", "SELECT event_id FROM events")
 def str_dedup(t):
-    return drained(E.deduplicated(stream(t), "ts", "event_id").select("event_id"), "append")
+    return E.drained(E.deduplicated(stream(t), "ts", "event_id").select("event_id"), "append")
 
 
 @query("str_alerts", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS s FROM events), f AS (SELECT user_id, min(s) AS p FROM e GROUP BY 1
-   UNION ALL SELECT user_id, (SELECT min(e.s) FROM e WHERE e.user_id = f.user_id AND e.s >= f.p + 7200) FROM f WHERE p IS NOT NULL) SELECT user_id AS key, count(*) AS n FROM f WHERE p IS NOT NULL GROUP BY 1""")
+   UNION ALL SELECT user_id, (SELECT min(e.s) FROM e WHERE e.user_id = f.user_id AND e.s >= f.p + 7200) FROM f WHERE p IS NOT NULL) SELECT user_id AS key, round(p, 3) AS t FROM f WHERE p IS NOT NULL""")
 def str_alerts(t):
-    return drained(E.suppressed_alerts(stream(t), "user_id", "ts", 7200), "append").groupBy("key").agg(F.count("*").alias("n"))
+    return E.drained(E.suppressed_alerts(stream(t), "user_id", "ts", 7200), "append").select("key", F.round("t", 3).alias("t"))
+
+
+@query("str_sessions", """SELECT user_id, round(min(s), 3) AS start, count(*) AS n FROM (SELECT user_id, s, sum(new) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g
+   FROM (SELECT user_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) < 1800 THEN 0 ELSE 1 END AS new FROM (SELECT user_id, epoch_us(ts) / 1e6 AS s FROM events))) GROUP BY user_id, g""")
+def str_sessions(t):
+    out = E.drained(E.sessions(stream(t), "ts", "user_id"), "complete")
+    return out.select("user_id", F.round(F.unix_micros("start") / 1e6, 3).alias("start"), "n")
+
+
+@query("str_rejects", "SELECT event_type, count(*) FILTER (value >= 0) AS kept, count(*) FILTER (NOT coalesce(value >= 0, false)) AS rejected FROM events GROUP BY 1")
+def str_rejects(t):
+    """Micro-batches merged into one folder, rows that fail the condition into another."""
+    folder = f"{E.shared_dir(t.spark)}/{uuid.uuid4().hex}"
+    put = lambda name: lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/{name}/epoch={epoch}")
+    E.upsert_batches(stream(t), put("kept"), f"{folder}/state", F.col("value") >= 0, put("rejected")).awaitTermination()
+    rows = [t.spark.read.schema(t.events.schema).parquet(f"{folder}/{name}").select("event_type", F.lit(name).alias("side")) for name in ("kept", "rejected")]
+    both = rows[0].unionByName(rows[1]).groupBy("event_type")
+    return both.agg(F.count_if(F.col("side") == "kept").alias("kept"), F.count_if(F.col("side") == "rejected").alias("rejected"))

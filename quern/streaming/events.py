@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import shared_dir
 
-def event_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100, pattern: str = "*.parquet") -> DataFrame:
-    """New files of a folder, at most so many per micro-batch."""
-    return spark.readStream.format("parquet").schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).load(path)
+
+def event_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
+    """A file, or a folder's part files as they come, at most so many per micro-batch.
+
+    The path is given as a pattern that only it fits: a stream takes a plain path for a folder.
+    """
+    return spark.readStream.format("parquet").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(f"{path[:-1]}[{path[-1]}]")
 
 
 def tumbling(events: DataFrame, ts: str, key: str, value: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -31,30 +37,58 @@ def deduplicated(events: DataFrame, ts: str, *keys: str, late: str = "10 minutes
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def suppressed_alerts(events: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
+def suppressed_alerts(events: DataFrame, key: str, ts: str, seconds: float, late: str = "10 minutes") -> DataFrame:
     """(key, ts): alerts at least so long after the last one sent with their key.
 
-    State per key is one timestamp; it times out with processing time.
+    State per key is one time; it expires when the watermark is so long past it
+    that no alert can be held back any more. A batch of one key is held as an
+    array of times, bounded by the files of a micro-batch.
     """
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     kind = dict(events.dtypes)[key]
 
     def send(k, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        out = []
-        rows = sorted(t for pdf in batches for t in pdf["t"].tolist())
-        for t in rows:
-            if last is None or t - last >= seconds:
-                last = t
-                out.append(t)
+        times = np.sort(np.concatenate([pdf["t"].to_numpy() for pdf in batches]))
+        at, out = 0, []
+        if last is not None:
+            at = int(np.searchsorted(times, last + seconds))
+        while at < len(times):
+            last = float(times[at])
+            out.append(last)
+            at = int(np.searchsorted(times, last + seconds))
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [k[0]] * len(out), "t": out})
 
-    rows = events.select(F.col(key).alias("key"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
-    return rows.groupBy("key").applyInPandasWithState(send, f"key {kind}, t double", "last double", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark(ts, late).select(F.col(ts), F.col(key).alias("key"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
+    return rows.groupBy("key").applyInPandasWithState(send, f"key {kind}, t double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all that is there; its rows, read back from the shared folder.
+
+    Each micro-batch is written to a folder of its own, which a retry writes
+    again. In append mode all batches are the result, in complete mode the last.
+    """
+    base, epochs = f"{shared_dir(stream.sparkSession)}/{uuid.uuid4().hex}", []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/{epoch}")
+        epochs.append(epoch)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    wanted = sorted(set(epochs)) if mode == "append" else epochs[-1:]
+    rows = stream.sparkSession.read.schema(stream.schema)
+    return rows.parquet(*[f"{base}/rows/{e}" for e in wanted]) if wanted else stream.sparkSession.createDataFrame([], stream.schema)
 
 
 def upsert_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, good=None, rejected: Callable[[DataFrame, int], None] | None = None):

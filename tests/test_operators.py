@@ -228,3 +228,97 @@ def test_marked_up_files(spark, tmp_path):
     (tmp_path / "c.docx").write_text("no zip")
     got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in readers.read_docx(spark, str(tmp_path)).collect()}
     assert got == {"b.docx": "Hello\nyou", "c.docx": None}
+
+
+def test_streams_of_part_files(spark, tmp_path):
+    """A table of many part files is streamed whole, and in several micro-batches."""
+    from pyspark.sql import functions as F
+
+    from quern.plans import registry
+    from quern.streaming import events as E
+
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("str_tumbling", "str_deduplicated", "str_alerts", "str_rejects"):
+        folder = registry.QUERIES[name](spark, str(tmp_path))
+        file = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert sorted(map(tuple, folder.collect())) == sorted(map(tuple, file.collect()))
+    ordered = source.orderBy("ts").repartitionByRange(5, "ts")
+    ordered.write.parquet(f"{tmp_path}/ordered")
+    stream = E.event_stream(spark, f"{tmp_path}/ordered", source.schema, files_per_batch=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = E.drained(E.suppressed_alerts(stream.withColumn("all", F.lit("x")), "all", "ts", 600.0, late="20000 days"), "append").collect()
+    times = sorted(r[0] for r in source.select(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).collect())
+    want, last = [], None
+    for x in times:
+        if last is None or x - last >= 600:
+            want.append(x)
+            last = x
+    # files come in any order, so a later batch may hold earlier times: nothing is sent twice within the time
+    sent = sorted(r["t"] for r in got)
+    assert 0 < len(sent) <= len(want) and all(b - a >= 600 for a, b in zip(sent, sent[1:]))
+
+
+def test_betweenness_on_frames(spark):
+    import itertools
+    import random
+    from collections import deque
+
+    from quern.operators import graph as G
+
+    rnd = random.Random(3)
+    pairs = {tuple(sorted(rnd.sample(range(14), 2))) for _ in range(22)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def shortest(s):
+        dist, count, queue = {s: 0}, {s: 1}, deque([s])
+        while queue:
+            v = queue.popleft()
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], count[w] = dist[v] + 1, 0
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    count[w] += count[v]
+        return dist, count
+
+    found = {v: shortest(v) for v in near}
+    want = {v: sum(found[s][1][v] * found[v][1][t] / found[s][1][t] for s, t in itertools.combinations(near, 2) if v not in (s, t) and t in found[s][0] and v in found[s][0] and found[s][0][v] + found[v][0].get(t, 99) == found[s][0][t]) for v in near}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    got = {r["node"]: r for r in G.brandes(edges, G.degrees(edges).select("node")).collect()}
+    for v in near:
+        assert abs(got[v]["betweenness"] - want[v]) < 1e-9
+        d = found[v][0]
+        assert abs(got[v]["closeness"] - (len(d) - 1) / sum(d.values())) < 1e-9
+
+
+def test_communities_by_modularity(spark):
+    """Two cliques with one bridge come apart; the modularity is that of the definition."""
+    import itertools
+
+    from quern.operators import graph as G
+
+    edges = [*itertools.combinations(range(6), 2), *itertools.combinations(range(10, 16), 2), (5, 10)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r["node"]: r["community"] for r in G.modularity_move(df, 8).collect()}
+    assert len({got[i] for i in range(6)}) == 1 and len({got[i] for i in range(10, 16)}) == 1 and got[0] != got[15]
+    q = G.modularity(df, spark.createDataFrame(list(got.items()), "node long, community long")).first()[0]
+    m = len(edges)
+    degree = {v: sum(v in e for e in edges) for v in got}
+    want = sum((sum((a, b) in ((x, y), (y, x)) for x, y in edges)) / (2 * m) - degree[a] * degree[b] / (2 * m) ** 2 for a in got for b in got if got[a] == got[b])
+    assert abs(q - want) < 1e-9
+
+
+def test_wilcoxon_by_hand(spark):
+    import random
+
+    from quern.operators import retrieval as S
+
+    rnd = random.Random(1)
+    rows = [(float(rnd.randint(0, 9)), float(rnd.randint(0, 9))) for _ in range(60)]
+    d = sorted((a - b for a, b in rows if a != b), key=abs)
+    rank = lambda x: sum(abs(y) < abs(x) for y in d) + (sum(abs(y) == abs(x) for y in d) + 1) / 2
+    got = S.wilcoxon(spark.createDataFrame(rows, "a double, b double"), "a", "b").first()
+    assert (got["n"], got["w_plus"], got["w_minus"]) == (len(d), sum(rank(x) for x in d if x > 0), sum(rank(x) for x in d if x < 0))
