@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .graph import cut
@@ -148,20 +149,34 @@ def split(df: DataFrame, key: str, shares: dict[str, float], seed: str = "") ->
 # Ledgers
 
 
-def chained(entries: DataFrame, chain: str, order: str, body: str) -> DataFrame:
+def chained(entries: DataFrame, chain: str, order: str, body: str, head: str | None = None) -> DataFrame:
     """prev_hash and hash of each entry: sha256 over the entry and the hash before.
 
-    A chain is sequential, so each chain's hashes are folded in order.
+    A chain is sequential: its entries, sorted within a partition, are hashed
+    one after the other while they stream by; one hash is held. head names a
+    column with the hash a chain goes on from.
     """
-    rows = entries.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(body).alias("b")))).alias("rows"))
-    start = F.struct(F.lit("0" * 64).alias("last"), F.array().cast("array<struct<o:bigint,prev:string,hash:string>>").alias("out"))
+    import hashlib
 
-    def step(state: Column, r: Column) -> Column:
-        h = F.sha2(F.concat(r["b"], state["last"]), 256)
-        return F.struct(h.alias("last"), F.concat(state["out"], F.array(F.struct(r["o"].cast("bigint").alias("o"), state["last"].alias("prev"), h.alias("hash")))).alias("out"))
+    import pyarrow as pa
 
-    got = rows.select(chain, F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select(chain, F.col("x.o").alias(order), F.col("x.prev").alias("prev_hash"), F.col("x.hash").alias("hash"))
-    return entries.join(got, [chain, order])
+    at = [entries.columns.index(c) for c in (chain, body, *([head] if head else []))]
+
+    def run(batches):
+        last_chain, last = object(), ""
+        for batch in batches:
+            before, own = [], []
+            columns = [batch.column(i).to_pylist() for i in at]
+            for row in zip(*columns):
+                if row[0] != last_chain:
+                    last_chain, last = row[0], (row[2] if head else None) or "0" * 64
+                before.append(last)
+                last = hashlib.sha256(((row[1] or "") + last).encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], [*batch.schema.names, "prev_hash", "hash"])
+
+    schema = T.StructType([*entries.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
+    return entries.repartition(chain).sortWithinPartitions(chain, order).mapInArrow(run, schema)
 
 
 def verify_chain(entries: DataFrame, chain: str, order: str, body: str) -> DataFrame:
@@ -171,18 +186,89 @@ def verify_chain(entries: DataFrame, chain: str, order: str, body: str) -> DataF
     return out.where(~(F.col("linked") & F.col("sound")))
 
 
-def merkle_root(leaves: DataFrame, leaf: str) -> DataFrame:
-    """(root): leaves sorted, levels paired by position, an odd last one with itself.
+def merkle_levels(leaves: DataFrame, leaf: str) -> list[DataFrame]:
+    """(i, h) of every level, leaves first: leaves sorted, paired by position, an odd last one with itself.
 
     Positions come from a range sort once; each level halves the frame, so the
     work is that of one pass.
     """
-    ordered = leaves.select(F.col(leaf).alias("h")).orderBy("h")
-    level = cut(ordered.rdd.zipWithIndex().map(lambda x: (x[1], x[0]["h"])).toDF("i long, h string"))
-    while level.count() > 1:
-        pairs = level.groupBy(F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"))
-        level = cut(pairs.select("i", F.sha2(F.concat("a", "b"), 256).alias("h")))
-    return level.select(F.col("h").alias("root"))
+    from .windows import numbered
+
+    levels = [cut(numbered(leaves.select(F.col(leaf).alias("h")), "h", "i"))]
+    while levels[-1].count() > 1:
+        pairs = levels[-1].groupBy(F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"))
+        levels.append(cut(pairs.select("i", F.sha2(F.concat("a", "b"), 256).alias("h"))))
+    return levels
+
+
+def merkle_root(leaves: DataFrame, leaf: str) -> DataFrame:
+    """(root) of the sorted leaves."""
+    return merkle_levels(leaves, leaf)[-1].select(F.col("h").alias("root"))
+
+
+def merkle_proofs(leaves: DataFrame, leaf: str, wanted: DataFrame) -> DataFrame:
+    """(h, level, sibling, side): what proves each wanted leaf (h), from the leaves up; side tells where the sibling stands."""
+    levels = merkle_levels(leaves, leaf)
+    now = levels[0].join(wanted.select("h").distinct(), "h").groupBy("h").agg(F.min("i").alias("i"))
+    out = None
+    for depth, level in enumerate(levels[:-1]):
+        even = F.col("i") % 2 == 0
+        near = now.withColumn("other", F.when(even, F.col("i") + 1).otherwise(F.col("i") - 1))
+        # the last of an odd level stands beside itself
+        beside = level.select(F.col("i").alias("at"), F.col("h").alias("sibling"))
+        own = level.select(F.col("i").alias("own_at"), F.col("h").alias("own"))
+        got = near.join(beside, F.col("other") == F.col("at"), "left").join(own, F.col("i") == F.col("own_at"))
+        step = got.select("h", F.lit(depth).alias("level"), F.coalesce("sibling", "own").alias("sibling"), F.when(even, "right").otherwise("left").alias("side"))
+        out = step if out is None else out.unionByName(step)
+        now = cut(now.select("h", F.floor(F.col("i") / 2).alias("i")))
+    return out if out is not None else wanted.select("h", F.lit(0).alias("level"), F.lit("").alias("sibling"), F.lit("right").alias("side")).limit(0)
+
+
+def power(effect: float, n: int, alpha: float = 0.05) -> float:
+    """Of a two-sided test of two samples of n each, for an effect in standard deviations."""
+    from statistics import NormalDist
+
+    z = NormalDist()
+    return z.cdf(abs(effect) * math.sqrt(n / 2) - z.inv_cdf(1 - alpha / 2))
+
+
+def sequential_test(df: DataFrame, arm: str, value: str, order: str, a, b, looks: int, alpha: float = 0.05, least: int = 10) -> DataFrame:
+    """(look, n_a, n_b, z, stop): the arms compared after each of so many equal shares of the rows, in order.
+
+    The bound is split evenly over the looks (Bonferroni), so that stopping at
+    the first look beyond it keeps the error at alpha. Sums are taken per look
+    first and added up over the few looks.
+    """
+    from statistics import NormalDist
+
+    from .windows import numbered
+
+    rows = numbered(df.where(F.col(arm).isin(a, b)).select(arm, value, order), order, "place_")
+    rows = rows.join(F.broadcast(rows.agg(F.count("*").alias("total_"))), how="cross")  # one row
+    rows = rows.withColumn("look", F.floor(F.col("place_") * looks / F.col("total_")).cast("int") + 1)
+    sums = rows.groupBy("look").agg(*[f for k, x in (("a", a), ("b", b)) for f in (F.count_if(F.col(arm) == x).alias(f"n_{k}"), F.sum(F.when(F.col(arm) == x, F.col(value))).alias(f"s_{k}"), F.sum(F.when(F.col(arm) == x, F.col(value) * F.col(value))).alias(f"q_{k}"))])
+    w = Window.orderBy("look").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.select("look", *[F.sum(F.coalesce(c, F.lit(0))).over(w).alias(c) for c in ("n_a", "s_a", "q_a", "n_b", "s_b", "q_b")])
+    part = lambda k: (F.col(f"q_{k}") - F.col(f"s_{k}") * F.col(f"s_{k}") / F.col(f"n_{k}")) / (F.col(f"n_{k}") - 1) / F.col(f"n_{k}")
+    enough = (F.col("n_a") >= least) & (F.col("n_b") >= least)
+    spread = F.when(enough, F.sqrt(part("a") + part("b")))
+    z = F.when(spread > 0, (F.col("s_b") / F.col("n_b") - F.col("s_a") / F.col("n_a")) / spread)
+    bound = NormalDist().inv_cdf(1 - alpha / looks / 2)
+    return sums.select("look", "n_a", "n_b", z.alias("z"), F.coalesce(F.abs(z) > bound, F.lit(False)).alias("stop"))
+
+
+def temperature(df: DataFrame, logit: str, correct: str, low: float = 0.05, high: float = 20.0, steps: int = 40) -> float:
+    """The temperature of least log loss, among steps on a log scale; all are scored in one pass."""
+    tried = [low * (high / low) ** (i / (steps - 1)) for i in range(steps)]
+    x, y = F.col(logit).cast("double"), F.col(correct).cast("double")
+    # log(1 + exp(x)) without overflow
+    loss = lambda t: F.greatest(x / t, F.lit(0.0)) - y * x / t + F.log1p(F.exp(-F.abs(x / t)))
+    row = df.agg(*[F.avg(loss(t)).alias(f"l{i}") for i, t in enumerate(tried)]).first()
+    return min(zip(row, tried))[1] if row[0] is not None else 1.0
+
+
+def tempered(logit: Column, t: float) -> Column:
+    return 1 / (1 + F.exp(-logit / t))
 
 
 # Causal effects

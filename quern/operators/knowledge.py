@@ -147,30 +147,3 @@ def anchored(chunks: DataFrame, key: str, order: str, text: str, anchor: str) ->
     rows = chunks.withColumn("_cut", cut_here).withColumn("_g", group)
     got = rows.groupBy(key, "_g").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("x"))
     return got.select(key, (F.col("_g") - 1).cast("int").alias("chunk"), F.array_join(F.transform("x", lambda r: r[text]), " ").alias("text"))
-
-
-def partial_correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
-    """Correlation of each pair with all other columns held fixed; one pass, the small inverse on the driver."""
-    import numpy as np
-
-    n = len(columns)
-    row = df.agg(*[F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]).first()
-    m = np.eye(n)
-    for i in range(n):
-        for j in range(i + 1, n):
-            m[i, j] = m[j, i] = row[f"{i}_{j}"] or 0.0
-    p = np.linalg.pinv(m)
-    return {(columns[i], columns[j]): float(-p[i, j] / np.sqrt(p[i, i] * p[j, j])) for i in range(n) for j in range(i + 1, n)}
-
-
-def skeleton(df: DataFrame, columns: list[str], critical: float = 1.96) -> DataFrame:
-    """(a, b, partial): pairs whose partial correlation stays away from zero (Fisher z)."""
-    import math
-
-    n = df.count()
-    rows = []
-    for (a, b), r in partial_correlations(df, columns).items():
-        r = max(-0.999999, min(0.999999, r))
-        if abs(math.atanh(r)) * math.sqrt(max(n - len(columns) - 1, 1)) > critical:
-            rows.append((a, b, r))
-    return df.sparkSession.createDataFrame(rows, "a string, b string, partial double")

@@ -123,18 +123,29 @@ def interval_events(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
 def suppress_repeats(df: DataFrame, key: str, seconds: Column, id_column: str, window: float) -> DataFrame:
     """Drops an alert less than a window after the last one sent with its key.
 
-    Whether one is sent depends on the one sent before, so each key's rows are
-    folded in order; only (seconds, id) of a key are gathered.
+    Whether one is sent depends on the one sent before, so each key's rows,
+    sorted within a partition, are judged while they stream by; one time is held.
     """
-    got = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(seconds.alias("s"), F.col(id_column).alias("i")))).alias("rows"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(f"array<{dict(df.dtypes)[id_column]}>").alias("sent"))
+    rows = df.withColumn("seconds_", seconds.cast("double"))
+    at = df.columns.index(key)
 
-    def step(state: Column, row: Column) -> Column:
-        send = state["last"].isNull() | (row["s"] - state["last"] >= window)
-        return F.when(send, F.struct(row["s"].alias("last"), F.concat(state["sent"], F.array(row["i"])).alias("sent"))).otherwise(state)
+    def run(batches):
+        import pyarrow as pa
 
-    sent = got.select(F.explode(F.aggregate("rows", start, step)["sent"]).alias(id_column))
-    return df.join(sent, id_column, "left_semi")
+        now, last = object(), None
+        for batch in batches:
+            keep = []
+            for k, s in zip(batch.column(at).to_pylist(), batch.column(len(df_columns)).to_pylist()):
+                if k != now:
+                    now, last = k, None
+                send = s is not None and (last is None or s - last >= window)
+                last = s if send else last
+                keep.append(send)
+            yield batch.select(range(len(df_columns))).filter(pa.array(keep, pa.bool_()))
+
+    df_columns = df.columns
+    # rows without a time are not sent
+    return rows.repartition(key).sortWithinPartitions(key, "seconds_", id_column).mapInArrow(run, df.schema)
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
@@ -151,3 +162,14 @@ def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame
     before = totals.withColumn("before_", F.coalesce(F.sum("total_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range_", "before_")
     own = F.sum(value).over(Window.partitionBy("range_").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return dealt.withColumn("own_", own).join(F.broadcast(before), "range_").withColumn(name, F.col("own_") + F.col("before_")).drop("range_", "own_", "before_")
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds each row's position from 0, in ascending order: numbers within ranges of the order plus the rows of the ranges before."""
+    from ..shared import cut
+
+    dealt = cut(df.repartitionByRange(order).withColumn("range_", F.spark_partition_id()))
+    counts = dealt.groupBy("range_").agg(F.count("*").alias("total_"))
+    before = counts.withColumn("before_", F.coalesce(F.sum("total_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range_", "before_")
+    own = F.row_number().over(Window.partitionBy("range_").orderBy(order)) - 1
+    return dealt.withColumn("own_", own).join(F.broadcast(before), "range_").withColumn(name, (F.col("own_") + F.col("before_")).cast("long")).drop("range_", "own_", "before_")

@@ -98,9 +98,9 @@ def fil_tags(t):
     return P.with_all_tags(t.orders.withColumn("tags", F.array("o_orderstatus", "o_orderpriority")), "tags", ["O", "5-LOW"]).select("o_orderkey")
 
 
-@query("fil_entities", "SELECT p_partkey FROM part WHERE length(trim(p_name)) >= 2 AND p_retailprice >= 1200 AND p_brand IN ('Brand#4','Brand#5')")
+@query("fil_entities", "SELECT p_partkey FROM part WHERE length(trim(p_name)) >= 2 AND p_retailprice >= 905 AND p_brand IN ('Brand#4','Brand#5')")
 def fil_entities(t):
-    return t.part.where(P.entity_ok(F.col("p_name"), F.col("p_retailprice"), F.col("p_brand"), 1200, ["Brand#4", "Brand#5"])).select("p_partkey")
+    return t.part.where(P.entity_ok(F.col("p_name"), F.col("p_retailprice"), F.col("p_brand"), 905, ["Brand#4", "Brand#5"])).select("p_partkey")
 
 
 @query(
@@ -141,9 +141,9 @@ def fil_policy(t):
     return P.visible_rows(t.orders, "o_custkey", 7, roles, ["admin", "analyst"]).select("o_orderkey")
 
 
-@query("fil_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("fil_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def fil_orphans(t):
-    edges = t.orders.select(F.col("o_custkey").alias("src"), F.lit(-1).cast("bigint").alias("dst"))
+    edges = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("src"), F.lit(-1).cast("bigint").alias("dst"))
     return P.orphans(t.customer, edges, "c_custkey").select("c_custkey")
 
 

@@ -96,9 +96,11 @@ def gov_chain(t):
     return V.chained(t.events.select("user_id", "event_id", "props"), "user_id", "event_id", "props").select("event_id", "prev_hash", "hash")
 
 
-@query("gov_verify_chain", "SELECT event_id FROM events WHERE false")
+@query("gov_verify_chain", "SELECT event_id FROM events WHERE event_id % 97 = 0")
 def gov_verify(t):
+    """Entries changed after they were chained are found."""
     chain = V.chained(t.events.select("user_id", "event_id", "props"), "user_id", "event_id", "props")
+    chain = chain.withColumn("props", F.when(F.col("event_id") % 97 == 0, F.concat("props", F.lit("!"))).otherwise(F.col("props")))
     return V.verify_chain(chain, "user_id", "event_id", "props").select("event_id")
 
 

@@ -73,9 +73,10 @@ def gra_subgraph(t):
     return G.neighborhood(sparse(t), start(t, 5, 17), 1)[0].select("node").distinct()
 
 
-@query("gra_shortest_path", f"WITH RECURSIVE {SPARSE}, {bfs('e', 5, 8)} SELECT min(hops) AS hops FROM b WHERE node = 60 HAVING min(hops) IS NOT NULL")
+@query("gra_shortest_path", f"""WITH RECURSIVE {SPARSE}, p AS (SELECT 5::BIGINT AS node, [5::BIGINT] AS nodes UNION ALL SELECT e.dst, list_append(nodes, e.dst) FROM p JOIN e ON e.src = p.node WHERE len(nodes) < 10 AND p.node <> 43 AND NOT list_contains(nodes, e.dst)),
+    f AS (SELECT nodes FROM p WHERE node = 43) SELECT array_to_string(min(nodes), '>') AS path, (min(len(nodes)) - 1)::INT AS hops FROM f WHERE len(nodes) = (SELECT min(len(nodes)) FROM f)""")
 def gra_shortest(t):
-    return G.shortest_path(sparse(t), 5, 60, 8).select("hops")
+    return G.shortest_path(sparse(t), 5, 43, 9).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("path"), "hops")
 
 
 @query("gra_proximity", f"WITH RECURSIVE {SPARSE}, {UND}, {bfs('u', 5, 3)} SELECT node, round(0.85 * pow(0.85, min(hops)), 6) AS score FROM b GROUP BY 1")
@@ -93,16 +94,16 @@ def pagerank_sql(rounds: int, seed: int | None) -> str:
     return ", ".join(steps) + f" SELECT n AS node, round(r, 6) AS rank FROM r{rounds}"
 
 
-@query("gra_pagerank", pagerank_sql(8, None))
+@query("gra_pagerank", pagerank_sql(20, None))
 def gra_pagerank(t):
     e = sparse(t)
-    return G.pagerank(e, G.degrees(e).select("node"), rounds=8).withColumn("rank", R(F.col("rank")))
+    return G.pagerank(e, G.degrees(e).select("node"), rounds=20).withColumn("rank", R(F.col("rank")))
 
 
-@query("gra_personalized_pagerank", pagerank_sql(8, 5))
+@query("gra_personalized_pagerank", pagerank_sql(20, 5))
 def gra_ppr(t):
     e = sparse(t)
-    return G.pagerank(e, G.degrees(e).select("node"), rounds=8, seeds=start(t, 5)).withColumn("rank", R(F.col("rank")))
+    return G.pagerank(e, G.degrees(e).select("node"), rounds=20, seeds=start(t, 5)).withColumn("rank", R(F.col("rank")))
 
 
 @query("gra_degrees", f"WITH {SPARSE} SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in, (sum(o) + sum(i))::BIGINT AS degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY 1")
@@ -170,8 +171,10 @@ def gra_quality(t):
 
 @query("gra_centrality")
 def gra_centrality(t):
-    e = t.nation.selectExpr("CAST(n_nationkey AS BIGINT) AS src", "CAST(100 + n_regionkey AS BIGINT) AS dst").union(t.region.selectExpr("CAST(100 + r_regionkey AS BIGINT)", "CAST(100 + (r_regionkey + 1) % 5 AS BIGINT)"))
-    out = G.brandes(e, G.degrees(e).select("node"))
+    """Shortest paths from every fiftieth part over the whole graph of parts."""
+    e = sparse(t)
+    nodes = G.degrees(e).select("node")
+    out = G.brandes(e, nodes, nodes.where("node % 50 = 0"))
     return out.withColumns({"betweenness": R(F.col("betweenness")), "closeness": R(F.col("closeness"))})
 
 

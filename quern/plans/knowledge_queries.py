@@ -97,11 +97,6 @@ def kno_anchored(t):
     return K.anchored(c, "doc_id", "chunk", "text", "[Aa]rticle")
 
 
-@query("kno_skeleton")
-def kno_skeleton(t):
-    return K.skeleton(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).withColumn("partial", R(F.col("partial")))
-
-
 @query("kno_resolved_results")
 def kno_resolved(t):
     results = t.part.select(F.lit(1).alias("query"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))

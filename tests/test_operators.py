@@ -322,3 +322,88 @@ def test_wilcoxon_by_hand(spark):
     rank = lambda x: sum(abs(y) < abs(x) for y in d) + (sum(abs(y) == abs(x) for y in d) + 1) / 2
     got = S.wilcoxon(spark.createDataFrame(rows, "a double, b double"), "a", "b").first()
     assert (got["n"], got["w_plus"], got["w_minus"]) == (len(d), sum(rank(x) for x in d if x > 0), sum(rank(x) for x in d if x < 0))
+
+
+def test_causal_models(spark):
+    import numpy as np
+
+    from quern.operators import causal as C
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=400)
+    y = 2 * x + 1 + rng.normal(size=400)
+    z = y - 0.5 * x + rng.normal(size=400)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(x, y, z)], "x double, y double, z double")
+    model = C.fit(df, {"y": ["x"], "z": ["y", "x"]})
+    want = np.linalg.lstsq(np.c_[y, x, np.ones(400)], z, rcond=None)[0]
+    assert np.allclose([model["z"][0]["y"], model["z"][0]["x"], model["z"][1]], want)
+    r = C.counterfactual(df, model, {"x": 3.0}).first()
+    b = model["y"][0]["x"]
+    assert abs(r["cf_y"] - (r["y"] + b * (3 - r["x"]))) < 1e-9
+    assert abs(r["cf_z"] - (r["z"] + model["z"][0]["y"] * b * (3 - r["x"]) + model["z"][0]["x"] * (3 - r["x"]))) < 1e-9
+    # doing what was is what was
+    same = C.counterfactual(df.limit(1), model, {"x": df.first()["x"]}).first()
+    assert abs(same["cf_z"] - same["z"]) < 1e-9
+
+
+def test_causal_skeleton(spark):
+    """A chain keeps no edge between its ends; a collider is found."""
+    import numpy as np
+
+    from quern.operators import causal as C
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=3000), rng.normal(size=3000)
+    c = a + b + rng.normal(size=3000)
+    d = c + rng.normal(size=3000)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, d)], "a double, b double, c double, d double")
+    found = C.skeleton(df, ["a", "b", "c", "d"], critical=3.0)
+    assert {e for e, g in found.items() if g is None} == {("a", "c"), ("b", "c"), ("c", "d")}
+    assert found[("a", "d")] == ("c",)
+    assert sorted(C.oriented(["a", "b", "c", "d"], found)) == [("a", "c", "->"), ("b", "c", "->"), ("c", "d", "->")]
+
+
+def test_power_and_temperature(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quern.operators import governance as V
+
+    assert abs(V.power(0.5, 64) - 0.8) < 0.01 and V.power(0.5, 200) > V.power(0.5, 100)
+    rnd = random.Random(4)
+    rows = [(x, int(rnd.random() < 1 / (1 + math.exp(-x / 3)))) for x in (rnd.uniform(-12, 12) for _ in range(4000))]
+    t = V.temperature(spark.createDataFrame(rows, "x double, y int"), "x", "y")
+    assert 2 < t < 4.5
+    assert abs(spark.range(1).select(V.tempered(F.lit(3.0), 3.0)).first()[0] - 1 / (1 + math.exp(-1))) < 1e-12
+
+
+def test_merkle_proofs_lead_to_the_root(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from quern.operators import governance as V
+
+    leaves = spark.range(13).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    root = V.merkle_root(leaves, "h").first()[0]
+    proofs = {}
+    for r in V.merkle_proofs(leaves, "h", leaves).collect():
+        proofs.setdefault(r["h"], []).append((r["level"], r["sibling"], r["side"]))
+    assert len(proofs) == 13
+    for leaf, steps in proofs.items():
+        now = leaf
+        for _, sibling, side in sorted(steps):
+            now = hashlib.sha256((now + sibling if side == "right" else sibling + now).encode()).hexdigest()
+        assert now == root
+
+
+def test_full_text_needs_every_term(spark):
+    from quern.functions import text as T
+    from quern.operators import retrieval as S
+
+    docs = spark.createDataFrame([(1, "red green blue"), (2, "red green"), (3, "blue red red"), (4, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "red blue"), (2, "green"), (3, "absent red")], "query long, text string")
+    got = S.full_text(docs, queries, T.tokens)
+    assert sorted((r["query"], r["id"]) for r in got.collect()) == [(1, 1), (1, 3), (2, 1), (2, 2)]
