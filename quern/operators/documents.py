@@ -52,17 +52,28 @@ def hash_dedup(docs: DataFrame, text: str, key: str) -> DataFrame:
 def greedy_dedup(docs: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
     """(key): rows kept when each is compared, in key order, with the rows kept before.
 
-    Links (Jaccard above the threshold) are found by shared tokens once; then a
-    row is settled as soon as all earlier rows it links with are: kept if none
-    of those is kept. The rounds give the sequential result exactly.
+    Of rows with equal token sets only the first can be kept, so the others go
+    at once. Links (Jaccard above the threshold) between the rest are found by
+    their rarest tokens: sets that link share one among the first
+    n - threshold * n + 1 of each in the order of frequency. Candidates are
+    decided by their whole sets. A row is settled as soon as all earlier rows
+    it links with are: kept if none of those is kept. The rounds give the
+    sequential result exactly. Rows without tokens link with nothing.
     """
-    from .graph import cut
+    from ..shared import cut
 
-    t = cut(docs.select(F.col(key).alias("k"), F.array_distinct(tokens).alias("w")))
+    whole = cut(docs.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("w")))
+    first = whole.where(F.size("w") > 0).groupBy(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")).agg(F.min("k").alias("k"))
+    t = cut(whole.join(first.select("k"), "k", "left_semi").unionByName(whole.where(F.size("w") == 0)))
     flat = t.select("k", F.size("w").alias("n"), F.explode("w").alias("x"))
-    common = flat.toDF("a", "na", "x").join(flat.toDF("b", "nb", "x"), "x").where("a < b AND least(na, nb) > {} * greatest(na, nb)".format(threshold))
-    links = common.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")) > threshold)
-    links = cut(links.select("a", "b"))
+    often = cut(flat.groupBy("x").agg(F.count("*").alias("often")).where("often > 1"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("often", "x"))
+    # a token of one set only leads to nobody, but has its place in the prefix
+    alone = flat.join(often, "x", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("place", place)
+    prefix = cut(alone.where((F.col("often") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).select("k", "n", "x"))
+    near = prefix.toDF("a", "na", "x").join(prefix.toDF("b", "nb", "x"), "x").where("a < b AND least(na, nb) > {} * greatest(na, nb)".format(threshold)).select("a", "b").distinct()
+    both = near.join(t.toDF("a", "wa"), "a").join(t.toDF("b", "wb"), "b").withColumn("c", F.size(F.array_intersect("wa", "wb")))
+    links = cut(both.where(F.col("c") / (F.size("wa") + F.size("wb") - F.col("c")) > threshold).select("a", "b"))
     state = t.select("k").withColumn("kept", F.lit(None).cast("boolean"))
     while True:
         earlier = links.join(state.withColumnRenamed("k", "a"), "a").groupBy("b").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.max(F.col("kept").isNull()).alias("open"))

@@ -53,7 +53,7 @@ def doc_qa(t):
 
 @query("doc_greedy_dedup")
 def doc_greedy(t):
-    return D.greedy_dedup(t.benchmark, "item_id", T.tokens(F.col("text")), 0.85)
+    return D.greedy_dedup(t.documents, "doc_id", T.tokens(F.coalesce("text", F.lit(""))), 0.85)
 
 
 FIX = """WITH d AS (SELECT doc_id, text, length(text) AS n, greatest(CAST(ceil((length(text) - 512) / 462) AS INT), 0) AS last FROM documents WHERE length(text) > 0)
@@ -92,7 +92,7 @@ def doc_headings(t):
 
 @query("doc_chunk_by_similarity")
 def doc_similarity(t):
-    return D.chunk_by_similarity(t.benchmark, "item_id", "text", 0.05, 300)
+    return D.chunk_by_similarity(t.documents.where("text IS NOT NULL"), "doc_id", "text", 0.05, 300)
 
 
 @query("doc_chunk_score")
