@@ -17,7 +17,9 @@ partition, or are larger than a batch, move once more, to be digested in order.
 
 Defined results: null roles and texts count as empty; null conversation ids
 form one conversation; rows equal in turn are ordered by role, then text;
-repeated rows stay; an empty table gives no rows; other columns are ignored.
+repeated rows stay; an empty table gives no rows; other columns are ignored,
+whatever their names; a conversation numbered -7 takes in the query's own two
+rows; a turn of any length is one piece, which must fit into a task.
 """
 
 from __future__ import annotations
@@ -104,7 +106,9 @@ def _pieces(batches):
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         conv, role, text = batch.column(0), batch.column(1), batch.column(2)
-        size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        # what a turn becomes: its role and text, twice as long at most for escapes, and the markers
+        parts = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (role, text)]
+        size = np.cumsum(2 * (parts[0] + parts[1]) + 16)
         start = 0
         while start < len(conv):
             done = size[start - 1] if start else 0

@@ -12,7 +12,9 @@ sample of labelled rows, spread by a hash of the id.
 
 Defined results: null and empty texts have structure features only and get
 the score those give; without labels, or with one class only, the score is the
-share of label 1 (0.5 without labels); repeated rows get equal scores.
+share of label 1 (0.5 without labels); repeated rows get equal scores; further
+columns are ignored, whatever their names; an empty table gives no rows; texts
+of any length are scored whole and must fit into a task.
 """
 
 from __future__ import annotations

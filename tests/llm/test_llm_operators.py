@@ -460,6 +460,16 @@ def test_long_conversation_in_pieces(spark, monkeypatch):
     assert chat_format.digest(chat_format.format_chats(df.limit(0))).count() == 0
 
 
+def test_chats_with_other_columns(spark):
+    """Clashing columns, long roles, and a conversation that has the number of the query's own."""
+    rows = [(-7, 0, "user" * 500, "### hi", *["c"] * 5), (1, 0, "assistant", None, *["c"] * 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, _k string, formatted string, n_turns string, piece string, `a.b` string")
+    got = {r["conv_id"]: r for r in chat_format.digest(chat_format.format_chats(df)).collect()}
+    for conv, _, role, text, *_ in rows:
+        assert got[conv]["n_turns"] == 1
+        assert got[conv]["turns_sha256"] == hashlib.sha256(f"{role}\n{text or ''}\n".encode()).hexdigest()
+
+
 # 8
 
 
