@@ -104,7 +104,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
         texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
         again = texts.join(spots, F.col("doc_id").eqNullSafe(F.col("spot_d")) & (F.col("text_key") == F.col("spot_t")))
         found = again.select("doc_id", "text_key", raw_words(F.col("text")).alias("w"), F.explode("spots").alias("s")).select("doc_id", "text_key", "w", "s.place", "s.hash")
-    found = found.select("doc_id", "text_key", "place.at", "place.len", "hash", _window_text(F.col("w"), F.col("place.at"), F.col("place.len")).alias("text"))
+    # never null, so that no test for null is pushed down, which would make the text of every window
+    text = F.coalesce(_window_text(F.col("w"), F.col("place.at"), F.col("place.len")), F.lit(""))
+    found = found.select("doc_id", "text_key", "place.at", "place.len", "hash", text.alias("text"))
     known = windows.select(F.col("hash").alias("known"), "window", "items")
     return found.join(known, (F.col("hash") == F.col("known")) & (F.col("text") == F.col("window"))).select("doc_id", "text_key", "at", "len", "items")
 
