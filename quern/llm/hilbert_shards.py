@@ -154,7 +154,7 @@ def with_curve(df: DataFrame, dims: list[str], name: str, bits: int = BITS) -> D
 
 
 def assign(df: DataFrame, dims: list[str], ties: list[str], shards: int = SHARDS, law: str = "rows", size: str | None = None, bits: int = BITS) -> DataFrame:
-    """df with curve, shard and slot.
+    """df with curve, shard and slot (or these names with _ behind, where df has them).
 
     law "rows": shards hold counts at most one apart. law "bytes": shards are
     cut where the sum of the column size passes their equal shares, so they
@@ -163,7 +163,8 @@ def assign(df: DataFrame, dims: list[str], ties: list[str], shards: int = SHARDS
     """
     if law not in ("rows", "bytes") or (law == "bytes" and not size):
         raise ValueError("law is 'rows', or 'bytes' with a column of sizes")
-    curve, pos, spread, part, n, here, ahead, all_n, held, ahead_b, all_b, rank, to, first = fresh(df.columns, "curve", "pos", "spread", "part", "n", "here", "ahead", "all_n", "held", "ahead_bytes", "all_bytes", "rank", "shard", "first")
+    names = ("curve", "pos", "spread", "part", "n", "ahead", "all_n", "held", "ahead_bytes", "all_bytes", "rank", "shard", "slot", "first")
+    curve, pos, spread, part, n, ahead, all_n, held, ahead_b, all_b, rank, to, slot, first = fresh(df.columns, *names)
     steps = Steps(df.sparkSession)
     keys = [curve, *ties, spread]
     # rows equal in everything are interchangeable: where they stood in the input lets ranges cut between them
@@ -195,7 +196,7 @@ def assign(df: DataFrame, dims: list[str], ties: list[str], shards: int = SHARDS
         numbered = steps.stored(numbered.withColumn(to, shard), "cut")
         begins = numbered.groupBy(to).agg(F.min(rank).alias(first))  # a row for each shard
         out = numbered.join(F.broadcast(begins), to)
-    return out.select(*[named(c) for c in df.columns], named(curve).alias("curve"), named(to).alias("shard"), (named(rank) - named(first)).cast("long").alias("slot"))
+    return out.select(*[named(c) for c in df.columns], curve, to, (named(rank) - named(first)).cast("long").alias(slot))
 
 
 def bounds(assigned: DataFrame, dims: list[str], shard: str = "shard") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     chat_format,
+    chat_repair,
     decontaminate,
     hilbert_shards,
     langid,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_fm": quality_fm.query,
+    "op11_chat_repair": chat_repair.query,
     "op12_source_audit": source_audit.query,
     "op13_hilbert_shards": hilbert_shards.query,
 }
