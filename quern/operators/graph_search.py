@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import cut
+from ..shared import stored
 from .graph import undirected
 from .windows import numbered
 
@@ -42,9 +42,9 @@ def modularity_of(contracted_links: DataFrame) -> float:
 
 
 def moved(links: DataFrame, rounds: int) -> tuple[DataFrame, float]:
-    """((node, community), modularity): the best of some rounds in which half of the nodes (by a hash of node
-    and round) go to the neighbouring community of the largest gain, ties to the least."""
-    degree = cut(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
+    """((node, community), modularity): rounds in which half of the nodes (by a hash of node and round) go to the
+    neighbouring community of the largest gain, ties to the least; the better of the last two, or none if both lose."""
+    degree = stored(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
     total = degree.agg(F.sum("k").alias("m2")).first()["m2"] or 1
     now = degree.select("node", F.col("node").alias("community"))
     best, least = now, modularity_of(links)
@@ -61,7 +61,9 @@ def moved(links: DataFrame, rounds: int) -> tuple[DataFrame, float]:
         gain = F.col("w").cast("decimal(38,0)") * F.lit(total) - F.col("k").cast("decimal(38,0)") * rest
         chosen = scored.withColumn("gain", gain).groupBy("src", "community").agg(F.max_by("c", F.struct("gain", (-F.col("c")).alias("c"))).alias("c"))
         moves = F.pmod(F.xxhash64("src", F.lit(i)), F.lit(2)) == 0
-        now = cut(chosen.select(F.col("src").alias("node"), F.when(moves, F.col("c")).otherwise(F.col("community")).alias("community")))
+        now = stored(chosen.select(F.col("src").alias("node"), F.when(moves, F.col("c")).otherwise(F.col("community")).alias("community")))
+        if i < rounds - 2:  # early rounds are not the best
+            continue
         q = modularity_of(contracted(links, now))
         if q > least:
             best, least = now, q
@@ -75,16 +77,16 @@ def communities(edges: DataFrame, levels: int = 10, rounds: int = 4, weight: str
     of the level before, so levels beyond the first are small. Node ids are
     whole numbers; a community is named by one of its nodes.
     """
-    links = cut(weighted_links(edges, weight))
+    links = stored(weighted_links(edges, weight))
     found, gained = moved(links, rounds)
     reached = [gained]
     for _ in range(levels - 1):
-        links = cut(contracted(links, found if len(reached) == 1 else higher))
+        links = stored(contracted(links, found if len(reached) == 1 else higher))
         higher, q = moved(links, rounds)
         if q <= reached[-1]:
             break
         reached.append(q)
-        found = cut(found.join(higher.toDF("community", "outer"), "community").select("node", F.col("outer").alias("community")))
+        found = stored(found.join(higher.toDF("community", "outer"), "community").select("node", F.col("outer").alias("community")))
     return found, reached
 
 
@@ -120,9 +122,9 @@ def sampled_betweenness(edges: DataFrame, error: float = 0.1, failure: float = 0
     a search from one end would. Rows are keyed by (sample, node); their number
     does not grow with the number of nodes as sources would make it.
     """
-    e = cut(undirected(edges).where("src <> dst").distinct())
+    e = stored(undirected(edges).where("src <> dst").distinct())
     nodes = numbered(undirected(edges).select(F.col("src").alias("node")).distinct(), "node", "number_")
-    nodes = cut(nodes.select("node", F.col("number_").alias("number")))
+    nodes = stored(nodes.select("node", F.col("number_").alias("number")))
     n = nodes.count()
     r = samples_for(error, failure, n, vertex_diameter)
     if n < 2:
@@ -133,7 +135,7 @@ def sampled_betweenness(edges: DataFrame, error: float = 0.1, failure: float = 0
     sides = []
     for end in ("a", "b"):
         at = nodes.join(F.broadcast(picks.select("sample", F.col(end).alias("number"))), "number")
-        sides.append([cut(at.select("sample", "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))])
+        sides.append([stored(at.select("sample", "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))])
     met = None
     fronts = [s[0] for s in sides]
     turn = 0
@@ -143,22 +145,22 @@ def sampled_betweenness(edges: DataFrame, error: float = 0.1, failure: float = 0
         for level in mine[1:]:
             seen = seen.unionByName(level)
         step = fronts[turn].join(e, F.col("node") == F.col("src")).groupBy("sample", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        level = cut(step.join(seen.select("sample", "node"), ["sample", "node"], "left_anti").select("sample", "node", F.lit(len(mine)).alias("d"), "paths"))
+        level = stored(step.join(seen.select("sample", "node"), ["sample", "node"], "left_anti").select("sample", "node", F.lit(len(mine)).alias("d"), "paths"))
         if level.isEmpty():
             break
         mine.append(level)
         other = fronts[1 - turn].select("sample", "node", F.col("d").alias("e"), F.col("paths").alias("other"))
-        meeting = cut(level.join(other, ["sample", "node"]).select("sample", "node", F.col("d" if turn == 0 else "e").alias("a"), F.col("e" if turn == 0 else "d").alias("b"), (F.col("paths") * F.col("other")).alias("w")))
+        meeting = stored(level.join(other, ["sample", "node"]).select("sample", "node", F.col("d" if turn == 0 else "e").alias("a"), F.col("e" if turn == 0 else "d").alias("b"), (F.col("paths") * F.col("other")).alias("w")))
         met = meeting if met is None else met.unionByName(meeting)
         done = meeting.select("sample").distinct()
         # a pair ends where its ends meet, or where either end has nowhere to go
         alive = level.select("sample").distinct()
         fronts[turn] = level.join(done, "sample", "left_anti")
-        fronts[1 - turn] = cut(fronts[1 - turn].join(done, "sample", "left_anti").join(alive, "sample", "left_semi"))
+        fronts[1 - turn] = stored(fronts[1 - turn].join(done, "sample", "left_anti").join(alive, "sample", "left_semi"))
         turn = 1 - turn
     if met is None:
         return nodes.select("node", F.lit(0.0).alias("betweenness")), r
-    middle = cut(_drawn(met, ["sample"], F.col("w"), "middle", "a", "b"))
+    middle = stored(_drawn(met, ["sample"], F.col("w"), "middle", "a", "b"))
     inner = [middle.where("a > 0 AND b > 0").select("sample", "node")]
     for side, column in zip(sides, ("a", "b")):
         known = side[0]
@@ -167,7 +169,7 @@ def sampled_betweenness(edges: DataFrame, error: float = 0.1, failure: float = 0
         now = middle.select("sample", "node", F.col(column).alias("d"))
         while True:
             steps = now.where("d > 1").join(e, F.col("node") == F.col("src")).select("sample", F.col("dst").alias("node"), (F.col("d") - 1).alias("d"))
-            now = cut(_drawn(steps.join(known, ["sample", "node", "d"]), ["sample"], F.col("paths"), column, "d"))
+            now = stored(_drawn(steps.join(known, ["sample", "node", "d"]), ["sample"], F.col("paths"), column, "d"))
             if now.isEmpty():
                 break
             inner.append(now.select("sample", "node"))
@@ -193,7 +195,7 @@ def best_first(edges: DataFrame, goals: DataFrame, start, depth: int, limit: int
     """
     weight = factor if factor is not None else F.coalesce("confidence", F.lit(0.5))
     one = edges.select(F.col("id").alias("e_id"), F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), weight.cast("double").alias("e_w"))
-    e = cut(one.unionByName(one.select("e_id", F.col("e_dst").alias("e_src"), F.col("e_src").alias("e_dst"), "e_w")).dropDuplicates(["e_id", "e_src"]))
+    e = stored(one.unionByName(one.select("e_id", F.col("e_dst").alias("e_src"), F.col("e_src").alias("e_dst"), "e_w")).dropDuplicates(["e_id", "e_src"]))
     if e.where("e_w > 1").count():
         raise ValueError("scores of edges are at most 1")
     goal = goals.where("value IS NOT NULL").select("node", "value")
@@ -202,21 +204,21 @@ def best_first(edges: DataFrame, goals: DataFrame, start, depth: int, limit: int
     open_ = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("hops"), F.array(F.lit(start)).alias("nodes"), F.array().cast("array<bigint>").alias("edge_ids"), F.lit(1.0).alias("score"), F.lit("").alias("path"))
     best = None
     while True:
-        taken = cut(open_.orderBy(*order).limit(width))
+        taken = stored(open_.orderBy(*order).limit(width))
         last = taken.agg(F.count("*").alias("n"), F.min(F.struct((F.col("score")).alias("s"), "path")).alias("x"), F.min("score").alias("least")).first()
         if not last["n"]:
             break
         step = taken.where(F.col("hops") < depth).join(e, F.col("node") == F.col("e_src")).where(~F.array_contains("edge_ids", F.col("e_id")))
         step = step.select(F.col("e_dst").alias("node"), (F.col("hops") + 1).alias("hops"), F.concat("nodes", F.array("e_dst")).alias("nodes"), F.concat("edge_ids", F.array(F.col("e_id").cast("bigint"))).alias("edge_ids"), (F.col("score") * F.col("e_w")).alias("score"))
-        new = cut(step.withColumn("path", path_text))
+        new = stored(step.withColumn("path", path_text))
         found = new.join(goal, "node")
-        best = cut((found if best is None else best.unionByName(found)).orderBy(*order).limit(limit))
+        best = stored((found if best is None else best.unionByName(found)).orderBy(*order).limit(limit))
         bar = best.agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
         # what was not taken comes after the last taken one in the order
         cutoff = taken.where(F.col("score") == last["least"]).agg(F.max("path").alias("path")).first()["path"]
         rest = open_.where((F.col("score") < last["least"]) | ((F.col("score") == last["least"]) & (F.col("path") > cutoff)))
         left = rest.unionByName(new.where(F.col("hops") < depth))
-        open_ = cut(left.where(F.col("score") >= bar["least"]) if bar["n"] >= limit else left)
+        open_ = stored(left.where(F.col("score") >= bar["least"]) if bar["n"] >= limit else left)
     if best is None:
         best = open_.join(goal, "node")
     return best.select("node", "value", "hops", "nodes", "edge_ids", "score")

@@ -19,7 +19,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import stored
 from .logic import Atom, Rule, is_variable, match
 
 #: Deltas of so few rows are broadcast: a row of ten arguments of 50 bytes takes half a kilobyte, so 50 MB at most.
@@ -34,7 +34,7 @@ class Counted:
     """A written frame with its number of rows."""
 
     def __init__(self, df: DataFrame):
-        self.df = cut(df)
+        self.df = stored(df)
         self.rows = self.df.count()
 
     @property
@@ -257,7 +257,7 @@ def derivations(facts: dict[str, DataFrame], rules: list[Rule], rounds: int = 10
     def typed(p: str, rows: DataFrame) -> DataFrame:
         return rows.toDF(*columns_of(arity[p])).distinct().select("*", F.lit(0).cast("long").alias("cost"), F.lit(0).alias("rule"), given.alias("premises"))
 
-    best = {p: cut(typed(p, f)) for p, f in facts.items()}
+    best = {p: stored(typed(p, f)) for p, f in facts.items()}
     for p, n in arity.items():
         if p not in best:
             best[p] = spark.createDataFrame([], ", ".join([*(f"a{i} string" for i in range(n)), fields]))
@@ -289,10 +289,10 @@ def derivations(facts: dict[str, DataFrame], rules: list[Rule], rounds: int = 10
             keys = columns_of(arity[p])
             least = rows.groupBy(*keys).agg(F.min(F.struct("cost", "rule", "premises")).alias("x")).select(*keys, "x.*")
             old = best[p].select(*keys, F.struct("cost", "rule", "premises").alias("known"))
-            better = cut(least.join(old, keys, "left").where(F.col("known").isNull() | (F.struct("cost", "rule", "premises") < F.col("known"))).drop("known"))
+            better = stored(least.join(old, keys, "left").where(F.col("known").isNull() | (F.struct("cost", "rule", "premises") < F.col("known"))).drop("known"))
             if not better.isEmpty():
                 new[p] = better
-                best[p] = cut(without_keys(best[p], better, keys).unionByName(better))
+                best[p] = stored(without_keys(best[p], better, keys).unionByName(better))
         if not new:
             break
     else:
@@ -322,7 +322,7 @@ def proof_steps(proofs: DataFrame, goals: DataFrame, depth: int = 1000) -> DataF
     front = goals.select(fact_text(F.col("predicate"), F.col("args")).alias("goal"), "predicate", "args").distinct()
     seen = None
     for level in range(depth):
-        here = cut(front.join(p, (F.col("predicate") == F.col("p")) & (F.col("args") == F.col("a"))).select("goal", "predicate", "args", "rule", "premises", F.lit(level).alias("depth")))
+        here = stored(front.join(p, (F.col("predicate") == F.col("p")) & (F.col("args") == F.col("a"))).select("goal", "predicate", "args", "rule", "premises", F.lit(level).alias("depth")))
         if here.isEmpty():
             break
         seen = here if seen is None else seen.unionByName(here)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import stored
 from .retrieval import MAX_BROADCAST_QUERIES, dot, top, unit
 
 LEVELS = 127
@@ -48,7 +48,7 @@ def search_quantised(codes: DataFrame, vectors: DataFrame, queries: DataFrame, k
 
     n = queries.count()
     blocks = max(1, -(-n // MAX_BROADCAST_QUERIES))
-    asked = cut(queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("query"), unit(F.col(vector)).alias("q")))
+    asked = stored(queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("query"), unit(F.col(vector)).alias("q")))
     spark, kept = queries.sparkSession, None
     for i in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).collect()  # a block of queries
@@ -82,9 +82,9 @@ def search_quantised(codes: DataFrame, vectors: DataFrame, queries: DataFrame, k
     if kept is None:
         none = spark.createDataFrame([], "query long, id long, score double, rank int")
         return none, spark.createDataFrame([], "query long, compared long")
-    kept = cut(kept)
+    kept = stored(kept)
     bar = top(kept.select("query", "id", F.col("low").alias("score")), k).groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("bar"))
-    left = cut(kept.join(bar, "query").where(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("query", "id"))
+    left = stored(kept.join(bar, "query").where(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("query", "id"))
     small = F.broadcast if n <= MAX_BROADCAST_QUERIES else (lambda df: df)
     whole = vectors.select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("v"))
     pairs = whole.join(F.broadcast(left) if left.count() <= MAX_BROADCAST_PAIRS else left, "id")

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 
 from ..operators import delivery as D
 from ..operators import governance as V
-from ..operators import graph as G
 from ..shared import shared_dir
 from ..sources import readers, writers
 from .registry import query
@@ -160,9 +159,3 @@ def top_unwound(t):
 def kno_evidence(t):
     hits = t.documents.where("doc_id % 5 = 0").select(F.lit(1).alias("query"), F.col("doc_id").alias("id"), R(F.col("n_chars") / 1000).alias("score"))
     return D.evidence(hits, t.documents, "doc_id", "text", "[0-9]{3,}").select("id", "score", "excerpt", F.array_join("entities", "|").alias("entities"))
-
-
-@query("gra_communities")
-def gra_communities(t):
-    e = t.nation.selectExpr("CAST(n_nationkey AS BIGINT) AS src", "CAST(100 + n_regionkey AS BIGINT) AS dst").unionByName(t.customer.selectExpr("1000 + c_custkey AS src", "CAST(c_nationkey AS BIGINT) AS dst"))
-    return G.modularity_move(e, 4)

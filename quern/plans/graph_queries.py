@@ -169,15 +169,6 @@ def gra_quality(t):
     return out.withColumns({"mean_degree": R(F.col("mean_degree")), "density": R(F.col("density"))})
 
 
-@query("gra_centrality")
-def gra_centrality(t):
-    """Shortest paths from every fiftieth part over the whole graph of parts."""
-    e = sparse(t)
-    nodes = G.degrees(e).select("node")
-    out = G.brandes(e, nodes, nodes.where("node % 50 = 0"))
-    return out.withColumns({"betweenness": R(F.col("betweenness")), "closeness": R(F.col("closeness"))})
-
-
 @query("gra_influence", f"WITH {SPARSE} SELECT node, round(0.5 * n_in + 50 * 0.01 * n_out, 6) AS influence FROM (SELECT n AS node, (SELECT count(*) FROM e WHERE dst = n) AS n_in, (SELECT count(*) FROM e WHERE src = n) AS n_out FROM (SELECT DISTINCT unnest([src, dst]) AS n FROM e)) ORDER BY influence DESC, node LIMIT 20")
 def gra_influence(t):
     d = G.degrees(sparse(t)).select("node", R(0.5 * F.col("n_in") + 50 * 0.01 * F.col("n_out")).alias("influence"))

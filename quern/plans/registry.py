@@ -37,4 +37,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import analytics_queries, causal_queries, delivery_queries, document_queries, graph_queries, governance_queries, knowledge_queries, logic_queries, retrieval_queries, streaming_queries, text_queries  # noqa: E402, F401
+from . import analytics_queries, causal_queries, delivery_queries, document_queries, graph_queries, governance_queries, knowledge_queries, logic_queries, retrieval_queries, search_queries, streaming_queries, text_queries  # noqa: E402, F401
