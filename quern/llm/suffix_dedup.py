@@ -14,23 +14,31 @@ cover     Positions p with p mod v in a difference cover D of v are samples.
           k = L - v + 1, at one shift. Samples whose k-gram occurs in one place
           only can tie with nothing. They are told apart by hashed names,
           bucket by bucket; a hash that lets too many pass costs time only.
+hot       A k-gram that occurs HOT_SAMPLES times, such as a licence phrase whose
+          surroundings differ, would fill its bucket with one row for each
+          surrounding. The strings of L bytes around it are taken themselves:
+          first their names, spread over all buckets, then those that occur in
+          two blocks as samples of their own, which serve the shift 0 only.
 ranks     The samples left over come to their bucket with the v - 1 bytes on
           either side. The bucket sorts their k-grams, as bytes, and numbers
           them: that is their rank.
 suffixes  The suffix that begins t bytes before a sample is, to depth L, its
           prefix of t bytes, then the sample's rank, then v - 1 - t bytes.
-          For each t the bucket sorts by rank, prefix and end; ties are equal
-          strings, and the earliest of each run of ties is kept. Every pair of
-          equal strings meets at some t.
-
-A block sends each distinct sample once, so one string that a third of the
-documents hold is sent once per block. A bucket answers with one bit per k-gram
-name, then with v bits per sample. Memory is bounded by a block or a bucket; the
-number of buckets follows the size of the corpus without a cap. A block sends a
-row for each bucket it has names for: no more rows than names.
-
-Equal strings of one block are told by hash names and compared as bytes. Within
-one rank, prefixes and ends of up to 56 bytes are compared by 64-bit hashes.
+          For each t the bucket sorts by a hash of rank, prefix and end, and
+          compares neighbours of equal hash as bytes; ties are equal strings,
+          and the earliest of each run of ties is kept. Every pair of equal
+          strings meets at some t, or at a hot k-gram as whole strings.
+
+A block sends each distinct sample once. A sample is distinct with the bytes on
+either side, so a k-gram sends a row for each surrounding it has in a block;
+beyond HOT_SAMPLES of them it is hot. A string that is in all blocks is still
+sent once per block, to one bucket. A bucket answers with two bits per name,
+then with v bits per sample. The number of buckets follows the size of the
+corpus without a cap. A block sends a row for each bucket it has names for: no
+more rows than names.
+
+Equal strings are told by hash names and compared as bytes, within a block and
+within a bucket; strings whose names collide are sorted as bytes.
 
 Defined results: null texts are empty; texts under L bytes lose nothing;
 repeated rows: of rows with equal ids the one whose text sorts first counts as
@@ -62,6 +70,11 @@ BASE = 0x100000001B3
 SUB = 1 << 17
 #: Strings compared byte by byte at once.
 ROWS = 1 << 15
+#: Occurrences from which a k-gram is hot; rows of 166 bytes, so about a megabyte in a bucket before.
+HOT_SAMPLES = 1 << 13
+#: Smaller numbers of occurrences in a block count as one and are not sent along: a hot k-gram may so have eight
+#: times HOT_SAMPLES rows before it is told.
+LEAST_COUNT = 8
 
 assert {(a - b) % COVER_MOD for a in COVER for b in COVER} == set(range(COVER_MOD))
 
@@ -118,11 +131,7 @@ class Block:
 
     def candidates(self, length: int, at: np.ndarray, repeated: np.ndarray) -> np.ndarray:
         """Starts of L-grams with a repeated sample in reach, as a bit per byte."""
-        size = len(self.data)
-        flag = np.zeros(size + COVER_MOD, np.int32)
-        flag[at[repeated]] = 1
-        total = np.concatenate([[0], np.cumsum(flag, dtype=np.int32)])
-        return (total[COVER_MOD : COVER_MOD + size] > total[:size]) & (self.left >= length)
+        return self._reached(length, at[repeated])
 
     def rows(self, at: np.ndarray, length: int) -> np.ndarray:
         """Strings of so many bytes that start at the given places (which may reach beyond the text), as rows."""
@@ -138,23 +147,45 @@ class Block:
         """
         names = gram_names(self.data, length, spots)
         order = np.argsort(names, kind="stable")
-        s = names[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        pairs = np.flatnonzero(~new)
-        wrong = [p for p in (pairs[i : i + ROWS] for i in range(0, len(pairs), ROWS)) if (self.rows(spots[order[p]], length) != self.rows(spots[order[p - 1]], length)).any()]
-        if wrong:
-            runs = np.cumsum(new) - 1
-            bad = np.isin(runs, runs[np.concatenate(wrong)])
-            members = order[bad]
-            by_bytes = np.unique(_bytes_of(self.rows(spots[members], length)), return_inverse=True)[1].ravel()
-            again = np.argsort(by_bytes, kind="stable")
-            order = np.concatenate([order[~bad], members[again]])
-            new = np.concatenate([new[~bad], np.diff(by_bytes[again], prepend=-1) != 0])
-        index = np.empty(len(s), np.int64)
+        new = np.ones(len(spots), bool)
+        new[1:] = names[order[1:]] != names[order[:-1]]
+        order, new = _verified(order, new, lambda members: self.rows(spots[members], length))
+        index = np.empty(len(spots), np.int64)
         index[order] = np.cumsum(new) - 1
         return index, spots[order[new]]
 
+    def hot_starts(self, length: int, hot: np.ndarray) -> np.ndarray:
+        """Starts of L-grams with one of the given (hot) places in reach."""
+        return np.flatnonzero(self._reached(length, hot))
+
+    def _reached(self, length: int, places: np.ndarray) -> np.ndarray:
+        size = len(self.data)
+        flag = np.zeros(size + COVER_MOD, np.int32)
+        flag[places] = 1
+        total = np.concatenate([[0], np.cumsum(flag, dtype=np.int32)])
+        return (total[COVER_MOD : COVER_MOD + size] > total[:size]) & (self.left >= length)
+
+
+def _verified(order: np.ndarray, new: np.ndarray, strings) -> tuple[np.ndarray, np.ndarray]:
+    """An order with the starts of its runs of equal names, after runs whose strings differ are sorted as bytes.
+
+    strings(members) gives rows of bytes. Equal strings have equal names, so runs are only ever cut.
+    """
+    pairs, wrong = np.flatnonzero(~new), []
+    for i in range(0, len(pairs), ROWS):
+        p = pairs[i : i + ROWS]
+        differ = (strings(order[p]) != strings(order[p - 1])).any(axis=1)
+        if differ.any():
+            wrong.append(p[differ])
+    if not wrong:
+        return order, new
+    runs = np.cumsum(new) - 1
+    bad = np.isin(runs, runs[np.concatenate(wrong)])
+    members = order[bad]
+    by_bytes = np.unique(_bytes_of(strings(members)), return_inverse=True)[1].ravel()
+    again = np.argsort(by_bytes, kind="stable")
+    return np.concatenate([order[~bad], members[again]]), np.concatenate([new[~bad], np.diff(by_bytes[again], prepend=-1) != 0])
+
 
 def _bytes_of(rows: np.ndarray) -> np.ndarray:
     """Rows of bytes as single values that sort in byte order."""
@@ -250,18 +281,44 @@ def _answered(table: pa.Table, bodies: list[bytes]) -> pa.Table:
     return pa.table({"bucket": table["bucket"], "block": table["block"], "n": table["n"], "body": pa.array(bodies, pa.binary())})
 
 
-def _seen_twice(table: pa.Table) -> pa.Table:
-    """Which k-gram names of a bucket occur in more than one block."""
-    names = [_decoded(x) for x in table["body"].to_pylist()]
-    whole = np.concatenate(names)
+def _coded_counts(names: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted names, then places and numbers of those that occur LEAST_COUNT times or more."""
+    many = np.flatnonzero(counts >= LEAST_COUNT)
+    coded = _coded(names)
+    return np.array([len(coded)], np.int64).tobytes() + coded + many.astype(np.int64).tobytes() + counts[many].astype(np.int64).tobytes()
+
+
+def _decoded_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int(np.frombuffer(raw, np.int64, 1)[0])
+    names = _decoded(raw[8 : 8 + size])
+    rest = np.frombuffer(raw[8 + size :], np.int64)
+    counts = np.ones(len(names), np.int64)
+    counts[rest[: len(rest) // 2]] = rest[len(rest) // 2 :]
+    return names, counts
+
+
+def _seen_twice(table):
+    """Which names of a bucket occur in more than one block, and which of them are hot: two bits a name."""
+    coded = [_decoded_counts(x) for x in table["body"].to_pylist()]
+    whole, counts = np.concatenate([n for n, _ in coded]), np.concatenate([c for _, c in coded])
     order = np.argsort(whole)
     s = whole[order]
-    same = s[1:] == s[:-1]
-    bit = np.zeros(len(s), bool)
-    bit[order[1:][same]] = True
-    bit[order[:-1][same]] = True
-    ends = np.cumsum([len(x) for x in names])
-    return _answered(table, [np.packbits(bit[e - len(x) : e]).tobytes() for x, e in zip(names, ends)])
+    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    size = np.diff(np.append(starts, len(s)))
+    total = np.add.reduceat(counts[order], starts)
+    bits = np.zeros((2, len(s)), bool)
+    bits[0, order] = np.repeat(size > 1, size)
+    bits[1, order] = np.repeat((size > 1) & (total >= HOT_SAMPLES), size)
+    ends = np.cumsum([len(n) for n, _ in coded])
+    own = [bits[:, e - len(n) : e] for (n, _), e in zip(coded, ends)]
+    out = _answered(table, [np.packbits(x).tobytes() for x in own])
+    return out.append_column("hot", pa.array([bool(x[1].any()) for x in own]))
+
+
+def _bits_of(answers: list[dict] | None) -> np.ndarray:
+    """Two rows of bits, a column for each name of a block in order: repeated, hot."""
+    got = [np.unpackbits(np.frombuffer(r["body"], np.uint8), count=2 * r["n"]).reshape(2, -1) for r in _in_order(answers)]
+    return np.concatenate([np.empty((2, 0), np.uint8), *got], axis=1).astype(bool)
 
 
 def _coded_samples(rows: np.ndarray, before: np.ndarray, after: np.ndarray, first: np.ndarray) -> bytes:
@@ -283,6 +340,11 @@ def _later(order: np.ndarray, same: np.ndarray) -> np.ndarray:
     return out
 
 
+def tie_keys(start: np.ndarray, end: np.ndarray, t: int) -> np.ndarray:
+    """Hashes of strings from those of rank and prefix, and of the end."""
+    return start + mix(end + np.uint64(t + 1))
+
+
 def sort_bucket(table: pa.Table, length: int = LENGTH) -> pa.Table:
     """For each sample of a bucket the shifts t at which the string that begins t bytes before it
     begins earlier too: in a document with a smaller id, or in a block with a smaller number."""
@@ -315,10 +377,11 @@ def sort_bucket(table: pa.Table, length: int = LENGTH) -> pa.Table:
             if t:
                 start = mix(start * np.uint64(BASE) + left[:, SIDE - t])
             on = np.flatnonzero(served[t][live])
-            key = start[on] + mix(ends[SIDE - t][on] + np.uint64(t + 1))
+            key = tie_keys(start[on], ends[SIDE - t][on], t)
             order = np.argsort(key, kind="stable")
             new = np.ones(len(on), bool)
             new[1:] = key[order[1:]] != key[order[:-1]]
+            order, new = _verified(order, new, lambda members: rows[live[on[members]], SIDE - t : SIDE - t + length])  # noqa: B023
             own = block[live[on[order]]]
             # the block of the earliest settles its own ties
             again = own != own[np.maximum.accumulate(np.where(new, np.arange(len(on)), 0))]
@@ -331,9 +394,9 @@ def sort_bucket(table: pa.Table, length: int = LENGTH) -> pa.Table:
     return _answered(table, [pa.Codec("zstd").compress(masks[e - n : e].tobytes()).to_pybytes() for n, e in zip(counts, ends)])
 
 
-def _with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+def _with_answers(blocks: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
     """blocks with their answers; a block has no more answers than names."""
-    got = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "body")).alias("answers"))
+    got = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "body")).alias(name))
     return blocks.join(got.hint("merge"), "block", "left")
 
 
@@ -350,57 +413,97 @@ def _in_order(answers: list[dict] | None) -> list[dict]:
     return sorted((r for r in answers or [] if r["bucket"] >= 0), key=lambda r: r["bucket"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (null unless asked for), kept_sha256 of every row."""
-    k = length - SIDE
-    if k < 16:
-        raise ValueError("strings this short need a smaller cover")
-    steps = Steps(docs.sparkSession)
-    blocks = pack(steps, docs)
-    bits = bucket_bits(blocks)
+TWICE_SCHEMA = SCHEMA + ", hot boolean"
+
+
+def _hot_places(block: Block, row: dict, length: int) -> np.ndarray:
+    at, names = block.samples(length)
+    return at[_bits_of(row["answers"])[1][np.unique(names, return_inverse=True)[1].ravel()]]
+
+
+def asked_names(steps: Steps, blocks: DataFrame, bits: int, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """Written answers to the names of all samples, and of the whole strings around hot ones if there are any."""
 
     def send_names(batches):
         for row in _rows(batches):
-            names = np.unique(Block(row).samples(length)[1])
-            yield _rows_of_buckets(row["block"], names, bits, lambda a, b: _coded(names[a:b]))
+            names, counts = np.unique(Block(row).samples(length)[1], return_counts=True)
+            yield _rows_of_buckets(row["block"], names, bits, lambda a, b: _coded_counts(names[a:b], counts[a:b]))
+
+    def send_strings(batches):
+        for row in _rows(batches):
+            block = Block(row)
+            names = np.unique(gram_names(block.data, length, block.hot_starts(length, _hot_places(block, row, length))))
+            yield _rows_of_buckets(row["block"], names, bits, lambda a, b: _coded_counts(names[a:b], np.ones(b - a, np.int64)))
 
-    twice = steps.stored(blocks.mapInArrow(send_names, SCHEMA).groupBy("bucket").applyInArrow(_seen_twice, SCHEMA), "names")
+    twice = steps.stored(blocks.mapInArrow(send_names, SCHEMA).groupBy("bucket").applyInArrow(_seen_twice, TWICE_SCHEMA), "names")
+    if twice.where("hot").isEmpty():
+        return twice, None
+    strings = _with_answers(blocks, twice).mapInArrow(send_strings, SCHEMA).groupBy("bucket").applyInArrow(_seen_twice, TWICE_SCHEMA)
+    return twice, steps.stored(strings, "strings")
 
-    def send_samples(batches):
+
+def sent_samples(blocks: DataFrame, twice: DataFrame, strings: DataFrame | None, bits: int, length: int) -> DataFrame:
+    """Rows for the buckets: samples, coded; and for bucket -1 what a block needs to read the answers."""
+    k = length - SIDE
+
+    def send(batches):
         for row in _rows(batches):
             block = Block(row)
             at, names = block.samples(length)
             distinct, index, count = np.unique(names, return_inverse=True, return_counts=True)
-            bit = [np.unpackbits(np.frombuffer(r["body"], np.uint8), count=r["n"]) for r in _in_order(row["answers"])]
-            bit = np.concatenate([np.empty(0, np.uint8), *bit]).astype(bool)
-            inside = block.candidates(length, at, (bit | (count > 1))[index])
-            outside = np.flatnonzero(bit[index])
-            at, names = at[outside], names[outside]
-            before, after = np.minimum(block.pos[at], SIDE), np.minimum(block.left[at] - k, SIDE)
-            # each distinct sample goes once, for the first place it has
-            rows = block.rows(at - SIDE, length + SIDE)
-            dark = np.arange(length + SIDE)
-            rows = np.where((dark >= SIDE - before[:, None]) & (dark < SIDE + k + after[:, None]), rows, 0).astype(np.uint8)
-            _, one, which = np.unique(_bytes_of(np.concatenate([rows, before[:, None].astype(np.uint8), after[:, None].astype(np.uint8)], axis=1)), return_index=True, return_inverse=True)
-            order = np.argsort(names[one], kind="stable")
-            place = np.empty(len(one), np.int32)
-            place[order] = np.arange(len(one), dtype=np.int32)
-            one = one[order]
-            docs_of = block.ids[np.searchsorted(block.starts, at[one], side="right") - 1]
-            yield _rows_of_buckets(row["block"], names[one], bits, lambda a, b: _coded_samples(rows[one[a:b]], before[one[a:b]], after[one[a:b]], docs_of[a:b]))
-            # what this block needs to read the answers goes along: candidates, places of the samples, their order
-            raw = np.packbits(inside).tobytes() + at.astype(np.int32).tobytes() + place[which.ravel()].tobytes()
+            index = index.ravel()
+            repeated, hot = _bits_of(row["answers"])
+            inside = block.candidates(length, at, (repeated | (count > 1))[index])
+            cold = at[(repeated & ~hot)[index]]
+            parts = [(cold, distinct[index][(repeated & ~hot)[index]], np.minimum(block.pos[cold], SIDE), np.minimum(block.left[cold] - k, SIDE))]
+            if hot.any():
+                starts = block.hot_starts(length, at[hot[index]])
+                whole = gram_names(block.data, length, starts)
+                again = _bits_of(row["again"])[0][np.unique(whole, return_inverse=True)[1].ravel()]
+                parts.append((starts[again], whole[again], np.zeros(again.sum(), np.int64), np.full(again.sum(), SIDE)))
+            spots, routes, which, made, sent = [], [], [], [], 0
+            reach = np.arange(length + SIDE)
+            for places, route, before, after in parts:
+                # each distinct sample goes once, for the first place it has
+                rows = block.rows(places - SIDE, length + SIDE)
+                rows = np.where((reach >= SIDE - before[:, None]) & (reach < SIDE + k + after[:, None]), rows, 0).astype(np.uint8)
+                _, one, own = np.unique(_bytes_of(np.concatenate([rows, before[:, None].astype(np.uint8), after[:, None].astype(np.uint8)], axis=1)), return_index=True, return_inverse=True)
+                spots.append(places)
+                routes.append(route[one])
+                which.append(own.ravel() + sent)
+                made.append((rows[one], before[one], after[one], block.ids[np.searchsorted(block.starts, places[one], side="right") - 1]))
+                sent += len(one)
+            spots, routes, which = (np.concatenate(x) for x in (spots, routes, which))
+            order = np.argsort(routes, kind="stable")
+            rows, before, after, docs_of = (np.concatenate(x)[order] for x in zip(*made))
+            place = np.empty(sent, np.int32)
+            place[order] = np.arange(sent, dtype=np.int32)
+            yield _rows_of_buckets(row["block"], routes[order], bits, lambda a, b: _coded_samples(rows[a:b], before[a:b], after[a:b], docs_of[a:b]))
+            raw = np.packbits(inside).tobytes() + spots.astype(np.int32).tobytes() + place[which].tobytes()
             note = pa.Codec("zstd").compress(raw).to_pybytes() if raw else b""
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([note], pa.binary())], ["bucket", "block", "n", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([len(spots)], pa.int64()), pa.array([note], pa.binary())], ["bucket", "block", "n", "body"])
+
+    asked = _with_answers(blocks, twice)
+    return (asked if strings is None else _with_answers(asked, strings, "again")).mapInArrow(send, SCHEMA)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (null unless asked for), kept_sha256 of every row."""
+    if length - SIDE < 16:
+        raise ValueError("strings this short need a smaller cover")
+    steps = Steps(docs.sparkSession)
+    blocks = pack(steps, docs)
+    bits = bucket_bits(blocks)
+    twice, strings = asked_names(steps, blocks, bits, length)
 
     def settle(table: pa.Table) -> pa.Table:
         return sort_bucket(table, length) if table["bucket"][0].as_py() >= 0 else table.select(["bucket", "block", "n", "body"])
 
     # notes are spread by block
-    made = _with_answers(blocks, twice).mapInArrow(send_samples, SCHEMA)
+    made = sent_samples(blocks, twice, strings, bits, length)
     spread = F.when(F.col("bucket") < 0, F.col("block")).otherwise(-1)
     settled = steps.stored(made.withColumn("spread", spread).groupBy("bucket", "spread").applyInArrow(settle, SCHEMA), "suffixes")
-    steps.drop(twice)
+    steps.drop(*[x for x in (twice, strings) if x is not None])
 
     def finish(batches):
         codec = pa.Codec("zstd")

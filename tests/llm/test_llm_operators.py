@@ -196,6 +196,50 @@ def test_one_passage_in_every_block(spark, monkeypatch):
     assert got == removed_by_hand(rows)
 
 
+def test_ties_with_colliding_keys(spark, monkeypatch):
+    """All strings of a bucket have one key: bytes alone decide."""
+    monkeypatch.setattr(suffix_dedup, "tie_keys", lambda start, end, t: start * suffix_dedup.np.uint64(0))
+    test_repeated_strings(spark, monkeypatch, 2_000)
+    test_one_passage_in_every_block(spark, monkeypatch)
+
+
+def sample_rows(spark, docs):
+    """Rows that each bucket gets, and removal as a whole."""
+    from quern.llm.common import Steps
+
+    steps = Steps(spark)
+    blocks = suffix_dedup.pack(steps, docs)
+    bits = suffix_dedup.bucket_bits(blocks)
+    twice, strings = suffix_dedup.asked_names(steps, blocks, bits, 100)
+    made = suffix_dedup.sent_samples(blocks, twice, strings, bits, 100)
+    return strings, [r["n"] for r in made.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect()]
+
+
+def test_hot_phrases(spark, monkeypatch):
+    """A phrase of 60 bytes in every text, surroundings of its own in each: no bucket gets a row for each text."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 4_000)
+    rnd = random.Random(13)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    phrase = text(60)
+    rows = [(i, text(rnd.randint(0, 120)) + phrase + text(rnd.randint(0, 120))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    strings, whole = sample_rows(spark, docs)
+    assert strings is None and max(whole) > 100
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLES", 20)
+    monkeypatch.setattr(suffix_dedup, "LEAST_COUNT", 2)
+    strings, whole = sample_rows(spark, docs)
+    assert strings is not None and max(whole, default=0) < 40  # several k-grams that are not hot, each below 20
+    # passages over the phrase that do repeat, within a block and across, at different offsets
+    rows += [(1000 + i, text(i % 60) + rows[i % 7][1] + text(30)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sample_rows(spark, docs)[0] is not None
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == removed_by_hand(rows) and sum(r[1] for r in got.values()) > 0
+    test_one_passage_in_every_block(spark, monkeypatch)
+    test_repeated_strings(spark, monkeypatch, 2_000)
+
+
 def test_repeats_in_odd_documents(spark):
     got = suffix_dedup.remove_repeats(odd_documents(spark)).collect()
     assert len(got) == 11 and sum(r["doc_id"] is None for r in got) == 1
@@ -572,12 +616,31 @@ def test_spans_and_documents_of_the_benchmark(spark):
     assert decontaminate.report(no_documents(spark), items).count() == 0
 
 
+def test_windows_take_time_by_words_not_by_texts(spark):
+    """The same words cost about as much in few long texts as in many short ones."""
+    import time
+
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "w1 w2")], "item_id long, text string")
+
+    def seconds(words, rows):
+        text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.concat(F.lit("w"), ((i * 7919 + F.col("id")) % 9973).cast("string"))), " ")
+        docs = spark.range(rows, numPartitions=4).select(F.col("id").alias("doc_id"), text.alias("text"))
+        out = []
+        for _ in range(2):
+            start = time.time()
+            decontaminate.hits(docs, items).count()
+            out.append(time.time() - start)
+        return min(out)
+
+    assert seconds(200_000, 4) < 2 * seconds(100, 8000) + 1
+
+
 def test_windows_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", 0)
     assert rows_of_frame(decontaminate.query(spark, SF)) == rows_of_sql(SF, decontaminate.ORACLE)
     test_spans_and_documents_of_the_benchmark(spark)
     # what crosses the exchange has no words with it
-    rows = decontaminate.window_rows(odd_documents(spark), [3, 10], False)
+    rows = decontaminate.window_rows(odd_documents(spark), [3, 10])
     assert not [kind for _, kind in rows.dtypes if "array" in kind or kind == "string"]
 
 
