@@ -5,10 +5,11 @@ of the benchmark's window hashes, and each hit is verified on the words
 themselves. Windows have n words; items of fewer words count as one window of
 their own length. All lengths are hashed in one pass over the texts.
 
-The hash set is broadcast while it measures MAX_BROADCAST_BYTES or less (about
-1.6 million windows), beyond that joined by shuffle. Either way rows of (hash,
-place) without any text meet it, and only documents with a hit are read again
-for their words, so time is in proportion to the words, however long a text is.
+Texts are taken in pieces of PIECE_WORDS words, which rows of (hash, place)
+carry along, so time is in proportion to the words, however long a text is. The
+hash set is broadcast while it measures MAX_BROADCAST_BYTES or less (about 1.6
+million windows). Beyond that the rows go without words, are joined with the
+hashes by shuffle, and only documents with a hit are read again for their words.
 
 Defined results: null and empty texts have no words and no hits; items without
 words have no window; equal windows of several items hit all of them; repeated
@@ -29,6 +30,8 @@ from .common import Steps, ascii_lower, fresh, named
 #: What separates words, before A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: Words of a text that its windows' rows carry.
+PIECE_WORDS = 256
 #: The largest broadcast set of window hashes, and what a hash takes in it.
 MAX_BROADCAST_BYTES, HASH_BYTES = 64 << 20, 40
 
@@ -78,37 +81,46 @@ def _place(p: Column, n: Column, lengths: list[int]) -> Column:
     return out
 
 
-def window_rows(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, text_key, n, p, hash): a row for each window of the documents.
+def window_rows(docs: DataFrame, lengths: list[int], keep_words: bool) -> DataFrame:
+    """(doc_id, text_key, begin, n, p, hash[, w]): a row for each window of the documents, text by text in pieces of
+    PIECE_WORDS: n words (and w, these) from word begin on, the p-th window of the piece.
 
-    Only the hashes are unnested: rows that carried the words of their text would take time by the square of its length.
+    Rows that carried all words of their text would take time by the square of its length. Pieces overlap, so that no
+    window is cut; a short window may come from two pieces, at one place.
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw_words(F.col("text")).alias("w"))
-    hashed = base.select("doc_id", "text_key", F.size("w").alias("n"), _hash_windows(F.col("w"), lengths).alias("hashes"))
-    return hashed.select("doc_id", "text_key", "n", F.posexplode("hashes").alias("p", "hash"))
+    reach = PIECE_WORDS + max(lengths) - 1
+    begins = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(PIECE_WORDS))
+    pieces = base.select("doc_id", "text_key", F.explode(F.transform(begins, lambda i: F.struct(i.alias("begin"), F.slice("w", i + 1, reach).alias("w")))).alias("x")).select("doc_id", "text_key", "x.*")
+    return pieces.select("doc_id", "text_key", "begin", F.size("w").alias("n"), *["w"] * keep_words, F.posexplode(_hash_windows(F.col("w"), lengths)).alias("p", "hash"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(doc_id, text_key, at, len, items): verified occurrences in the documents."""
+    """(doc_id, text_key, at, len, items): verified occurrences in the documents, some of them twice."""
     steps = Steps(docs.sparkSession)
     windows = steps.stored(benchmark_windows(benchmark, n), "windows")
     counted = windows.groupBy("len").agg(F.count("*").alias("c")).collect()  # n rows at most
     lengths = sorted(r["len"] for r in counted) or [n]
     hashes = windows.select("hash").distinct()
-    small = sum(r["c"] for r in counted) * HASH_BYTES <= MAX_BROADCAST_BYTES
-    # without a hint the planner may take the exploded documents for the small side
-    found = window_rows(docs, lengths).join(F.broadcast(hashes) if small else hashes.hint("merge"), "hash", "left_semi")
-    found = found.withColumn("place", _place(F.col("p"), F.col("n"), lengths))
-    # as many entries as the document has windows; only documents with a hit are read again for their words
-    spots = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "hash")).alias("spots"))
-    spots = steps.stored(spots.select(F.col("doc_id").alias("spot_d"), F.col("text_key").alias("spot_t"), "spots"), "spots")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    again = texts.join(spots, F.col("doc_id").eqNullSafe(F.col("spot_d")) & (F.col("text_key") == F.col("spot_t")))
-    # windows are cut from the words within the row, so that words are not unnested here either
-    words = again.select("doc_id", "text_key", "spots", raw_words(F.col("text")).alias("w"))
+    if sum(r["c"] for r in counted) * HASH_BYTES <= MAX_BROADCAST_BYTES:
+        # what is joined here carries its piece's words as far as the text of the few hits, and is not shuffled
+        found = window_rows(docs, lengths, True).join(F.broadcast(hashes), "hash", "left_semi")
+        found = found.withColumn("place", _place(F.col("p"), F.col("n"), lengths)).withColumn("from", F.col("place.at"))
+    else:
+        # without the hint the planner may take the exploded documents for the small side
+        found = window_rows(docs, lengths, False).join(hashes.hint("merge"), "hash", "left_semi")
+        found = found.withColumn("place", _place(F.col("p"), F.col("n"), lengths))
+        # as many entries as the document has windows
+        spots = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("begin", "place", "hash")).alias("spots")).select(F.col("doc_id").alias("spot_d"), F.col("text_key").alias("spot_t"), "spots")
+        texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+        again = texts.join(spots, F.col("doc_id").eqNullSafe(F.col("spot_d")) & (F.col("text_key") == F.col("spot_t")))
+        words = again.select("doc_id", "text_key", "spots", raw_words(F.col("text")).alias("w"))
+        # each spot with its own words only
+        own = F.transform("spots", lambda s: F.struct(s["begin"].alias("begin"), s["place"].alias("place"), s["hash"].alias("hash"), F.slice(F.col("w"), s["begin"] + s["place"]["at"] + 1, s["place"]["len"]).alias("w")))
+        found = words.select("doc_id", "text_key", F.explode(own).alias("s")).select("doc_id", "text_key", "s.*").withColumn("from", F.lit(0))
     # never null, so that no test for null is pushed down, which would make the text of every window
-    cut = F.transform("spots", lambda s: F.struct(s["place"]["at"].alias("at"), s["place"]["len"].alias("len"), s["hash"].alias("hash"), F.coalesce(_window_text(F.col("w"), s["place"]["at"], s["place"]["len"]), F.lit("")).alias("text")))
-    found = words.select("doc_id", "text_key", cut.alias("cut")).select("doc_id", "text_key", F.explode("cut").alias("s")).select("doc_id", "text_key", "s.*")
+    text = F.coalesce(_window_text(F.col("w"), F.col("from"), F.col("place.len")), F.lit(""))
+    found = found.select("doc_id", "text_key", (F.col("begin") + F.col("place.at")).alias("at"), "place.len", "hash", text.alias("text"))
     known = windows.select(F.col("hash").alias("known"), "window", "items")
     return found.join(known, (F.col("hash") == F.col("known")) & (F.col("text") == F.col("window"))).select("doc_id", "text_key", "at", "len", "items")
 
