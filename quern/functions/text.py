@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Letters and digits with one standard form.
 LETTER_FORMS = "يكةۀؤإأٱ"
-LETTER_STANDARD = "یکههواااا"[: len(LETTER_FORMS)]
+LETTER_STANDARD = "یکههوااا"
 DIGITS_OTHER = "٠١٢٣٤٥٦٧٨٩0123456789"
 DIGITS_OWN = "۰۱۲۳۴۵۶۷۸۹۰۱۲۳۴۵۶۷۸۹"
 DIACRITICS = "[ً-ٰٟ]"

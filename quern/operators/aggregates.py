@@ -71,17 +71,29 @@ def compliance(df: DataFrame, key: str, ok: Column) -> DataFrame:
 
 def histogram_percentiles(df: DataFrame, key: str, value: str) -> DataFrame:
     """p50 is the lower median; p95 and p99 lie at p*(n-1): exact positions as
-    they stand, others interpolated and rounded half to even."""
-    out = df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    n = F.size("v")
+    they stand, others interpolated and rounded half to even.
+
+    Values are numbered over the whole table in ranges of (key, value), so a key
+    of any number of rows is spread; only the five values asked for are gathered.
+    """
+    from .windows import numbered
+
+    rows = numbered(df.where(F.col(value).isNotNull()).select(F.struct(F.col(key).alias("k"), F.col(value).alias("v")).alias("o")), "o", "at")
+    whole = rows.groupBy(F.col("o.k").alias("k")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    mine = rows.select(F.col("o.k").alias("k_"), F.col("o.v").alias("v"), "at")
+    placed = mine.join(whole, F.col("k_").eqNullSafe(F.col("k"))).select("k", "n", "v", (F.col("at") - F.col("first")).alias("at"))
+    n = F.col("n")
+    low = lambda p: F.floor(p * (n - 1)).cast("long")
+    asked = [F.floor((n + 1) / 2).cast("long") - 1, *[x for p in (0.95, 0.99) for x in (low(p), F.least(low(p) + 1, n - 1))]]
+    got = placed.where(F.array_contains(F.array(*asked), F.col("at"))).groupBy("k", "n").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
 
     def at(p: float) -> Column:
         place = p * (n - 1)
-        low = F.floor(place).cast("int")
-        a, b = F.element_at("v", low + 1), F.element_at("v", F.least(low + 2, n))
-        return F.when(place == low, a).otherwise(F.bround(a + (b - a) * (place - low), 0))
+        a, b = F.element_at("m", low(p)), F.element_at("m", F.least(low(p) + 1, n - 1))
+        return F.when(place == low(p), a).otherwise(F.bround(a + (b - a) * (place - low(p)), 0))
+
+    return got.select(F.col("k").alias(key), F.element_at("m", asked[0]).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
-    return out.select(key, F.element_at("v", F.floor((n + 1) / 2).cast("int")).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def buckets(df: DataFrame, key: str, value: str, edges) -> DataFrame:

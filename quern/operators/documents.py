@@ -172,6 +172,17 @@ def expand_terms(queries: DataFrame, key: str, text: str, synonyms: DataFrame, m
 
 
 def corpus_hash(files: DataFrame, group: str, path: str, content: str) -> DataFrame:
-    """One hash per group over its files in path order."""
-    one = files.select(group, F.struct(F.col(path).alias("p"), F.sha2(F.col(content), 256).alias("h")).alias("x"))
-    return one.groupBy(group).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat_ws(":", x["p"], x["h"])), "\n"), 256).alias("hash"))
+    """One hash per group over its files in path order, as they stream by."""
+    import hashlib
+
+    from ..shared import streamed
+
+    def step(state, file: tuple):
+        line = f"{file[0]}:{file[1]}".encode()
+        if state is None:
+            return hashlib.sha256(line)
+        state.update(b"\n" + line)
+        return state
+
+    files = files.select(group, F.coalesce(F.col(path).cast("string"), F.lit("")).alias("p"), F.sha2(F.col(content), 256).alias("h"))
+    return streamed(files, group, ["p", "h"], ["p", "h"], step, lambda state: state.hexdigest(), "hash string")

@@ -228,5 +228,27 @@ def orphans(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return nodes.join(edges.select(F.col("src").alias(key)), key, "left_anti").join(edges.select(F.col("dst").alias(key)), key, "left_anti")
 
 
+def integrity_problems(required, dates, now: Column) -> Column:
+    """Properties that a node lacks, and dates that lie after now."""
+    rules = [(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), f"missing:{c}") for c in required]
+    return problems(*rules, *[(F.col(c) > now, f"future:{c}") for c in dates])
+
+
+# What counts as sensitive, and the marks of a legal text's parts.
+SENSITIVE = (r"\b\d{10}\b", r"\b\d{16}\b", r"\b\d{3}-?\d{2}-?\d{4}\b", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b")
+LEGAL_MARKS = {"articles": r"ماده\s+\d+", "clauses": r"بند\s+[الف-ی]", "sections": r"بخش\s+(اول|دوم|سوم|چهارم|پنجم|ششم|هفتم|هشتم|نهم|دهم|[۰-۹]+)", "chapters": r"فصل\s+[۰-۹]+"}
+
+
+def sensitive_items(text: Column, patterns=SENSITIVE) -> Column:
+    """Number of pieces of text that look sensitive, by any pattern; a piece counts for each pattern it fits."""
+    return reduce(lambda a, b: a + b, [F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)) for p in patterns])
+
+
+def legal_structure(text: Column, marks: dict = LEGAL_MARKS) -> dict[str, Column]:
+    """Counts of the marks of a legal text's parts, and `warnings` for those it should have."""
+    counts = {name: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)) for name, p in marks.items()}
+    return counts | {"warnings": problems(*[(counts[c] == 0, f"no_{c}") for c in ("articles", "clauses") if c in counts])}
+
+
 def contains_any(df: DataFrame, term: str, *columns: str) -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, [F.col(c).contains(term) for c in columns])).withColumn("score", F.lit(1.0))

@@ -60,13 +60,17 @@ def quality_report(df: DataFrame, columns: list[str], numeric: list[str], ranges
 def ks_statistic(before: DataFrame, after: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic, sizes and asymptotic p-value.
 
-    Counts are summed per value first, so the ordered pass sees distinct values.
+    Counts are summed per value first; running sums are taken in ranges of the values.
     """
+    from .windows import running_total
+
     both = before.select(F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(after.select(F.col(value).alias("v"), F.lit(0), F.lit(1))).where("v IS NOT NULL")
     per = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.orderBy("v")
     total = per.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    run = per.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb")).join(F.broadcast(total), how="cross")  # one row
+    # both sums at once: the first one counts in a unit that the second does not reach
+    unit = 1 << 31
+    run = running_total(per.select("v", (F.col("a").cast("decimal(38,0)") * unit * unit + F.col("b")).alias("ab")), "v", "ab", "run")
+    run = run.select(F.call_function("div", F.col("run"), F.lit(unit).cast("decimal(38,0)") * unit).alias("ca"), (F.col("run") % (F.lit(unit).cast("decimal(38,0)") * unit)).cast("long").alias("cb")).join(F.broadcast(total), how="cross")  # one row
     got = run.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("statistic"), F.first("na").alias("n_before"), F.first("nb").alias("n_after"))
     root = F.sqrt(F.col("n_before") * F.col("n_after") / (F.col("n_before") + F.col("n_after")))
     lam = (root + 0.12 + 0.11 / root) * F.col("statistic")
@@ -376,18 +380,23 @@ def linucb(df: DataFrame, arm: str, features: str, reward: str, context: list[fl
 
 
 def exp3(df: DataFrame, run: str, order: str, arm: str, reward: str, arms: list, gamma: float = 0.1) -> DataFrame:
-    """(run, weights) after each run's pulls in order, folded one by one."""
-    n = len(arms)
-    rows = df.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(order, F.col(arm).alias("arm"), F.col(reward).cast("double").alias("reward")))).alias("rows"))
-    place = F.array(*[F.lit(a) for a in arms])
-
-    def step(w: Column, r: Column) -> Column:
-        total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-        i = F.array_position(place, r["arm"]).cast("int") - 1
-        p = (1 - gamma) * w[i] / total + gamma / n
-        return F.transform(w, lambda x, k: F.when(k == i, x * F.exp(gamma * r["reward"] / p / n)).otherwise(x))
-
-    return rows.select(run, F.aggregate("rows", F.array(*[F.lit(1.0)] * n), step).alias("weights"))
+    """(run, weights) after each run's pulls in order, one by one as they stream by; pulls of other arms are an
+    error, pulls without a reward change nothing."""
+    from ..shared import streamed
+
+    n, places = len(arms), {a: i for i, a in enumerate(arms)}
+
+    def step(w: list[float] | None, pull: tuple) -> list[float]:
+        w = w or [1.0] * n
+        if pull[1] is None:
+            return w
+        i = places[pull[0]]
+        p = (1 - gamma) * w[i] / sum(w) + gamma / n
+        w[i] *= math.exp(gamma * pull[1] / p / n)
+        return w
+
+    rows = df.select(run, order, F.col(arm).alias("arm"), F.col(reward).cast("double").alias("reward"))
+    return streamed(rows, run, [order, "arm", "reward"], ["arm", "reward"], step, lambda w: w, "weights array<double>")
 
 
 def regret(df: DataFrame, run: str, order: str, reward: Column, optimal: float) -> DataFrame:

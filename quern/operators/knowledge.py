@@ -72,16 +72,22 @@ def cached_answers(queries: DataFrame, cache: DataFrame, vector: str, least: flo
 
 
 def adapted_weights(feedback: DataFrame, run: str, order: str, scores: str, rating: str, n: int, rate: float = 0.1) -> DataFrame:
-    """(run, weights): w += rate * (rating - score) * score per source, renormalised, folded in order; the rate fades by a tenth each hundred."""
-    rows = feedback.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(order, F.col(scores).alias("s"), F.col(rating).cast("double").alias("r")))).alias("rows"))
-    start = F.struct(F.array(*[F.lit(1.0 / n)] * n).alias("w"), F.lit(0).alias("k"))
-
-    def step(state: Column, x: Column) -> Column:
-        lr = rate * F.pow(F.lit(0.9), F.floor(state["k"] / 100))
-        raw = F.transform(F.zip_with(state["w"], x["s"], lambda w, s: w + lr * (x["r"] - s) * s), lambda w: F.greatest(w, F.lit(0.0)))
-        return F.transform(F.array(raw), lambda v: F.struct(F.transform(v, lambda w: w / F.aggregate(v, F.lit(1e-12), lambda a, b: a + b)).alias("w"), (state["k"] + 1).alias("k")))[0]
-
-    return rows.select(run, F.aggregate("rows", start, step)["w"].alias("weights"))
+    """(run, weights): w += rate * (rating - score) * score per source, renormalised, in order, one by one as the
+    answers stream by; the rate fades by a tenth each hundred. Answers without a rating or a score change nothing."""
+    from ..shared import streamed
+
+    def step(state: tuple | None, answer: tuple) -> tuple:
+        w, k = state or ([1.0 / n] * n, 0)
+        given, stars = answer
+        if stars is None or given is None or None in given:
+            return w, k
+        lr = rate * 0.9 ** (k // 100)
+        raw = [max(x + lr * (stars - s) * s, 0.0) for x, s in zip(w, given)]
+        total = 1e-12 + sum(raw)
+        return [x / total for x in raw], k + 1
+
+    rows = feedback.select(run, order, F.col(scores).alias("s"), F.col(rating).cast("double").alias("r"))
+    return streamed(rows, run, [order, "s", "r"], ["s", "r"], step, lambda state: state[0], "weights array<double>")
 
 
 def retrieve(mode: str, text_hits: DataFrame, graph_hits: DataFrame, graph_score: float = 0.8) -> DataFrame:

@@ -147,6 +147,29 @@ def fil_orphans(t):
     return P.orphans(t.customer, edges, "c_custkey").select("c_custkey")
 
 
+@query("fil_integrity", """SELECT o_orderkey, concat_ws(',', CASE WHEN trim(o_orderpriority) = '' OR o_orderpriority IS NULL THEN 'missing:o_orderpriority' END, CASE WHEN o_orderdate > TIMESTAMP '1997-06-01' THEN 'future:o_orderdate' END) AS problems
+    FROM (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders)""")
+def fil_integrity(t):
+    """Orders that lack their priority (every seventeenth is taken away) or have a date after now."""
+    rows = t.orders.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderpriority")))
+    found = P.integrity_problems(["o_orderpriority"], ["o_orderdate"], F.to_timestamp(F.lit("1997-06-01")))
+    return rows.select("o_orderkey", F.array_join(found, ",").alias("problems"))
+
+
+@query("fil_sensitive", r"""SELECT doc_id, (len(regexp_extract_all(text, '\b[0-9]{10}\b')) + len(regexp_extract_all(text, '\b[0-9]{16}\b')) + len(regexp_extract_all(text, '\b[0-9]{3}-?[0-9]{2}-?[0-9]{4}\b'))
+    + len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b')))::INT AS n FROM documents WHERE text IS NOT NULL""")
+def fil_sensitive(t):
+    return t.documents.where("text IS NOT NULL").select("doc_id", P.sensitive_items(F.col("text")).alias("n"))
+
+
+@query("fil_structure", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+[.]'))::INT AS articles, len(regexp_extract_all(text, '[0-9]{4,}'))::INT AS clauses,
+    concat_ws(',', CASE WHEN NOT regexp_matches(text, '[A-Z][a-z]+[.]') THEN 'no_articles' END, CASE WHEN NOT regexp_matches(text, '[0-9]{4,}') THEN 'no_clauses' END) AS warnings FROM documents WHERE text IS NOT NULL""")
+def fil_structure(t):
+    """The validator of a legal text's parts, with marks that these tables have."""
+    found = P.legal_structure(F.col("text"), {"articles": "[A-Z][a-z]+[.]", "clauses": "[0-9]{4,}"})
+    return t.documents.where("text IS NOT NULL").select("doc_id", found["articles"].alias("articles"), found["clauses"].alias("clauses"), F.array_join(found["warnings"], ",").alias("warnings"))
+
+
 @query("fil_substring", "SELECT p_partkey, CAST(1 AS DOUBLE) AS score FROM part WHERE contains(p_name, '12') OR contains(p_brand, '12')")
 def fil_sub(t):
     return P.contains_any(t.part, "12", "p_name", "p_brand").select("p_partkey", "score")

@@ -195,14 +195,23 @@ def unc_calibration(t):
     return rounded(V.calibration_error(d, "c", F.col("quality") == 1))
 
 
+@query("unc_temperature", """WITH x AS (SELECT (l_quantity - 25) / 2 AS z, CASE WHEN l_quantity + (l_orderkey * 7 + l_linenumber * 13) % 40 > 45 THEN 1 ELSE 0 END AS y FROM lineitem),
+  t AS (SELECT i, 0.05 * pow(400, i / 39) AS t FROM (SELECT unnest(range(40)) AS i)), l AS (SELECT t.t, avg(greatest(z / t.t, 0) - y * z / t.t + ln(1 + exp(-abs(z / t.t)))) AS loss FROM x, t GROUP BY 1) SELECT round(arg_min(t, loss), 6) AS temperature FROM l""")
+def unc_temperature(t):
+    """The temperature that fits overconfident scores of lines to what they claim."""
+    y = F.when(F.col("l_quantity") + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 40 > 45, 1).otherwise(0)
+    found = V.temperature(t.lineitem.select(((F.col("l_quantity") - 25) / 2).alias("z"), y.alias("y")), "z", "y")
+    return t.spark.createDataFrame([(round(found, 6),)], "temperature double")
+
+
 @query("unc_conformal", "WITH l AS (SELECT list_sort(list(abs(value - 50))) AS v, count(*) AS n FROM events WHERE value IS NOT NULL), q AS (SELECT v, ceil((n + 1) * 0.9) / n * (n - 1) AS p FROM l) SELECT round(v[CAST(floor(p) AS INT) + 1] + (v[CAST(floor(p) AS INT) + 2] - v[CAST(floor(p) AS INT) + 1]) * (p - floor(p)), 2) AS width FROM q")
 def unc_conformal(t):
     return rounded(V.conformal(t.events.withColumn("r", F.col("value") - 50), "r", 0.1), n=2)
 
 
-@query("unc_ensemble", "SELECT user_id, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS between, round(avg(value / 10), 4) AS within, round(sqrt(var_pop(value) + avg(value / 10)), 4) AS deviation FROM events WHERE value >= 0 GROUP BY 1")
+@query("unc_ensemble", "SELECT user_id, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS between, round(avg(abs(value) / 10), 4) AS within, round(sqrt(var_pop(value) + avg(abs(value) / 10)), 4) AS deviation FROM events GROUP BY 1")
 def unc_ensemble(t):
-    out = V.ensemble(t.events.where("value >= 0").withColumn("v", F.col("value") / 10), "user_id", "value", "v")
+    out = V.ensemble(t.events.withColumn("v", F.abs("value") / 10), "user_id", "value", "v")
     return out.select("user_id", R(F.col("mean")).alias("mean"), *[R(F.col(c), 4).alias(c) for c in ("between", "within", "deviation")])
 
 

@@ -56,6 +56,13 @@ def ret_jaccard(t):
     return S.token_jaccard(t.documents.where("text IS NOT NULL"), few(t), words).withColumn("score", R(F.col("score")))
 
 
+@query("ret_full_text", f"""WITH {BM}, need AS (SELECT query, count(DISTINCT term) AS n FROM q GROUP BY 1), have AS (SELECT query, id, count(DISTINCT term) AS n FROM tf JOIN q USING (term) GROUP BY 1, 2)
+    SELECT query, id, round(score, 5) AS score FROM bm JOIN have USING (query, id) JOIN need USING (query) WHERE have.n = need.n""")
+def ret_full_text(t):
+    """Documents that hold every word of a query."""
+    return S.full_text(t.documents.select("doc_id", "text"), few(t), words).withColumn("score", R(F.col("score"), 5))
+
+
 @query("ret_dense", f"WITH {VEC} SELECT query, id, round(score, 5) AS score, rank FROM dn WHERE rank <= 10")
 def ret_dense(t):
     return dense(t).where("rank <= 10").withColumn("score", R(F.col("score"), 5))

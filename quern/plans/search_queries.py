@@ -118,8 +118,8 @@ def log_allen_touching(t):
 
 
 @query("log_in_force", """WITH r AS (SELECT o_orderkey AS rule, o_custkey % 10 AS g, CASE WHEN o_orderkey % 11 <> 0 THEN epoch_us(o_orderdate) END AS s, CASE WHEN o_orderkey % 13 <> 0 THEN epoch_us(o_orderdate) + (o_orderkey % 20) * 86400000000 END AS e FROM orders),
-    v AS (SELECT event_id AS event, user_id % 10 AS g, epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events) + (SELECT min(epoch_us(o_orderdate)) FROM orders) + (event_id % 300) * 86400000000 AS at FROM events)
-    SELECT event, count(*) AS n, min(rule) AS first FROM v JOIN r USING (g) WHERE (s IS NULL OR s <= at) AND (e IS NULL OR at <= e) GROUP BY 1""")
+    v AS (SELECT event_id AS event, user_id % 10 AS g, epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events) + (SELECT min(epoch_us(o_orderdate)) FROM orders) + (event_id % 300) * 86400000000 AS moment FROM events)
+    SELECT event, count(*) AS n, min(rule) AS first FROM v JOIN r USING (g) WHERE (s IS NULL OR s <= moment) AND (e IS NULL OR moment <= e) GROUP BY 1""")
 def log_in_force(t):
     """Orders as rules with a time of validity, some open at an end; the events that fall into it, moved to their years."""
     day = 86_400_000_000

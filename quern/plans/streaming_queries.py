@@ -16,13 +16,13 @@ def stream(t):
 
 @query("str_tumbling", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def str_tumbling(t):
-    out = E.drained(E.tumbling(stream(t), "ts", "event_type", "value"), "complete")
+    out = E.drained(E.tumbling(stream(t), "ts", "event_type", "value"), "update", "start", "event_type")
     return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("str_sliding", "SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY 1, 2")
 def str_sliding(t):
-    out = E.drained(E.sliding(stream(t), "ts", "event_type", "value", "1 hour", "30 minutes"), "complete")
+    out = E.drained(E.sliding(stream(t), "ts", "event_type", "value", "1 hour", "30 minutes"), "update", "start", "event_type")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 

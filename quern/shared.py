@@ -36,3 +36,38 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def streamed(rows: DataFrame, key: str, order: list[str], columns: list[str], step, result, schema: str) -> DataFrame:
+    """(key, result): rows of each key in order through step(state, values), beginning with None, one at a time.
+
+    Rows are sorted within partitions and stream by, so one state is held however many rows a key has; what is
+    sequential by its nature then takes one task for a key, but no memory.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    kind = T.StructType([rows.schema[key], *T._parse_datatype_string(schema).fields])
+    names = [f.name for f in kind.fields]
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(kind)
+        now, state, out, any_row = None, None, [], False
+        for batch in batches:
+            for k, *values in zip(batch.column(key).to_pylist(), *[batch.column(c).to_pylist() for c in columns]):
+                if any_row and k != now:
+                    out.append({names[0]: now, names[1]: result(state)})
+                    state = None
+                now, any_row = k, True
+                state = step(state, tuple(values))
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        if any_row:
+            out.append({names[0]: now, names[1]: result(state)})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, kind)

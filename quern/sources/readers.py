@@ -77,6 +77,44 @@ def load_status(df: DataFrame, corrupt: str = "_corrupt_record") -> DataFrame:
     return out.withColumn("status", F.when(F.col("failed") == F.col("n"), "FAILED").otherwise("SUCCESS"))
 
 
+def load_files(spark: SparkSession, folder: str, pattern: str, loader, validator=None, attempts: int = 3, wait: float = 0.0, skip: bool = True) -> DataFrame:
+    """(path, status, attempts, error, loaded): each file given to loader(bytes) within a task, anew if it raises, so many times.
+
+    status is SUCCESS, FAILED (the last attempt raised) or SKIPPED (the
+    validator said no to what was loaded); loaded is its JSON text. With skip
+    off a failed file fails the job. A file must fit into a task.
+    """
+    import json
+    import time
+
+    import pandas as pd
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, raw in zip(pdf["path"], pdf["content"]):
+                for n in range(1, attempts + 1):
+                    try:
+                        value = loader(raw)
+                        break
+                    except Exception as error:  # whatever a loader raises is its file's result
+                        problem = f"{type(error).__name__}: {error}"
+                        if n < attempts:
+                            time.sleep(wait * 2 ** (n - 1))
+                else:
+                    if not skip:
+                        raise RuntimeError(f"{path}: {problem}")
+                    rows.append((path, "FAILED", n, problem, None))
+                    continue
+                good = validator is None or validator(value)
+                rows.append((path, "SUCCESS" if good else "SKIPPED", n, None, json.dumps(value) if good else None))
+            yield pd.DataFrame(rows, columns=["path", "status", "attempts", "error", "loaded"])
+
+    return files.mapInPandas(run, "path string, status string, attempts int, error string, loaded string")
+
+
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
     """One row per element of that tag."""
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)

@@ -72,11 +72,13 @@ def suppressed_alerts(events: DataFrame, key: str, ts: str, seconds: float, late
     return rows.groupBy("key").applyInPandasWithState(send, f"key {kind}, t double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
+def drained(stream: DataFrame, mode: str, *keys: str) -> DataFrame:
     """Run a stream over all that is there; its rows, read back from the shared folder.
 
     Each micro-batch is written to a folder of its own, which a retry writes
-    again. In append mode all batches are the result, in complete mode the last.
+    again. In append mode all batches are the result, in complete mode the last,
+    in update mode the last row of each key: batches then hold only what they
+    changed, and the state of what is past the watermark is dropped.
     """
     base, epochs = f"{shared_dir(stream.sparkSession)}/{uuid.uuid4().hex}", []
 
@@ -86,9 +88,15 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
 
     q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    wanted = sorted(set(epochs)) if mode == "append" else epochs[-1:]
-    rows = stream.sparkSession.read.schema(stream.schema)
-    return rows.parquet(*[f"{base}/rows/{e}" for e in wanted]) if wanted else stream.sparkSession.createDataFrame([], stream.schema)
+    wanted = epochs[-1:] if mode == "complete" else sorted(set(epochs))
+    if not wanted:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(*[f"{base}/rows/{e}" for e in wanted])
+    if mode != "update":
+        return rows
+    epoch = F.regexp_extract(F.col("_metadata.file_path"), "/rows/([0-9]+)/", 1).cast("long")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.withColumn("epoch_", epoch).groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch_").alias("x")).select(*[c if c in keys else f"x.{c}" for c in stream.columns])
 
 
 def upsert_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, good=None, rejected: Callable[[DataFrame, int], None] | None = None):
