@@ -158,8 +158,8 @@ def chunk_score(text: Column, low: int, high: int) -> Column:
     n = F.size(w)
     fit = F.when(n.between(low, high), 1.0).when(n < low, n / low).otherwise(high / F.when(n > 0, n))
     end = F.when(F.trim(text).rlike("[.!?؟]$"), 1.0).otherwise(0.7)
-    distinct = F.least(F.lit(1.0), 1.5 * F.size(F.array_distinct(w)) / F.when(n > 0, n))
-    return (fit + end + F.coalesce(distinct, F.lit(0.0))) / 3
+    distinct = F.when(n > 0, F.least(F.lit(1.0), 1.5 * F.size(F.array_distinct(w)) / n)).otherwise(0.0)
+    return (fit + end + distinct) / 3
 
 
 def expand_terms(queries: DataFrame, key: str, text: str, synonyms: DataFrame, most: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import chunks as C
 from ..operators import documents as D
 from .registry import query
 
@@ -95,6 +96,13 @@ def doc_similarity(t):
     return D.chunk_by_similarity(t.documents.where("text IS NOT NULL"), "doc_id", "text", 0.05, 300)
 
 
+@query("doc_chunk_adaptive")
+def doc_adaptive(t):
+    """Chunks of about 120 words that end where sentences change, never between an initial and a name."""
+    c = C.chunk_adaptive(t.documents, "doc_id", "text", 60, 120, 160, entity=r"\b[A-Z]\.\s[A-Z]\w+")
+    return c.withColumns({"coherence": R(F.col("coherence")), "density": R(F.col("density"))})
+
+
 @query("doc_chunk_score")
 def doc_score(t):
     c = D.chunk_sentences(docs(t), "doc_id", "text", 400)

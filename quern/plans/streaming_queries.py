@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..streaming import events as E
+from ..streaming import state as S
 from .registry import query
 
 
@@ -53,3 +54,30 @@ def str_rejects(t):
     rows = [t.spark.read.schema(t.events.schema).parquet(f"{folder}/{name}").select("event_type", F.lit(name).alias("side")) for name in ("kept", "rejected")]
     both = rows[0].unionByName(rows[1]).groupBy("event_type")
     return both.agg(F.count_if(F.col("side") == "kept").alias("kept"), F.count_if(F.col("side") == "rejected").alias("rejected"))
+
+
+#: What the watermark has passed at the end of the stream.
+SETTLED = "d AS (SELECT *, epoch_us(ts) AS t FROM events WHERE epoch_us(ts) // 1000 < (SELECT max(epoch_us(ts)) // 1000 - 600000 FROM events))"
+
+
+@query("str_rate_limited", f"""WITH RECURSIVE {SETTLED}, e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM d),
+  f AS (SELECT user_id, event_id, k, true AS passed, [t] AS h FROM e WHERE k = 1
+   UNION ALL SELECT user_id, event_id, k, len(g) < 3, CASE WHEN len(g) < 3 THEN list_append(g, t) ELSE g END
+   FROM (SELECT e.user_id, e.event_id, e.k, e.t, list_filter(f.h, lambda x: x > e.t - 86400000000) AS g FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))
+  SELECT user_id, event_id, passed, len(h)::INT AS n FROM f""")
+def str_limited(t):
+    """At most three events of a user in any day."""
+    out = E.drained(S.rate_limited(stream(t), "user_id", "ts", "event_id", 3, 86400), "append")
+    return out.select(F.col("key").alias("user_id"), F.col("tie").alias("event_id"), "passed", "n")
+
+
+@query("str_rolling_anomalies", f"""WITH {SETTLED}, e AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 432000000000 THEN 1 ELSE 0 END AS new FROM d),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e),
+  l AS (SELECT *, list_filter(list(value) OVER (PARTITION BY user_id, g ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS all_before FROM g),
+  h AS (SELECT *, coalesce(all_before[-20:], []) AS h FROM l),
+  s AS (SELECT user_id, event_id, len(h)::INT AS n, CASE WHEN len(h) >= 5 AND list_stddev_pop(h) > 0 THEN abs(value - list_avg(h)) / list_stddev_pop(h) END AS z FROM h)
+  SELECT user_id, event_id, n, round(z, 4) AS score, CASE WHEN z > 5 THEN 'critical' WHEN z > 4 THEN 'high' WHEN z > 3.5 THEN 'medium' WHEN z > 2 THEN 'low' END AS severity FROM s""")
+def str_rolling(t):
+    """Each value against the user's last twenty, forgotten after five days without one."""
+    out = E.drained(S.rolling_anomalies(stream(t), "user_id", "ts", "event_id", "value", window=20, z=2.0, least=5, keep=432000), "append")
+    return out.select(F.col("key").alias("user_id"), F.col("tie").alias("event_id"), "n", F.round("score", 4).alias("score"), "severity")
