@@ -168,6 +168,17 @@ def class_distance(classes: dict) -> Column:
     return F.when(F.col("n_chars") >= MIN_CHARS, near)
 
 
+def vocabulary_counts(words: Column, vocabulary: list[str]) -> Column:
+    """How often each word of a sorted vocabulary is in the list, in its order: the list's own and one of each are
+    sorted, so that each has one run; the time of a sort, whatever the number of languages."""
+
+    def runs(s: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda e: F.coalesce(F.get(s, e) != F.get(s, e - 1), F.lit(True)))
+        return let(ends, lambda r: F.transform(r, lambda e, k: e - F.coalesce(F.get(r, k - 1), F.lit(0)) - 1))
+
+    return let(F.sort_array(F.concat(F.filter(words, lambda w: w.isin(vocabulary)), F.array(*[F.lit(w) for w in vocabulary]))), runs)
+
+
 def word_distances(docs: DataFrame, common: dict) -> DataFrame:
     """(doc_id, text_key, word_distance, word_share): to the nearest language, as it is and as a share of the distance
     of a text with none of its words, for texts that are long enough."""
@@ -175,10 +186,8 @@ def word_distances(docs: DataFrame, common: dict) -> DataFrame:
     vocabulary = sorted({w for words in common.values() for w in words})
     if not vocabulary:
         return out.select("doc_id", "text_key", *[F.lit(None).cast("double").alias(c) for c in ("word_distance", "word_share")])
-    kept = F.concat(F.lit(" "), F.array_join(F.filter("w", lambda w: w.isin(vocabulary)), "  "), F.lit(" "))
-    out = out.select("doc_id", "text_key", F.size("w").alias("n"), kept.alias("kept"))
-    counts = [(F.length("kept") - F.length(F.replace(F.col("kept"), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2) / F.col("n") for w in vocabulary]
-    out = out.select("doc_id", "text_key", F.array(*counts).alias("k"))
+    shares_of = let(F.size("w"), lambda n: F.transform(vocabulary_counts(F.col("w"), vocabulary), lambda k: k / n))
+    out = out.select("doc_id", "text_key", shares_of.alias("k"))
     per_language, shares = [], []
     for words in common.values():
         own = [F.col("k")[vocabulary.index(w)] for w in words]

@@ -718,3 +718,14 @@ def test_quality_of_odd_documents(spark):
     none = quality_fm.fit(no_documents(spark).withColumn("quality", F.lit(1)))
     assert {round(r["score"], 3) for r in quality_fm.score(docs, none).collect()} == {0.5}
     assert quality_fm.score(no_documents(spark), none).count() == 0
+
+
+def test_vocabulary_counts(spark):
+    """op8: words of several scripts and lengths, none of them, and lists of nothing else."""
+    from quern.llm.quality_rules import vocabulary_counts
+
+    rng, vocabulary = random.Random(8), sorted(["a", "ab", "and", "der", "été", "é", "и", "𝒳", "zz", "ﬀ"])
+    lists = [[], ["x"], ["a"] * 5, vocabulary * 3] + [[rng.choice([*vocabulary, "other", "aa"]) for _ in range(rng.randint(1, 80))] for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, w array<string>")
+    for r in df.select("i", vocabulary_counts(F.col("w"), vocabulary).alias("k")).collect():
+        assert r["k"] == [lists[r["i"]].count(v) for v in vocabulary]
