@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import stored
-from .retrieval import MAX_BROADCAST_QUERIES, dot, top, unit
+from .retrieval import MAX_BROADCAST_QUERIES, QUERY_CHUNK, dot, top, unit
 
 LEVELS = 127
 #: Candidate pairs of so few rows are broadcast to fetch their vectors: 16 bytes each.
@@ -57,25 +57,26 @@ def search_quantised(codes: DataFrame, vectors: DataFrame, queries: DataFrame, k
         ids = np.array([r["query"] for r in rows])
         sent = spark.sparkContext.broadcast(np.array([r["q"] for r in rows], float))
 
-        def scan(batches, ids=ids, sent=sent):
+        def scan(batches, ids=ids, sent=sent, chunk=QUERY_CHUNK):
             q = sent.value
+            single = q.astype(np.float32)
             # a code is off by half a step at most, in every dimension
             slack = np.abs(q).sum(axis=1) / 2
-            bar = np.full(len(q), -np.inf)  # k-th best lower bound so far
-            lows = np.full((len(q), k), -np.inf)
+            lows = np.full((len(q), k), -np.inf)  # best lower bounds so far
             for pdf in batches:
                 if pdf.empty:
                     continue
                 c = np.array(pdf["codes"].tolist(), np.float32).reshape(len(pdf), -1)
-                scale = pdf["scale"].to_numpy()
-                about = (q.astype(np.float32) @ c.T).astype(float) * scale
-                # float32 sums of 127 * |q|: a relative error below 1e-5 of what they add up
-                off = slack[:, None] * scale * (1 + 2e-3) + 1e-9
-                low, high = about - off, about + off
-                lows = np.partition(np.concatenate([lows, low], axis=1), -k, axis=1)[:, -k:]
-                bar = lows.min(axis=1)
-                row, col = np.nonzero(high >= bar[:, None])
-                yield pd.DataFrame({"query": ids[row], "id": pdf["id"].to_numpy()[col], "low": low[row, col], "high": high[row, col]})
+                scale, own = pdf["scale"].to_numpy(), pdf["id"].to_numpy()
+                for at in range(0, len(q), chunk):  # so many queries by a batch of rows are held at once
+                    some = slice(at, at + chunk)
+                    about = (single[some] @ c.T).astype(float) * scale
+                    # float32 sums of 127 * |q|: a relative error below 1e-5 of what they add up
+                    off = slack[some, None] * scale * (1 + 2e-3) + 1e-9
+                    lows[some] = np.partition(np.concatenate([lows[some], about - off], axis=1), -k, axis=1)[:, -k:]
+                    row, col = np.nonzero(about + off >= lows[some].min(axis=1)[:, None])
+                    mid, gap = about[row, col], off[row, col]
+                    yield pd.DataFrame({"query": ids[some][row], "id": own[col], "low": mid - gap, "high": mid + gap})
 
         part = codes.select(F.col("id").cast("long").alias("id"), "scale", "codes").mapInPandas(scan, "query long, id long, low double, high double")
         kept = part if kept is None else kept.unionByName(part)
