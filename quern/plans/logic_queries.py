@@ -33,7 +33,8 @@ def log_prove(t):
 
 @query("log_two_rules", f"WITH {EDGE}, s AS (SELECT DISTINCT x.a AS a0, y.a AS a1 FROM e x JOIN e y ON x.b = y.b) SELECT DISTINCT s.a0, e.b AS a1 FROM s JOIN e ON s.a1 = e.a")
 def log_two(t):
-    rules = [L.parse_rule("peer(X, Y) :- edge(X, Z), edge(Y, Z)"), L.parse_rule("reach(X, W) :- peer(X, Y), edge(Y, W)")]
+    """Where peers lead, peers being children of one parent. They are told by their parents, as pairs of peers grow with the square of a nation's suppliers."""
+    rules = [L.parse_rule("linked(Z, W) :- edge(Y, Z), edge(Y, W)"), L.parse_rule("reach(X, W) :- edge(X, Z), linked(Z, W)")]
     return L.infer({"edge": edges(t)}, rules)["reach"]
 
 

@@ -135,3 +135,12 @@ def test_no_path_is_one_row(spark, tmp_path):
     part.where("p_partkey > 60").write.parquet(f"{tmp_path}/part.parquet")
     got = rows_of_frame(registry.QUERIES["gra_shortest_path"](spark, str(tmp_path)))
     assert got == (["hops", "path"], [("None", "None")]) == rows_of_sql(str(tmp_path), registry.ORACLES["gra_shortest_path"])
+
+
+def test_two_rules_list_no_peers(spark, tmp_path):
+    """20,000 suppliers of one nation: 400 million pairs of peers before."""
+    spark.range(20_000).selectExpr("id AS s_suppkey", "CAST(3 AS INT) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = registry.QUERIES["log_two_rules"](spark, str(tmp_path))
+    assert got.where("a0 > 9999").groupBy("a1").count().collect() == [(1003, 20_000)]
