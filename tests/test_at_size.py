@@ -1,10 +1,13 @@
 """Jobs whose rows, memory or rounds grew faster than their input."""
 
+import random
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import graph, joins, retrieval, vectors, windows
+from quern.operators import graph, intervals, joins, retrieval, vectors, windows
 from quern.plans import registry, retrieval_queries
 
 from compare import rows_of_frame, rows_of_sql
@@ -158,3 +161,31 @@ def test_graph_loops_broadcast_no_edges(spark, tmp_path):
         assert abs(got.agg(F.sum("rank")).first()[0] - 1) < 1e-9
     finally:
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+@pytest.mark.parametrize("cell", [3, 40, 10_000])
+def test_rules_in_force_by_cells(spark, monkeypatch, cell):
+    """Cells end within groups, times and rules; bounds may be open, equal, inverted or unknown."""
+    monkeypatch.setattr(intervals, "CELL", cell)
+    rnd = random.Random(5)
+    group = lambda: rnd.choice(["a", "a", "a", "b", None, f"z{rnd.randrange(9)}"])
+    some = lambda x: rnd.choice([x, x, x, None])
+    ev = [(group(), rnd.randrange(150), some(rnd.choice([7, rnd.randint(-90, 90)]))) for _ in range(200)]
+    ru = [(group(), some(1000 + rnd.randrange(150)), some(s), some(s + rnd.choice([0, 1, 9, 100, -1]))) for s in (rnd.choice([7, rnd.randint(-90, 90)]) for _ in range(150))]
+    df_e, df_r = spark.createDataFrame(ev, "g string, ev long, at long"), spark.createDataFrame(ru, "g string, ru long, s long, e long")
+    want = defaultdict(list)
+    for g, k, at in ev:
+        if g is not None and at is not None:
+            want[k] += [r for h, r, s, e in ru if h == g and (s is None or s <= at) and (e is None or at <= e) and (s is None or e is None or s <= e)]
+    got = intervals.in_force_summary(df_e, df_r, ["g"], "ev", "at", "ru", "s", "e").collect()
+    assert {r["event"]: (r["n"], r["first"]) for r in got} == {k: (len(v), min((x for x in v if x is not None), default=None)) for k, v in want.items() if v}
+    assert intervals.in_force_summary(df_e, df_r.where("false"), ["g"], "ev", "at", "ru", "s", "e").count() == 0
+    assert intervals.in_force_summary(df_e.where("false"), df_r, ["g"], "ev", "at", "ru", "s", "e").count() == 0
+
+
+def test_rules_in_force_make_no_pairs(spark):
+    """20,000 open rules of one group and 20,000 events in all of them: 400 million pairs."""
+    df = spark.range(20_000).selectExpr("1 AS g", "id", "id AS at", "CAST(NULL AS bigint) AS s", "20000 + id AS e")
+    got = intervals.in_force_summary(df, df, ["g"], "id", "at", "id", "s", "e")
+    assert "SortMergeJoin" not in plan_of(got)
+    assert [tuple(r) for r in got.groupBy("n", "first").count().collect()] == [(20_000, 0, 20_000)]
