@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..shared import cut, stored
+
+#: Classes of hashes in which tokens are counted, a power of two.
+SKETCH = 1 << 19
 
 
 def keywords(docs: DataFrame, key: str, text: str, top: int, min_chars: int = 3) -> DataFrame:
@@ -49,30 +55,55 @@ def hash_dedup(docs: DataFrame, text: str, key: str) -> DataFrame:
     return first_of(docs, [F.md5(T.redact(F.lower(T.squeeze_space(F.col(text)))))], [F.asc(key)])
 
 
+def near_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: pairs of (k, w) among which are all whose sets w have a Jaccard above the threshold.
+
+    Sets that link share one of the first n - threshold * n + 1 tokens of each,
+    in any order common to all: here rare ones first, by counts in SKETCH
+    classes of hashes. The first token they share leaves room for the overlap
+    behind it in both. Only these tokens' hashes move, with size and place.
+    """
+    spark = sets.sparkSession
+    hashed = sets.select("k", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    counted = hashed.select(F.explode("h").alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(SKETCH - 1)).alias("x")).agg(F.count("*").alias("n")).toArrow()  # of fixed size
+    counts = np.zeros(SKETCH, np.int64)
+    counts[counted["x"].to_numpy()] = counted["n"].to_numpy()
+    sent, mask = spark.sparkContext.broadcast(counts), SKETCH - 1
+
+    def first(batches):
+        for batch in batches:
+            size, flat = batch["h"].value_lengths().to_numpy(), batch["h"].flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((flat, sent.value[flat & mask], row))
+            flat, n = flat[order], size[row]
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + 1
+            # a token of one set only leads to nobody, but has its place
+            keep = (sent.value[flat & mask] > 1) & (place <= n - np.ceil(n * threshold - 1e-9) + 1)
+            columns = [batch["k"].take(pa.array(row[keep])), pa.array(n[keep].astype(np.int32)), pa.array(flat[keep]), pa.array(place[keep].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "n", "x", "place"])
+
+    prefix = hashed.mapInArrow(first, f"k {sets.schema['k'].dataType.simpleString()}, n int, x long, place int")
+    room = f"a < b AND least(na, nb) > {threshold} * greatest(na, nb) AND 1 + least(na - pa, nb - pb) > {threshold / (1 + threshold)} * (na + nb) - 1e-6"
+    return prefix.toDF("a", "na", "x", "pa").join(prefix.toDF("b", "nb", "x", "pb"), "x").where(room).select("a", "b").distinct()
+
+
 def greedy_dedup(docs: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
     """(key): rows kept when each is compared, in key order, with the rows kept before.
 
     Of rows with equal token sets only the first can be kept, so the others go
-    at once. Links (Jaccard above the threshold) between the rest are found by
-    their rarest tokens: sets that link share one among the first
-    n - threshold * n + 1 of each in the order of frequency. Candidates are
-    decided by their whole sets. A row is settled as soon as all earlier rows
-    it links with are: kept if none of those is kept. The rounds give the
-    sequential result exactly. Rows without tokens link with nothing.
+    at once. Links (Jaccard above the threshold) between the rest are found
+    among `near_candidates` and decided by whole sets, which are fetched for
+    these only. A row is settled as soon as all earlier rows it links with are:
+    kept if none of those is kept. The rounds give the sequential result
+    exactly. Rows without tokens link with nothing.
     """
-    from ..shared import cut
-
-    whole = cut(docs.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("w")))
-    first = whole.where(F.size("w") > 0).groupBy(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")).agg(F.min("k").alias("k"))
-    t = cut(whole.join(first.select("k"), "k", "left_semi").unionByName(whole.where(F.size("w") == 0)))
-    flat = t.select("k", F.size("w").alias("n"), F.explode("w").alias("x"))
-    often = cut(flat.groupBy("x").agg(F.count("*").alias("often")).where("often > 1"))
-    place = F.row_number().over(Window.partitionBy("k").orderBy("often", "x"))
-    # a token of one set only leads to nobody, but has its place in the prefix
-    alone = flat.join(often, "x", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("place", place)
-    prefix = cut(alone.where((F.col("often") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).select("k", "n", "x"))
-    near = prefix.toDF("a", "na", "x").join(prefix.toDF("b", "nb", "x"), "x").where("a < b AND least(na, nb) > {} * greatest(na, nb)".format(threshold)).select("a", "b").distinct()
-    both = near.join(t.toDF("a", "wa"), "a").join(t.toDF("b", "wb"), "b").withColumn("c", F.size(F.array_intersect("wa", "wb")))
+    whole = docs.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("w"))
+    told = stored(whole.select("k", F.size("w").alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")))
+    first = told.where("n > 0").groupBy("h1", "h2").agg(F.min("k").alias("k")).select("k").unionByName(told.where("n = 0").select("k"))
+    t = stored(whole.join(first.distinct(), "k", "left_semi"))
+    near = stored(near_candidates(t, threshold))
+    sets = stored(t.join(near.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi"))
+    both = near.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b").withColumn("c", F.size(F.array_intersect("wa", "wb")))
     links = cut(both.where(F.col("c") / (F.size("wa") + F.size("wb") - F.col("c")) > threshold).select("a", "b"))
     state = t.select("k").withColumn("kept", F.lit(None).cast("boolean"))
     while True:

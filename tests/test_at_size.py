@@ -1,5 +1,6 @@
 """Jobs whose rows, memory or rounds grew faster than their input."""
 
+import pathlib
 import random
 from collections import defaultdict
 
@@ -7,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import graph, intervals, joins, retrieval, terms, vectors, windows
+from quern.operators import documents, graph, intervals, joins, retrieval, terms, vectors, windows
 from quern.plans import registry, retrieval_queries
+from quern.shared import shared_dir
 
 from compare import rows_of_frame, rows_of_sql
 
@@ -211,3 +213,30 @@ def test_shapes_of_pairs_keep_names():
     for text in ("a'b'", "a b", "f(a", "f(,)", "a!b"):
         with pytest.raises(ValueError, match="term|missing"):
             terms.solve_by_shape(text, "a")
+
+
+@pytest.mark.parametrize("classes", [8, 1 << 19])
+def test_candidates_of_near_sets(spark, monkeypatch, classes):
+    """All links are among the candidates, however coarse the counts; most other pairs are not."""
+    monkeypatch.setattr(documents, "SKETCH", classes)
+    rnd = random.Random(4)
+    base = [rnd.sample(range(400), 40) for _ in range(60)]
+    sets = [set(rnd.choice(base)) ^ set(rnd.sample(range(400), rnd.randrange(6))) for _ in range(150)] + [{1}, {1, 2}, set(range(20)), set(range(1, 20))]
+    df = spark.createDataFrame([(i, sorted(map(str, s))) for i, s in enumerate(sets)], "k long, w array<string>")
+    got = {tuple(r) for r in documents.near_candidates(df, 0.8).collect()}
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) > 0.8}
+    assert links and links <= got
+    assert len(got) < len(sets) * (len(sets) - 1) / 4
+
+
+def test_greedy_dedup_writes_little(spark):
+    """Token sets are written once, and again only those of candidates."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join(str(rnd.randrange(10**6, 10**7)) for _ in range(200))) for i in range(1000)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(5)]
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    got = documents.greedy_dedup(spark.createDataFrame(rows, "id long, text string"), "id", F.split("text", " "), 0.85)
+    assert sorted(r["id"] for r in got.collect()) == list(range(1000))
+    assert size() - before < 2 * sum(len(text) for _, text in rows)
