@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,13 @@ from ..functions import text as T
 from ..shared import cut, stored
 
 #: Classes of hashes in which tokens are counted, a power of two.
-SKETCH = 1 << 19
+SKETCH = 1 << 16
+#: Parts of equal tokens that near sets have in common at least.
+AGREE = 4
+#: Bits of the map by which few other keys are told from those sought, a power of two.
+BITS = 1 << 24
+#: Pairs that are compared at once besides one for each part.
+ROOM = 100_000
 
 
 def keywords(docs: DataFrame, key: str, text: str, top: int, min_chars: int = 3) -> DataFrame:
@@ -55,64 +62,149 @@ def hash_dedup(docs: DataFrame, text: str, key: str) -> DataFrame:
     return first_of(docs, [F.md5(T.redact(F.lower(T.squeeze_space(F.col(text)))))], [F.asc(key)])
 
 
-def near_candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of (k, w) among which are all whose sets w have a Jaccard above the threshold.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers in place of others, spread evenly."""
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashes(w: Column) -> Column:
+    """32 bits of each token; tokens that share them only make sets look nearer."""
+    return F.transform(w, lambda x: F.hash(x))
+
+
+def near_classes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(k, s): hashes s of parts of sets; sets whose Jaccard is above the threshold have at least AGREE of them in common.
 
-    Sets that link share one of the first n - threshold * n + 1 tokens of each,
-    in any order common to all: here rare ones first, by counts in SKETCH
-    classes of hashes. The first token they share leaves room for the overlap
-    behind it in both. Only these tokens' hashes move, with size and place.
+    sets: (k, n, h), the hashes h of n > 0 tokens. Tokens are dealt into classes, by their hash and a size that doubles.
+    Two sets that link differ in d tokens at most, so in d classes at most, and as there are d + AGREE or more, AGREE
+    are equal. In an order common to all, only d others can be before these, so each set sends its first d + AGREE.
+    First are classes of many and rare tokens, by counts in SKETCH classes of hashes: few other sets have the same.
     """
-    spark = sets.sparkSession
-    hashed = sets.select("k", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    counted = hashed.select(F.explode("h").alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(SKETCH - 1)).alias("x")).agg(F.count("*").alias("n")).toArrow()  # of fixed size
+    counted = sets.select(F.explode("h").alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(SKETCH - 1)).alias("x")).agg(F.count("*").alias("n")).toArrow()  # of fixed size
     counts = np.zeros(SKETCH, np.int64)
     counts[counted["x"].to_numpy()] = counted["n"].to_numpy()
-    sent, mask = spark.sparkContext.broadcast(counts), SKETCH - 1
-
-    def first(batches):
+    weight, mask = np.rint(16 * np.log2((counts.sum() + 1) / (counts + 1))), SKETCH - 1  # whole numbers, so that sums are exact
+    sent, differ = sets.sparkSession.sparkContext.broadcast(weight), (1 - threshold) / threshold
+
+    def dealt(n: np.ndarray, size: np.ndarray, flat: np.ndarray, down: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and their parts, among sets of down doublings less."""
+        level = np.ceil(np.log2(n)).astype(np.int64) - down
+        rows = np.flatnonzero((level >= 0) & ((down == 0) | (threshold * n < 2.0**level)))
+        mine, level = np.zeros(len(n), bool), level[rows]
+        mine[rows] = True
+        flat = flat[np.repeat(mine, size)]
+        classes = np.ceil(1.2 * (differ * 2.0**level + 2) + AGREE).astype(np.int64)
+        start, row = np.cumsum(classes) - classes, np.repeat(np.arange(len(rows)), classes)
+        x = flat.astype(np.uint32).astype(np.uint64)
+        of = np.repeat(np.arange(len(rows)), size[rows])
+        at = start[of] + (mixed(x + np.uint64(1)) % classes[of].astype(np.uint64)).astype(np.int64)
+        both = mixed(x + np.uint64(1 << 32))
+        low, high = (np.bincount(at, half.astype(float), len(row)).astype(np.uint64) for half in (both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)))
+        place = np.arange(len(row)) - start[row]
+        part = mixed(low ^ mixed(high ^ mixed((place * 64 + level[row]).astype(np.uint64)))).view(np.int64)
+        first = np.lexsort((part, -np.bincount(at, sent.value[flat & mask], len(row)), row))
+        keep = place < np.floor(differ * n[rows] + 1e-9)[row] + AGREE
+        return rows[row[keep]], part[first[keep]]
+
+    def parts(batches):
         for batch in batches:
-            size, flat = batch["h"].value_lengths().to_numpy(), batch["h"].flatten().to_numpy()
-            row = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((flat, sent.value[flat & mask], row))
-            flat, n = flat[order], size[row]
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + 1
-            # a token of one set only leads to nobody, but has its place
-            keep = (sent.value[flat & mask] > 1) & (place <= n - np.ceil(n * threshold - 1e-9) + 1)
-            columns = [batch["k"].take(pa.array(row[keep])), pa.array(n[keep].astype(np.int32)), pa.array(flat[keep]), pa.array(place[keep].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "n", "x", "place"])
+            cuts = np.cumsum(batch["h"].value_lengths().to_numpy()) // (1 << 20)  # of as many tokens
+            for one in np.unique(cuts):
+                b = batch.slice(*(lambda at: (at[0], len(at)))(np.flatnonzero(cuts == one)))
+                n, size, flat = b["n"].to_numpy(), b["h"].value_lengths().to_numpy(), b["h"].flatten().to_numpy()
+                for down in range(2 + int(np.log2(1 / threshold))):
+                    rows, part = dealt(n, size, flat, down)
+                    yield pa.RecordBatch.from_arrays([b["k"].take(pa.array(rows)), pa.array(part)], ["k", "s"])
+
+    return sets.mapInArrow(parts, f"k {sets.schema['k'].dataType.simpleString()}, s long")
+
+
+def near_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: rows that have AGREE parts in common."""
+    both = classes.select(F.col("k").alias("a"), "s").join(classes.select(F.col("k").alias("b"), "s"), "s").where("a < b")
+    return both.groupBy("a", "b").count().where(F.col("count") >= AGREE).select("a", "b")
+
+
+def near_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: pairs of (k, w) among which are all whose sets w have a Jaccard above the threshold."""
+    return near_pairs(near_classes(sets.select("k", F.size("w").alias("n"), hashes(F.col("w")).alias("h")).where("n > 0"), threshold))
+
+
+def with_mates(classes: DataFrame) -> DataFrame:
+    """(k, s, a, c): of parts that several rows have, those rows, with the least k of them and how many they are."""
+    w = Window.partitionBy("s")
+    return classes.select("k", "s", F.min("k").over(w).alias("a"), F.count("*").over(w).alias("c")).where("c > 1")
+
+
+def maybe_in(keys: DataFrame, key: str) -> Column:
+    """True where a key is one of keys (k), and for few others: by a map of bits of fixed size, so that joins move little."""
+    x = F.xxhash64("k").bitwiseAND(F.lit(BITS - 1))
+    got = keys.select(x.alias("x")).groupBy(F.shiftright("x", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x & 63 AS INT))")).alias("word")).toArrow()
+    words = np.zeros(BITS // 64, np.int64)
+    words[got["at"].to_numpy()] = got["word"].to_numpy()
+    sent = keys.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def there(x: pd.Series) -> pd.Series:
+        return (np.take(sent.value, x // 64) >> x % 64) % 2 == 1
+
+    return there(F.xxhash64(key).bitwiseAND(F.lit(BITS - 1)))
+
 
-    prefix = hashed.mapInArrow(first, f"k {sets.schema['k'].dataType.simpleString()}, n int, x long, place int")
-    room = f"a < b AND least(na, nb) > {threshold} * greatest(na, nb) AND 1 + least(na - pa, nb - pb) > {threshold / (1 + threshold)} * (na + nb) - 1e-6"
-    return prefix.toDF("a", "na", "x", "pa").join(prefix.toDF("b", "nb", "x", "pb"), "x").where(room).select("a", "b").distinct()
+def linked(pairs: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs (a, b) whose sets, of whole (k, w), have a Jaccard above the threshold."""
+    there = {x: maybe_in(pairs.select(F.col(x).alias("k")), "k") for x in "ab"}
+    sets = stored(whole.where(there["a"] | there["b"]))
+    wa, wb = (sets.where(there[x]).toDF(x, f"w{x}") for x in "ab")
+    both = pairs.join(wa, "a").join(wb, "b").withColumn("c", F.size(F.array_intersect("wa", "wb")))
+    return both.where(F.col("c") / (F.size("wa") + F.size("wb") - F.col("c")) > threshold).select("a", "b")
 
 
 def greedy_dedup(docs: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
     """(key): rows kept when each is compared, in key order, with the rows kept before.
 
     Of rows with equal token sets only the first can be kept, so the others go
-    at once. Links (Jaccard above the threshold) between the rest are found
-    among `near_candidates` and decided by whole sets, which are fetched for
-    these only. A row is settled as soon as all earlier rows it links with are:
-    kept if none of those is kept. The rounds give the sequential result
-    exactly. Rows without tokens link with nothing.
+    at once. The rest meet in their `near_classes`, and pairs are decided by
+    whole sets, which are made again for these only. Of the open rows, those
+    are kept that follow others in at most half of AGREE parts, as nothing
+    before links with them. Each leads the rest of its parts, so the pairs of a
+    row and the first of its part, no more than there are rows and parts, have
+    all that these link with, and this goes: groups of near copies need no pair
+    for each two of them. Once no more pairs are left
+    than there were parts, the rest is decided by all its links: a row is
+    settled as soon as all earlier rows it links with are, and kept if none of
+    those is. All this gives the sequential result exactly. Rows without tokens
+    link with nothing.
     """
-    whole = docs.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("w"))
-    told = stored(whole.select("k", F.size("w").alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")))
-    first = told.where("n > 0").groupBy("h1", "h2").agg(F.min("k").alias("k")).select("k").unionByName(told.where("n = 0").select("k"))
-    t = stored(whole.join(first.distinct(), "k", "left_semi"))
-    near = stored(near_candidates(t, threshold))
-    sets = stored(t.join(near.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi"))
-    both = near.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b").withColumn("c", F.size(F.array_intersect("wa", "wb")))
-    links = cut(both.where(F.col("c") / (F.size("wa") + F.size("wb") - F.col("c")) > threshold).select("a", "b"))
-    state = t.select("k").withColumn("kept", F.lit(None).cast("boolean"))
+    whole = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.sort_array(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("w"))
+    told = stored(whole.select("k", F.size("w").alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), hashes(F.col("w")).alias("h")))
+    first = stored(told.where("n > 0").groupBy("h1", "h2").agg(F.min("k").alias("k")).select("k").unionByName(told.where("n = 0").select("k")))
+    gone = [stored(told.select("k").join(first, "k", "left_anti"))]
+    met = stored(with_mates(near_classes(told.where("n > 0").select("k", "n", "h"), threshold)))
+    room = met.count() + ROOM
+    while len(gone) == 1 or met.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0))).first()[0] > 2 * room:
+        behind = stored(met.where("a < k").groupBy("k").agg(F.count("*").alias("m")))
+        led = met.where("a < k").groupBy("a", F.col("k").alias("b")).agg(F.count("*").alias("common")).where(F.col("common") >= AGREE - AGREE // 2)
+        led = led.join(behind.toDF("a", "m"), "a", "left").fillna(0, "m").where((F.col("m") <= AGREE // 2) & (F.col("m") + F.col("common") >= AGREE))
+        led = led.join(gone[-1].toDF("b"), "b", "left_anti").select("a", "b")
+        gone.append(stored(linked(stored(led), whole, threshold).select(F.col("b").alias("k")).distinct()))
+        wait = behind.where(F.col("m") > AGREE // 2).join(gone[-2].unionByName(gone[-1]), "k", "left_anti")
+        met = stored(with_mates(met.join(wait, "k", "left_semi")))
+    links = cut(linked(stored(near_pairs(met)), whole, threshold))
+    state = links.select(F.explode(F.array("a", "b")).alias("k")).distinct().withColumn("kept", F.lit(None).cast("boolean"))
     while True:
         earlier = links.join(state.withColumnRenamed("k", "a"), "a").groupBy("b").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.max(F.col("kept").isNull()).alias("open"))
         new = state.join(earlier, F.col("k") == F.col("b"), "left")
         decided = F.coalesce("kept", F.when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True)))
         state = cut(new.select("k", decided.alias("kept")))
         if state.where("kept IS NULL").isEmpty():
-            return state.where("kept").select(F.col("k").alias(key))
+            break
+    for some in [*gone[1:], state.where("NOT kept")]:
+        first = first.join(some, "k", "left_anti")
+    return first.select(F.col("k").alias(key))
 
 
 # Chunking: every function returns (key, chunk, text), chunks from 0.

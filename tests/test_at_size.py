@@ -240,3 +240,49 @@ def test_greedy_dedup_writes_little(spark):
     got = documents.greedy_dedup(spark.createDataFrame(rows, "id long, text string"), "id", F.split("text", " "), 0.85)
     assert sorted(r["id"] for r in got.collect()) == list(range(1000))
     assert size() - before < 2 * sum(len(text) for _, text in rows)
+
+
+def near_copies(rnd, groups, each, words, changes):
+    """Texts of groups of sets that differ in up to so many words from one of their group, in any order."""
+    texts = []
+    for g in range(groups):
+        base = [f"g{g}w{i}" if rnd.random() < 0.6 else f"common{rnd.randrange(50)}" for i in range(words)]
+        for _ in range(each):
+            text = list(base)
+            for i in rnd.sample(range(words), rnd.randrange(changes + 1)):
+                text[i] = f"x{rnd.randrange(10**6)}" if rnd.random() < 0.7 else ""
+            texts.append(" ".join(w for w in text if w))
+    rnd.shuffle(texts)
+    return texts
+
+
+def test_greedy_dedup_needs_no_pair_for_each_two_copies(spark):
+    """2000 near copies have over a million links; what is written is of the size of the texts."""
+    texts = near_copies(random.Random(8), 1, 2000, 100, 4)
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    got = documents.greedy_dedup(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", F.split("text", " "), 0.85)
+    assert sorted(r["id"] for r in got.collect()) == greedy(texts, 0.85)
+    assert size() - before < sum(map(len, texts))
+
+
+def greedy(texts, threshold):
+    kept = []
+    for i, text in enumerate(texts):
+        w = set(text.split(" ")) if text is not None else set()
+        if not w or all(len(w & k) / len(w | k) <= threshold for _, k in kept if k):
+            kept.append((i, w))
+    return [i for i, _ in kept]
+
+
+@pytest.mark.parametrize(("threshold", "changes"), [(0.4, 12), (0.7, 8), (0.85, 5), (0.95, 2)])
+def test_greedy_dedup_in_rounds(spark, monkeypatch, threshold, changes):
+    """Groups whose first copies do not link with all others, texts of few words, exact copies, none; keys that are strings."""
+    monkeypatch.setattr(documents, "ROOM", 0)
+    rnd = random.Random(changes)
+    texts = near_copies(rnd, 3, 50, 30, changes) + near_copies(rnd, 4, 12, 7, 2) + [None, "a", "a", "b", None, "a b", "b a"]
+    texts += rnd.sample(texts, 30)
+    frame = spark.createDataFrame([(f"k{i:04}", text) for i, text in enumerate(texts)], "id string, text string")
+    got = documents.greedy_dedup(frame, "id", F.split("text", " "), threshold)
+    assert sorted(int(r["id"][1:]) for r in got.collect()) == greedy(texts, threshold)
