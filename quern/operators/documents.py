@@ -19,7 +19,7 @@ AGREE = 4
 #: Bits of the map by which few other keys are told from those sought, a power of two.
 BITS = 1 << 24
 #: Pairs that are compared at once besides one for each part.
-ROOM = 100_000
+ROOM = 1_000_000
 
 
 def keywords(docs: DataFrame, key: str, text: str, top: int, min_chars: int = 3) -> DataFrame:
@@ -174,10 +174,10 @@ def greedy_dedup(docs: DataFrame, key: str, tokens: Column, threshold: float) ->
     row and the first of its part, no more than there are rows and parts, have
     all that these link with, and this goes: groups of near copies need no pair
     for each two of them. Once no more pairs are left
-    than there were parts, the rest is decided by all its links: a row is
-    settled as soon as all earlier rows it links with are, and kept if none of
-    those is. All this gives the sequential result exactly. Rows without tokens
-    link with nothing.
+    than there were parts, twice that after another round, so that rounds stay
+    few, the rest is decided by all its links: a row is settled as soon as all
+    earlier rows it links with are, and kept if none of those is. All this gives
+    the sequential result exactly. Rows without tokens link with nothing.
     """
     whole = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.sort_array(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("w"))
     told = stored(whole.select("k", F.size("w").alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), hashes(F.col("w")).alias("h")))
@@ -185,7 +185,7 @@ def greedy_dedup(docs: DataFrame, key: str, tokens: Column, threshold: float) ->
     gone = [stored(told.select("k").join(first, "k", "left_anti"))]
     met = stored(with_mates(near_classes(told.where("n > 0").select("k", "n", "h"), threshold)))
     room = met.count() + ROOM
-    while len(gone) == 1 or met.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0))).first()[0] > 2 * room:
+    while len(gone) == 1 or met.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0))).first()[0] > room * 2 ** (len(gone) - 1):
         behind = stored(met.where("a < k").groupBy("k").agg(F.count("*").alias("m")))
         led = met.where("a < k").groupBy("a", F.col("k").alias("b")).agg(F.count("*").alias("common")).where(F.col("common") >= AGREE - AGREE // 2)
         led = led.join(behind.toDF("a", "m"), "a", "left").fillna(0, "m").where((F.col("m") <= AGREE // 2) & (F.col("m") + F.col("common") >= AGREE))
